@@ -43,28 +43,27 @@ def next_merges(state: DataFrame, max_piece_length: int, known: set[str], room:
     """The next pairs in merge order, as far as they cannot influence one another.
 
     Pairs are ranked by (count desc, left, right). The list ends before the first pair that shares a symbol
-    with, or could touch, an earlier one; pairs tied in count with that one also wait for the next round,
-    since a new pair could tie with them. ``room`` limits the number of new pieces.
+    with an earlier one, and after a pair whose union is a symbol already. Pairs tied in count with the
+    first pair left out wait for the next round too, since a new pair could tie with them. ``room`` limits
+    the number of new pieces.
     """
-    ranked = (pair_counts(state, max_piece_length).orderBy(F.desc("n"), "l", "r").limit(look).collect())
-    taken: list[tuple[str, str, int]] = []
+    ranked = pair_counts(state, max_piece_length).orderBy(F.desc("n"), "l", "r").limit(look).collect()
     used: set[str] = set()
     new: set[str] = set()
-    stop = ranked[-1]["n"] if len(ranked) == look else 0
+    taken = 0
     for row in ranked:
-        pair = {row["l"], row["r"]}
+        symbols_of = {row["l"], row["r"], row["l"] + row["r"]}
         whole = row["l"] + row["r"]
-        if pair & used or whole in used or whole in new:
-            stop = row["n"]
+        if symbols_of & used or (whole not in known and len(new) >= room):
             break
-        if whole not in known:
-            if len(new) >= room:
-                break
-            new.add(whole)
-        taken.append((row["l"], row["r"], row["n"]))
-        used |= pair | {whole}
-    kept = [t for i, t in enumerate(taken) if i == 0 or t[2] > stop]
-    return [(left, right) for left, right, _ in kept]
+        taken += 1
+        used |= symbols_of
+        if whole in known:
+            break
+        new.add(whole)
+    rest = ranked[taken:taken + 1] or (ranked[-1:] if len(ranked) == look else [])
+    stop = rest[0]["n"] if rest else 0
+    return [(r["l"], r["r"]) for i, r in enumerate(ranked[:taken]) if i == 0 or r["n"] > stop]
 
 
 class Segmenter:
