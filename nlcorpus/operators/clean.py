@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nlcorpus.functions import keyed, syntax
 from nlcorpus.functions.ordered import add_ordinal
@@ -91,13 +92,13 @@ def postprocess_predictions(predictions: DataFrame, replacements: DataFrame) ->
                     .alias("predicted_codesnippets")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalise_code(code: pd.Series) -> pd.Series:
     """Code parsed and printed again; text that does not parse is kept."""
     return code.map(lambda text: syntax.reprint(text, keep=True), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalise_code_or_null(code: pd.Series) -> pd.Series:
     """Code parsed and printed again; null when it does not parse."""
     return code.map(lambda text: syntax.reprint(text, keep=False), na_action="ignore")

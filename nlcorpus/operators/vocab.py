@@ -22,7 +22,7 @@ SPACE = "▁"
 MAX_BROADCAST_PIECES = 1_000_000  # larger vocabularies are joined, not shipped to workers
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalise_nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
