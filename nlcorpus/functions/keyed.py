@@ -25,7 +25,7 @@ def lookup_join(df: DataFrame, table: DataFrame, key: str, weight: str, spread:
     rows = (df.join(F.broadcast(hot), key, "left")
             .withColumn("__salt", salt.cast("int")).drop("__hot"))
     copied = (table.join(F.broadcast(hot), key, "left")
-              .withColumn("__salt", F.explode(copies).cast("int")).drop("__hot"))
+              .withColumn("__salt", F.explode(copies)).drop("__hot"))
     return rows.join(copied, [key, "__salt"], how).drop("__salt")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ast
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 # Markers of the linearised form.
 LIST_END = "</l>"
@@ -42,45 +42,62 @@ def same_after_reprint(tree: ast.Module) -> bool:
         return False
 
 
-def walk(value, path: list[int]) -> Iterator[tuple[str, str, list[int], int]]:
-    """Pre-order events ``(label, kind, path, children)`` below one value.
+class Walk:
+    """Pre-order events ``(label, kind, path, children, field)`` of one snippet.
 
     Kinds ``node``, ``special``, ``literal`` and ``strliteral`` are tokens; ``list`` and ``singleton`` are
     fields. ``path`` runs from the element up to the root in 1-based ordinals; ``children`` counts the
-    fields of a node, or the elements of a field with its list end. Load/store contexts are left out.
+    fields of a node, or the elements of a field with its list end; ``field`` is the field a token stands
+    in. Load/store contexts are left out. With ``pieces``, a function that cuts text, string literals
+    become one element per piece.
     """
-    if not isinstance(value, ast.AST):
-        kind = STRING if isinstance(value, (str, bytes)) else LITERAL
-        yield ascii(value) + kind, kind[1:], path, 0
-        return
-    name = type(value).__name__
-    fields = [(f, v) for f, v in ast.iter_fields(value) if not isinstance(v, ast.expr_context)]
-    yield name, "node", path, len(fields)
-    for place, (field, content) in enumerate(fields, 1):
-        yield from walk_field(f"{name}_{field}", content, [place, *path])
-
-
-def walk_field(label: str, content, path: list[int]) -> Iterator[tuple[str, str, list[int], int]]:
-    """Events of one field and everything in it."""
-    if not isinstance(content, (list, str, bytes)):
-        yield label, "singleton", path, 1
-        yield from walk(content, [1, *path])
-        return
-    items = content if isinstance(content, list) else [content]
-    yield label, "list", path, len(items) + 1
-    for place, item in enumerate(items, 1):
-        here = [place, *path]
-        if content is items and isinstance(item, (str, bytes)):
-            yield STRING_IN_LIST, "node", here, 1
-            yield from walk_field(f"{STRING_IN_LIST}_{STRING_FIELD}", item, [1, *here])
-        else:
-            yield from walk(item, here)
-    yield LIST_END, "special", [len(items) + 1, *path], 0
 
+    def __init__(self, pieces: Callable[[str], list[str]] | None = None):
+        self.pieces = pieces
+
+    def sentence(self, tree: ast.Module) -> Iterator[tuple]:
+        """The whole snippet between its start and end marker."""
+        yield START, "special", [1], 2, ""
+        yield from self.field(f"{START}_{ROOT_FIELD}", tree, [1, 1])
+        yield f"{START}_{END_FIELD}", "singleton", [2, 1], 1, None
+        yield END, "special", [1, 2, 1], 0, f"{START}_{END_FIELD}"
+
+    def node(self, value: ast.AST, path: list[int], inside: str) -> Iterator[tuple]:
+        name = type(value).__name__
+        fields = [(f, v) for f, v in ast.iter_fields(value) if not isinstance(v, ast.expr_context)]
+        yield name, "node", path, len(fields), inside
+        for place, (field, content) in enumerate(fields, 1):
+            yield from self.field(f"{name}_{field}", content, [place, *path])
+
+    def field(self, label: str, content, path: list[int]) -> Iterator[tuple]:
+        """One field and everything in it."""
+        if isinstance(content, (str, bytes)):
+            texts = self.text(content)
+            yield label, "list", path, len(texts) + 1, None
+            for place, text in enumerate(texts, 1):
+                yield text + STRING, "strliteral", [place, *path], 0, label
+            yield LIST_END, "special", [len(texts) + 1, *path], 0, label
+        elif isinstance(content, list):
+            yield label, "list", path, len(content) + 1, None
+            for place, item in enumerate(content, 1):
+                yield from self.item(item, [place, *path], label)
+            yield LIST_END, "special", [len(content) + 1, *path], 0, label
+        else:
+            yield label, "singleton", path, 1, None
+            yield from self.item(content, [1, *path], label)
+
+    def item(self, value, path: list[int], inside: str) -> Iterator[tuple]:
+        """One value of a field: a node, a wrapped string, or another literal."""
+        if isinstance(value, ast.AST):
+            yield from self.node(value, path, inside)
+        elif isinstance(value, (str, bytes)):
+            yield STRING_IN_LIST, "node", path, 1, inside
+            yield from self.field(f"{STRING_IN_LIST}_{STRING_FIELD}", value, [1, *path])
+        else:
+            yield ascii(value) + LITERAL, "literal", path, 0, inside
 
-def walk_sentence(tree: ast.Module) -> Iterator[tuple[str, str, list[int], int]]:
-    """Events of a whole snippet between its start and end markers."""
-    yield START, "special", [1], 2
-    yield from walk_field(f"{START}_{ROOT_FIELD}", tree, [1, 1])
-    yield f"{START}_{END_FIELD}", "singleton", [2, 1], 1
-    yield END, "special", [1, 2, 1], 0
+    def text(self, value: str | bytes) -> list[str]:
+        if self.pieces is None:
+            return [ascii(value)]
+        plain = value.decode("latin-1") if isinstance(value, bytes) else value
+        return self.pieces(plain) or [""]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -95,13 +96,13 @@ def postprocess_predictions(predictions: DataFrame, replacements: DataFrame) ->
 @F.pandas_udf(T.StringType())
 def normalise_code(code: pd.Series) -> pd.Series:
     """Code parsed and printed again; text that does not parse is kept."""
-    return code.map(lambda text: syntax.reprint(text, keep=True), na_action="ignore")
+    return code.map(lru_cache(maxsize=4096)(lambda text: syntax.reprint(text, keep=True)), na_action="ignore")
 
 
 @F.pandas_udf(T.StringType())
 def normalise_code_or_null(code: pd.Series) -> pd.Series:
     """Code parsed and printed again; null when it does not parse."""
-    return code.map(lambda text: syntax.reprint(text, keep=False), na_action="ignore")
+    return code.map(lru_cache(maxsize=4096)(lambda text: syntax.reprint(text, keep=False)), na_action="ignore")
 
 
 def irregular_cells(cells: DataFrame) -> DataFrame:

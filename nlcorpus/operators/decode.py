@@ -58,4 +58,5 @@ def prediction_table(ranked: DataFrame, key: str, fields: dict[str, str], rank:
     """One row per input with an array per field, in rank order. Inputs hold ranked candidates, at most k each."""
     ordered = F.array_sort(F.collect_list(F.struct(rank, *fields)))
     rows = ranked.groupBy(key).agg(ordered.alias("__all"))
-    return rows.select(key, *[F.transform("__all", lambda c, f=f: c[f]).alias(name) for f, name in fields.items()])
+    column = lambda field: F.transform("__all", lambda c: c[field])
+    return rows.select(key, *[column(field).alias(name) for field, name in fields.items()])

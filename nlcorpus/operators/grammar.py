@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nlcorpus.functions import syntax
@@ -18,31 +18,35 @@ def extract_edges(links: DataFrame, order: list[str]) -> DataFrame:
                                                 F.min(F.struct(*order)).alias("first_seen"))
 
 
-def sentence_links(tokens: DataFrame) -> DataFrame:
-    """``(id, pos, parent, field_no, child, kind)``: every snippet token under its parent's field.
+def sentence_edges(tokens: DataFrame) -> DataFrame:
+    """``(field, child, kind, cnt, first_seen)``: which tokens stand in which field of parsed snippets."""
+    return tokens.where("field <> ''").groupBy("field", F.col("token").alias("child"), "kind").agg(
+        F.count("*").alias("cnt"), F.min(F.struct("id", "pos")).alias("first_seen"))
 
-    A path names its parent element and field by its own tail, so parents are found by an equi-join inside
-    the record instead of by position.
-    """
-    rows = tokens.withColumn("__up", F.when(
-        F.size("path") > 2, F.slice("path", F.lit(3), F.greatest(F.size("path") - 2, F.lit(0)))))
-    parents = tokens.select("id", F.col("token").alias("parent"), F.col("path").alias("__up"))
-    return (rows.join(parents, ["id", "__up"])
-            .select("id", "pos", "parent", F.element_at("path", 2).alias("field_no"),
-                    F.col("token").alias("child"), "kind"))
 
+def field_kinds(edges: DataFrame) -> DataFrame:
+    """``(field, kind, cnt)``: a field that was ever closed by a list end is a list, any other a singleton."""
+    closed = F.max((F.col("child") == syntax.LIST_END).cast("int")) == 1
+    return edges.groupBy("field").agg(F.when(closed, "list").otherwise("singleton").alias("kind"),
+                                      F.sum("cnt").alias("cnt"))
 
-def grammar_fields(edges: DataFrame) -> DataFrame:
-    """``(parent, field_no, kind)``: a field that was ever closed by a list end is a list."""
-    closed = F.max((F.col("child") == syntax.LIST_END).cast("int"))
-    return edges.groupBy("parent", "field_no").agg(
-        F.when(closed == 1, "list").otherwise("singleton").alias("kind"))
 
+def next_allowed(tokens: DataFrame, edges: DataFrame, value: str) -> DataFrame:
+    """``(id, pos, allowed)``: after each token the sorted values its next open field allows.
 
-def sentence_edges(links: DataFrame) -> DataFrame:
-    """Distinct ``(parent, field_no, child, kind)`` with counts and first appearance."""
-    return links.groupBy("parent", "field_no", "child", "kind").agg(
-        F.count("*").alias("cnt"), F.min(F.struct("id", "pos")).alias("first_seen"))
+    The next open field is the one the following token stands in; after the last token nothing is allowed.
+    ``edges`` has ``(field, child, cnt)`` and the column named by ``value``. Tokens of one record are put in
+    order inside that record.
+    """
+    sets = edges.groupBy("field").agg(
+        F.array_sort(F.collect_set(value)).alias("any"),
+        F.array_sort(F.collect_set(F.when(F.col("child") != "None" + syntax.LITERAL, F.col(value)))).alias("text"),
+        F.sum("cnt").alias("__cnt"))
+    after = F.lead("field").over(Window.partitionBy("id").orderBy("pos"))
+    steps = tokens.select("id", "pos", (F.col("kind") == "strliteral").alias("__in_text"), after.alias("field"))
+    joined = lookup_join(steps, sets, "field", "__cnt", ["id"])
+    allowed = F.when(F.col("__in_text"), F.col("text")).otherwise(F.col("any"))
+    return joined.select("id", "pos", F.coalesce(allowed, F.filter(allowed, lambda a: F.lit(False))).alias("allowed"))
 
 
 def allowed_sets(edges: DataFrame) -> DataFrame:

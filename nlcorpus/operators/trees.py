@@ -7,6 +7,7 @@ from their tags without any Python. Windows here run over the exploded content o
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,9 +15,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nlcorpus.functions import syntax
-
-PARSED = """parse_ok boolean, tokens array<string>, kinds array<string>, paths array<array<int>>,
- edge_counts array<struct<label:string,type:string,cnt:int>>, max_depth int, roundtrip_ok boolean"""
+from nlcorpus.functions.subword import Segmenter
+from nlcorpus.session import spread
+
+PARSED = {
+    "parse_ok": "boolean",
+    "tokens": "array<string>",
+    "kinds": "array<string>",
+    "paths": "array<array<int>>",
+    "fields": "array<string>",
+    "edge_counts": "array<struct<label:string,type:string,cnt:int>>",
+    "max_depth": "int",
+    "roundtrip_ok": "boolean",
+}
+MEMO_TEXTS = 4096  # parsed texts remembered per worker
 TOKEN_KINDS = ("node", "special", "literal", "strliteral")
 
 # Elements without content, from the HTML standard.
@@ -24,38 +36,49 @@ VOID_TAGS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link",
              "track", "wbr")
 
 
-def _profile(text: str | None) -> tuple:
+def _profile(text: str | None, walk: syntax.Walk, want: Sequence[str]) -> tuple:
+    """The wanted columns of one text; all null when it gives no tree."""
     tree = syntax.parse(text) if text is not None else None
     if tree is None:
-        return (False, None, None, None, None, None, None)
-    try:
-        events = list(syntax.walk_sentence(tree))
-    except RecursionError:
-        return (False, None, None, None, None, None, None)
-    tokens = [e for e in events if e[1] in TOKEN_KINDS]
-    return (True, [t[0] for t in tokens], [t[1] for t in tokens], [t[2] for t in tokens],
-            [{"label": label, "type": kind, "cnt": n} for label, kind, _, n in events],
-            max(len(e[2]) for e in events) - 1, syntax.same_after_reprint(tree))
-
-
-def parse_corpus(df: DataFrame, snippet: str = "snippet") -> DataFrame:
-    """Add the columns of ``PARSED`` to every row; rows that do not parse keep nulls and ``parse_ok`` false.
-
-    Tokens, kinds and paths cover the whole sentence with its start and end marker. Each distinct text of
-    a batch is parsed once.
+        return (False, *[None] * len(want))
+    found: dict = {}
+    if set(want) - {"roundtrip_ok"}:
+        try:
+            events = list(walk.sentence(tree))
+        except RecursionError:
+            return (False, *[None] * len(want))
+        tokens = [e for e in events if e[1] in TOKEN_KINDS]
+        found = {name: [t[i] for t in tokens] for name, i in
+                 (("tokens", 0), ("kinds", 1), ("paths", 2), ("fields", 4)) if name in want}
+        if "edge_counts" in want:
+            found["edge_counts"] = [{"label": label, "type": kind, "cnt": n} for label, kind, _, n, _ in events]
+        found["max_depth"] = max(len(e[2]) for e in events) - 1
+    if "roundtrip_ok" in want:
+        found["roundtrip_ok"] = syntax.same_after_reprint(tree)
+    return (True, *[found[name] for name in want])
+
+
+def parse_corpus(df: DataFrame, want: Sequence[str] = tuple(PARSED)[1:], snippet: str = "snippet",
+                 piece_ids: dict[str, int] | None = None) -> DataFrame:
+    """Add ``parse_ok`` and the wanted columns of ``PARSED`` to every row, in one parse per text.
+
+    Tokens, kinds, paths and fields cover the whole sentence with its start and end marker; rows that do not
+    parse keep nulls. Workers remember recent texts, so copies are not parsed again. With a subword
+    vocabulary, string literals are cut into its pieces.
     """
-    names = [c.split()[0] for c in ("parse_ok tokens kinds paths edge_counts max_depth roundtrip_ok").split()]
-    kept = df.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    kept, want = df.columns, list(want)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
+    schema = ", ".join(fields + [f"{name} {PARSED[name]}" for name in ("parse_ok", *want)])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        walk = syntax.Walk(Segmenter(piece_ids) if piece_ids else None)
+        profile = lru_cache(maxsize=MEMO_TEXTS)(lambda text: _profile(text, walk, want))
         for frame in frames:
-            known = {text: _profile(text) for text in frame[snippet].unique()}
-            parsed = pd.DataFrame([known[t] for t in frame[snippet]], columns=names, index=frame.index,
-                                  dtype=object)
+            parsed = pd.DataFrame([profile(t) for t in frame[snippet]], columns=["parse_ok", *want],
+                                  index=frame.index, dtype=object)
             yield pd.concat([frame[kept], parsed], axis=1)
 
-    return df.mapInPandas(run, f"{schema}, {PARSED}")
+    return spread(df).mapInPandas(run, schema)
 
 
 def linearised(tokens: Column) -> Column:
@@ -86,12 +109,12 @@ def string_values(quoted: pd.Series) -> pd.Series:
 
 
 def token_table(parsed: DataFrame, id_column: str) -> DataFrame:
-    """``(id, pos, token, kind, path)``, one row per token."""
+    """``(id, pos, token, kind, path, field)``, as far as parsed, one row per token."""
+    names = {"tokens": "token", "kinds": "kind", "paths": "path", "fields": "field"}
+    there = [c for c in names if c in parsed.columns]
     return (parsed.where("parse_ok")
-            .select(F.col(id_column).alias("id"), F.posexplode(F.arrays_zip("tokens", "kinds", "paths"))
-                    .alias("pos", "t"))
-            .select("id", "pos", F.col("t.tokens").alias("token"), F.col("t.kinds").alias("kind"),
-                    F.col("t.paths").alias("path")))
+            .select(F.col(id_column).alias("id"), F.posexplode(F.arrays_zip(*there)).alias("pos", "t"))
+            .select("id", "pos", *[F.col(f"t.{c}").alias(names[c]) for c in there]))
 
 
 def edge_table(parsed: DataFrame, id_column: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from nlcorpus.operators import clean, dataset, joins, segment, vocab
 from nlcorpus.plans import views
 from nlcorpus.plans.registry import Tables, query
+from nlcorpus.session import spread
 
 
 @query("B1_select_with_defaults", """SELECT doc_id, lang, 'none' AS nl_char_enc, 'd' || doc_id AS id
@@ -125,7 +126,7 @@ def postprocess_predictions(t: Tables):
 @query("B13_normalise_snippets", """SELECT l_orderkey, CASE WHEN closed THEN replace(ok_text, ',tax', ', tax')
  ELSE snippet END AS normal, count(*) AS n FROM snip GROUP BY ALL""", "snip")
 def normalise_snippets(t: Tables):
-    rows = views.snippets(t).select("l_orderkey", clean.normalise_code(F.col("snippet")).alias("normal"))
+    rows = spread(views.snippets(t)).select("l_orderkey", clean.normalise_code(F.col("snippet")).alias("normal"))
     return rows.groupBy("l_orderkey", "normal").agg(F.count("*").alias("n"))
 
 

@@ -62,6 +62,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Enough partitions for Python work: rows of fewer files than cores are dealt out evenly.
+
+    Larger inputs already come in many splits and are left where they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package's code to the Python workers, once per application."""
     app = spark.sparkContext.applicationId
