@@ -19,7 +19,12 @@ def spelled(words: DataFrame) -> DataFrame:
 
 
 def symbols(state: str) -> Column:
-    return F.regexp_extract_all(state, F.lit(f"(?s){OPEN}([^{CLOSE}]*){CLOSE}"), 1)
+    return F.split(F.substr(F.col(state), F.lit(2), F.length(state) - 2), CLOSE + OPEN)
+
+
+def unfinished(state: str) -> Column:
+    """More than one symbol left."""
+    return F.contains(F.col(state), F.lit(CLOSE + OPEN))
 
 
 def merge(state: str, left: str, right: str) -> Column:
@@ -30,11 +35,10 @@ def merge(state: str, left: str, right: str) -> Column:
 
 def pair_counts(state: DataFrame, max_piece_length: int) -> DataFrame:
     """``(l, r, n)`` for all adjacent symbols whose union is short enough."""
-    cut = state.select("cnt", symbols("state").alias("s")).where(F.size("s") > 1)
-    pairs = F.transform(F.slice("s", F.lit(1), F.size("s") - 1),
-                        lambda a, i: F.struct(a.alias("l"), F.get("s", i + 1).alias("r")))
-    return (cut.select("cnt", F.inline(pairs))
-            .where(F.length("l") + F.length("r") <= max_piece_length)
+    cut = state.where(unfinished("state")).select("cnt", symbols("state").alias("s"))
+    pairs = F.arrays_zip(F.col("s").alias("l"), F.slice("s", F.lit(2), F.size("s")).alias("r"))
+    return (cut.select("cnt", F.explode(pairs).alias("p")).select("cnt", "p.l", "p.r")
+            .where(F.col("r").isNotNull() & (F.length("l") + F.length("r") <= max_piece_length))
             .groupBy("l", "r").agg(F.sum("cnt").alias("n")))
 
 

@@ -26,10 +26,10 @@ def turn_pairs(turns: DataFrame, asker: str = "user", answerer: str = "assistant
 
 def story_transitions(steps: DataFrame, key: str, position: str, name: str) -> DataFrame:
     """``(step, next_step, n)`` over all neighbouring steps of a conversation or story."""
-    rows = islands(steps, [key], position, [name], lambda prev, cur: F.lit(False), "__run", "__before",
+    rows = islands(steps, [key], position, [name], lambda prev, cur: F.lit(False), "run", "before",
                    chunk_of(F.col(position)))
-    return (rows.where(F.col("__before").isNotNull())
-            .groupBy(F.col(f"__before.{name}").alias("step"), F.col(name).alias("next_step"))
+    return (rows.where(F.col("before").isNotNull())
+            .groupBy(F.col(f"before.{name}").alias("step"), F.col(name).alias("next_step"))
             .agg(F.count("*").alias("n")))
 
 

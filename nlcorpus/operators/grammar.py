@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nlcorpus.functions import syntax
@@ -31,22 +31,24 @@ def field_kinds(edges: DataFrame) -> DataFrame:
                                       F.sum("cnt").alias("cnt"))
 
 
-def next_allowed(tokens: DataFrame, edges: DataFrame, value: str) -> DataFrame:
-    """``(id, pos, allowed)``: after each token the sorted values its next open field allows.
+def next_fields(fields: Column, kinds: Column) -> Column:
+    """Per token the field open after it and whether a text run goes on there; null after the last token.
 
-    The next open field is the one the following token stands in; after the last token nothing is allowed.
-    ``edges`` has ``(field, child, cnt)`` and the column named by ``value``. Tokens of one record are put in
-    order inside that record.
+    Together with :func:`field_sets` this tells the allowed next tokens without repeating a set per token.
     """
+    return F.transform(fields, lambda f, i: F.when(i + 1 < F.size(fields), F.struct(
+        F.get(fields, i + 1).alias("field"), (F.get(kinds, i) == "strliteral").alias("in_text"))))
+
+
+def field_sets(edges: DataFrame, value: str) -> DataFrame:
+    """``(field, in_text, allowed)``: sorted allowed values of each field, one row with ``in_text`` set and one
+    without. Inside a text run ``None#literal`` is not allowed."""
     sets = edges.groupBy("field").agg(
         F.array_sort(F.collect_set(value)).alias("any"),
-        F.array_sort(F.collect_set(F.when(F.col("child") != "None" + syntax.LITERAL, F.col(value)))).alias("text"),
-        F.sum("cnt").alias("__cnt"))
-    after = F.lead("field").over(Window.partitionBy("id").orderBy("pos"))
-    steps = tokens.select("id", "pos", (F.col("kind") == "strliteral").alias("__in_text"), after.alias("field"))
-    joined = lookup_join(steps, sets, "field", "__cnt", ["id"])
-    allowed = F.when(F.col("__in_text"), F.col("text")).otherwise(F.col("any"))
-    return joined.select("id", "pos", F.coalesce(allowed, F.filter(allowed, lambda a: F.lit(False))).alias("allowed"))
+        F.array_sort(F.collect_set(F.when(F.col("child") != "None" + syntax.LITERAL, F.col(value)))).alias("text"))
+    return sets.select("field", F.inline(F.array(F.struct(F.lit(False).alias("in_text"), F.col("any").alias("allowed")),
+                                                 F.struct(F.lit(True).alias("in_text"),
+                                                          F.col("text").alias("allowed")))))
 
 
 def allowed_sets(edges: DataFrame) -> DataFrame:

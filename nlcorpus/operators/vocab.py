@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from nlcorpus.functions import subword
 from nlcorpus.functions.ordered import add_ordinal
 from nlcorpus.operators.joins import reverse_lookup, vocab_lookup
-from nlcorpus.session import materialize
+from nlcorpus.session import materialize, spread
 
 # The special pieces and their ids.
 SPECIALS = (("<pad>", 0), ("<unk>", 1), ("<s>", 2), ("</s>", 3))
@@ -75,14 +75,13 @@ def bpe_vocab(words: DataFrame, vocab_size: int = 800, max_piece_length: int = 1
     one (a merge changes only the counts of pairs that hold one of its symbols). Units are rewritten with
     native string functions; the unit table is written out every ``cut_every`` merges to cut its lineage.
     """
-    units = subword.spelled(words)
-    chars = (units.select("cnt", F.explode(subword.symbols("state")).alias("ch")).groupBy("ch")
+    state = materialize(spread(subword.spelled(words)), "bpe")
+    chars = (state.select("cnt", F.explode(subword.symbols("state")).alias("ch")).groupBy("ch")
              .agg(F.sum("cnt").alias("cnt")))
     alphabet = [r["ch"] for r in chars.orderBy(F.desc("cnt"), "ch").collect()]  # Unicode bounds this
     room = vocab_size - len(SPECIALS) - len(user_symbols) - len(alphabet)
     if room < 0:
         raise ValueError(f"vocab_size {vocab_size} is smaller than the alphabet of {len(alphabet)}")
-    state = materialize(units, "bpe")
     merged: list[str] = []
     pending = 0
     while len(merged) < room:
@@ -96,7 +95,7 @@ def bpe_vocab(words: DataFrame, vocab_size: int = 800, max_piece_length: int = 1
                 merged.append(left + right)
         pending += len(batch)
         if pending >= cut_every:
-            state, pending = materialize(state, "bpe"), 0
+            state, pending = materialize(state.where(subword.unfinished("state")), "bpe"), 0
     pieces = [p for p, _ in SPECIALS] + list(user_symbols) + merged + alphabet
     first = len(SPECIALS) + len(user_symbols)
     rows = [(p, i, float(first - i) if i >= first else 0.0) for i, p in enumerate(pieces)]

@@ -14,6 +14,28 @@ from nlcorpus.operators import decode, segment, trees
 MAX_PREDICTIONS = 20  # results kept per input when candidates become a prediction record
 
 _VOID = ", ".join(f"'{t}'" for t in trees.VOID_TAGS)
+_CODE_TOKENS = r"""list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(replace(replace({0}, '"',
+ '`'), '''', '`'), '([^A-Za-z0-9_])', ' \1 ', 'g'), '([a-z])([A-Z])', '\1 \2', 'g'), '\s+', ' ', 'g'), ' '),
+ lambda w: w <> '')"""
+
+
+def code_tokens_sql(text: str) -> str:
+    """SQL for the code tokens of a text column."""
+    return _CODE_TOKENS.format(text)
+
+
+_ORDERS = range(1, 5)
+_PIVOT = ", ".join(f"max(m) FILTER (n = {n}) AS m{n}, max(p) FILTER (n = {n}) AS p{n}" for n in _ORDERS)
+
+
+def bleu_sql(cand_len: str, ref_len: str, match: str, possible: str) -> str:
+    """SQL for the score from summed columns; ``match`` and ``possible`` are name patterns with {}."""
+    names = [(match.format(n), possible.format(n)) for n in _ORDERS]
+    positive = " AND ".join(f"{m} > 0" for m, _ in names)
+    mean = " + ".join(f"ln({m} / {p})" for m, p in names)
+    return (f"CASE WHEN {positive} THEN exp(({mean}) / 4) * CASE WHEN {cand_len} > {ref_len} THEN 1.0 "
+            f"ELSE exp(1 - {ref_len} / {cand_len}) END ELSE 0.0 END")
+
 
 SQL_VIEWS: dict[str, tuple[str, str]] = {
     "cells": ("", """SELECT conv_id AS nb, turn AS pos, CASE role WHEN 'user' THEN 'markdown'
@@ -63,6 +85,23 @@ SQL_VIEWS: dict[str, tuple[str, str]] = {
     "expected": ("answers", "SELECT id, arg_max(text, turn) AS expected FROM answers GROUP BY id"),
     "cand": ("ranked expected", """SELECT e.id, e.expected, r.rank, r.pred FROM expected e
         LEFT JOIN ranked r ON r.id = e.id"""),
+    "valid_cand": ("cand", """SELECT id, pred, row_number() OVER (PARTITION BY id ORDER BY rank) - 1 AS rank
+        FROM cand WHERE pred IS NOT NULL AND pred <> ''"""),
+    "bleu_cand": ("valid_cand expected", f"""SELECT e.id, coalesce(v.rank, 0) AS rank, v.id IS NOT NULL AS scored,
+        {code_tokens_sql('e.expected')} AS ref, CASE WHEN v.id IS NULL THEN [''] ELSE {code_tokens_sql('v.pred')} END
+        AS cand FROM expected e LEFT JOIN valid_cand v ON v.id = e.id"""),
+    "bleu_grams": ("bleu_cand", """SELECT id, rank, side, n, unnest(list_transform(range(1,
+        greatest(CAST(len(ws) AS INTEGER) - n + 2, 1)), lambda i: array_to_string(ws[i:i + n - 1], ' '))) AS gram
+        FROM (SELECT id, rank, 'c' AS side, cand AS ws FROM bleu_cand UNION ALL
+        SELECT id, rank, 'r', ref FROM bleu_cand), (VALUES (1), (2), (3), (4)) AS orders(n)"""),
+    "bleu_match": ("bleu_grams", """SELECT id, rank, n, sum(least(c, r)) AS m FROM (SELECT id, rank, n, gram,
+        count(*) FILTER (side = 'c') AS c, count(*) FILTER (side = 'r') AS r FROM bleu_grams GROUP BY ALL)
+        GROUP BY ALL"""),
+    "bleu_stats": ("bleu_match", f"""SELECT *, CASE WHEN scored THEN {bleu_sql('cand_len', 'ref_len', 'm{}', 'p{}')}
+        ELSE 0.0 END AS bleu FROM (SELECT id, rank, scored, len(ref) AS ref_len, len(cand) AS cand_len, {_PIVOT} FROM (
+        SELECT c.*, o.n, coalesce(m, 0) AS m, greatest(CAST(len(cand) AS INTEGER) - o.n + 1, 0) AS p FROM bleu_cand c
+        CROSS JOIN (VALUES (1), (2), (3), (4)) AS o(n)
+        LEFT JOIN bleu_match b ON b.id = c.id AND b.rank = c.rank AND b.n = o.n) GROUP BY ALL)"""),
     "seq_text": ("", """SELECT d.doc_id AS id, string_split(d.text, ' ') AS expected, CASE d.doc_id % 3
         WHEN 1 THEN string_split(d.text, ' ')
         WHEN 0 THEN string_split(d.text, ' ')[1:len(string_split(d.text, ' ')) * 8 // 10]
@@ -234,3 +273,12 @@ def encoded(t) -> DataFrame:
     lengths = lambda parts: F.transform(parts, lambda x: F.length(x))
     return t.documents.select(F.col("doc_id").alias("id"), lengths(F.split("text", "\n")).alias("nl_enc"),
                               lengths(words("text")).alias("ast_seq_enc"), "text")
+
+
+def order_code(t) -> DataFrame:
+    """Orders as pairs: ``(id, intent, snippet)`` with a sentence and the call it describes."""
+    intent = F.concat(F.lit("place an order of "), F.lower("o_orderpriority"), F.lit(" priority for customer "),
+                      "o_custkey", F.lit(" with status "), "o_orderstatus")
+    snippet = F.concat(F.lit("order_"), "o_custkey", F.lit(" = place('"), "o_orderpriority", F.lit("', status='"),
+                       "o_orderstatus", F.lit("', total="), F.floor(F.col("o_totalprice") / 1000), F.lit(")"))
+    return t.orders.select(F.col("o_orderkey").alias("id"), intent.alias("intent"), snippet.alias("snippet"))
