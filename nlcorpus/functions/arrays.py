@@ -39,18 +39,18 @@ def fixed_path(path: Column, multiple: int, depth: int) -> Column:
     return pad(scale_path(path, multiple), depth, F.lit(0))
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """All runs of ``n`` tokens, as space-joined strings tagged with n."""
-    last = F.size(tokens) - n + 1
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))),
-                        lambda i: F.struct(F.lit(n).alias("n"),
-                                           F.array_join(F.slice(tokens, i, n), " ").alias("gram")))
-    empty = F.filter(grams, lambda g: F.lit(False))
-    return F.when(last >= 1, grams).otherwise(empty)
+def ngrams(tokens: Column, longest: int) -> list[Column]:
+    """Arrays of all runs of 1 to ``longest`` tokens, as space-joined strings; each built from the one before."""
+    grams = [tokens]
+    for n in range(2, longest + 1):
+        count = F.greatest(F.size(tokens) - n + 1, F.lit(0))
+        grams.append(F.zip_with(F.slice(grams[-1], F.lit(1), count), F.slice(tokens, F.lit(n), count),
+                                lambda a, b: F.concat(a, F.lit(" "), b)))
+    return grams
 
 
 def map_text(m: Column) -> Column:
     """A map as ``key=value`` items in key order, for reports and comparisons."""
-    return F.array_join(F.array_sort(F.transform(
+    return F.array_join(F.sort_array(F.transform(
         F.map_entries(m), lambda e: F.concat(e["key"].cast("string"), F.lit("="),
                                              e["value"].cast("string")))), ",")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_KEYS = 1000  # at most this many keys are treated as hot, so the broadcast below is bounded
+HOT_ROWS = 10_000  # a key with fewer rows fits any task
 
 
 def lookup_join(df: DataFrame, table: DataFrame, key: str, weight: str, spread: Sequence[str],
@@ -15,11 +16,12 @@ def lookup_join(df: DataFrame, table: DataFrame, key: str, weight: str, spread:
     """Join every row of ``df`` to its row of ``table`` (unique ``key``) without a hot reducer.
 
     The ``HOT_KEYS`` heaviest keys by ``weight`` are copied once per salt and their rows in ``df`` are
-    spread over the salts by a hash of ``spread``. Any other key holds at most 1/HOT_KEYS of the weight.
+    spread over the salts by a hash of ``spread``. Any other key has few rows, or at most 1/HOT_KEYS of all.
     """
     spark = df.sparkSession
     salts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    hot = table.orderBy(F.desc(weight), key).limit(HOT_KEYS).select(key, F.lit(True).alias("__hot"))
+    hot = (table.where(F.col(weight) >= HOT_ROWS).orderBy(F.desc(weight), key).limit(HOT_KEYS)
+           .select(key, F.lit(True).alias("__hot")))
     salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(F.lit(0))
     copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     rows = (df.join(F.broadcast(hot), key, "left")

@@ -33,15 +33,6 @@ def reprint(text: str, keep: bool) -> str | None:
         return text if keep else None
 
 
-def same_after_reprint(tree: ast.Module) -> bool:
-    """Whether printing and parsing again gives the same tree."""
-    try:
-        again = parse(ast.unparse(tree))
-        return again is not None and ast.dump(again) == ast.dump(tree)
-    except RecursionError:
-        return False
-
-
 class Walk:
     """Pre-order events ``(label, kind, path, children, field)`` of one snippet.
 
@@ -62,6 +53,14 @@ class Walk:
         yield f"{START}_{END_FIELD}", "singleton", [2, 1], 1, None
         yield END, "special", [1, 2, 1], 0, f"{START}_{END_FIELD}"
 
+    def same_after_reprint(self, tree: ast.Module) -> bool:
+        """Whether printing and parsing again gives the same sentence."""
+        try:
+            again = parse(ast.unparse(tree))
+            return again is not None and list(self.sentence(again)) == list(self.sentence(tree))
+        except RecursionError:
+            return False
+
     def node(self, value: ast.AST, path: list[int], inside: str) -> Iterator[tuple]:
         name = type(value).__name__
         fields = [(f, v) for f, v in ast.iter_fields(value) if not isinstance(v, ast.expr_context)]

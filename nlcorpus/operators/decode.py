@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nlcorpus.operators.joins import keep_keys
+
 
 def rank_candidates(candidates: DataFrame, keys: list[str], score: str, tie: str, k: int, valid: Column | None = None,
                     text: str | None = None, keep_invalid: bool = False) -> DataFrame:
@@ -26,7 +28,9 @@ def rank_candidates(candidates: DataFrame, keys: list[str], score: str, tie: str
 def mask_candidates(candidates: DataFrame, allowed: DataFrame, on: list[str], keys: list[str], score: str, tie: str,
                     k: int) -> DataFrame:
     """Only candidates the grammar allows, then the k best of each input."""
-    return rank_candidates(candidates.join(allowed.select(*on).distinct(), on, "left_semi"), keys, score, tie, k)
+    counts = candidates.groupBy(*on).agg(F.count("*").alias("__cnt"))
+    wanted = counts.join(allowed.select(*on).distinct(), on, "left_semi")
+    return rank_candidates(keep_keys(candidates, wanted, on, [tie]), keys, score, tie, k)
 
 
 def sequence_scores(steps: DataFrame, sequence: str, token: str, logp: str, pad: str | None = None) -> DataFrame:
@@ -56,7 +60,7 @@ def perplexity(losses: DataFrame, epoch: Column, loss: str) -> DataFrame:
 
 def prediction_table(ranked: DataFrame, key: str, fields: dict[str, str], rank: str = "rank") -> DataFrame:
     """One row per input with an array per field, in rank order. Inputs hold ranked candidates, at most k each."""
-    ordered = F.array_sort(F.collect_list(F.struct(rank, *fields)))
+    ordered = F.sort_array(F.collect_list(F.struct(rank, *fields)))
     rows = ranked.groupBy(key).agg(ordered.alias("__all"))
     column = lambda field: F.transform("__all", lambda c: c[field])
     return rows.select(key, *[column(field).alias(name) for field, name in fields.items()])

@@ -96,10 +96,10 @@ def strip_query_comment(code: Column) -> Column:
 def sessions(events: DataFrame, user: str, time: str, minutes: int = SESSION_MINUTES) -> DataFrame:
     """Add the 1-based ``session`` of every event; more than ``minutes`` without activity start a new one.
 
-    Users may have any number of events: they are worked off day by day with one summary row per day.
+    Users may have any number of events: they are worked off hour by hour with one summary row per hour.
     """
     ends = lambda prev, cur: prev.isNull() | (cur[time] > prev[time] + F.expr(f"interval {minutes} minutes"))
-    return islands(events, [user], time, [time], ends, "session", chunk=F.to_date(time))
+    return islands(events, [user], time, [time], ends, "session", chunk=F.date_trunc("hour", time))
 
 
 def session_summary(numbered: DataFrame, user: str, time: str) -> DataFrame:

@@ -78,7 +78,7 @@ def merge_literal_runs(tokens: DataFrame) -> DataFrame:
     """``(id, run, token, kind)``: consecutive string pieces joined into one token."""
     starts = lambda prev, cur: prev.isNull() | (cur["kind"] != "strliteral") | (prev["kind"] != "strliteral")
     runs = islands(tokens, ["id"], "pos", ["kind"], starts, "run")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda p: p["token"])
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda p: p["token"])
     return runs.groupBy("id", "run").agg(F.array_join(ordered, "").alias("token"),
                                          F.min("kind").alias("kind"))
 

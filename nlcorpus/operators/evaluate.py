@@ -6,6 +6,7 @@ A prediction record is ``(id, expected, predicted)`` with ``predicted`` an array
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,22 +53,24 @@ def validity_counts(df: DataFrame, predicted: str = "predicted") -> DataFrame:
 def candidate_stats(df: DataFrame, expected: str = "expected_tokens", predicted: str = "predicted_tokens") -> DataFrame:
     """One row per record and candidate: n-gram matches and possible matches, lengths, sentence score.
 
-    A record without candidates gets one empty-word candidate of score 0. Token lists are placed by record once;
-    n-grams are made, counted and clipped after that, so they are never shuffled.
+    A record without candidates gets one empty-word candidate of score 0. Token lists are placed by record
+    and rank once; n-grams are made, counted and clipped after that, so they are never shuffled.
     """
     none = F.array(F.array(F.lit("")))
     candidates = F.when(F.size(predicted) > 0, F.col(predicted)).otherwise(none)
-    rows = (df.repartition("id")
-            .select("id", F.col(expected).alias("ref"), (F.size(predicted) > 0).alias("real"),
-                    F.posexplode(candidates).alias("rank", "cand")))
-    tagged = lambda side, tokens: F.transform(
-        F.concat(*[arrays.ngrams(tokens, n) for n in range(1, MAX_ORDER + 1)]),
-        lambda g: F.struct(g["n"].alias("n"), g["gram"].alias("gram"), F.lit(side).alias("side")))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so small texts stay spread
+    rows = (df.select("id", F.col(expected).alias("ref"), (F.size(predicted) > 0).alias("real"),
+                      F.posexplode(candidates).alias("rank", "cand"))
+            .repartition(tasks, "id", "rank"))
+    lengths = [F.size("ref").alias("ref_len"), F.size("cand").alias("cand_len")]
+    entry = lambda n, side, gram: F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), gram.alias("gram"))
+    tagged = []
+    for side, tokens in ((1, F.col("cand")), (2, F.col("ref"))):
+        for n, grams in enumerate(arrays.ngrams(tokens, MAX_ORDER), 1):
+            tagged.append(F.transform(grams, partial(entry, n, side)))
     # One marker per order keeps candidates that are too short to have n-grams of that order.
-    markers = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(None).cast("string").alias("gram"),
-                                 F.lit(0).alias("side")) for n in range(1, MAX_ORDER + 1)])
-    counts = (rows.select("id", "rank", F.size("ref").alias("ref_len"), F.size("cand").alias("cand_len"), "real",
-                          F.inline(F.concat(tagged(1, F.col("cand")), tagged(2, F.col("ref")), markers)))
+    markers = F.array(*[entry(n, 0, F.lit(None).cast("string")) for n in range(1, MAX_ORDER + 1)])
+    counts = (rows.select("id", "rank", *lengths, "real", F.inline(F.concat(*tagged, markers)))
               .groupBy("id", "rank", "ref_len", "cand_len", "real", "n", "gram")
               .agg(F.sum((F.col("side") == 1).cast("int")).alias("c"),
                    F.sum((F.col("side") == 2).cast("int")).alias("r")))

@@ -34,26 +34,25 @@ def field_kinds(edges: DataFrame) -> DataFrame:
 def next_fields(fields: Column, kinds: Column) -> Column:
     """Per token the field open after it and whether a text run goes on there; null after the last token.
 
-    Together with :func:`field_sets` this tells the allowed next tokens without repeating a set per token.
+    Together with :func:`field_children` this tells the allowed next tokens without repeating a set per token.
     """
     return F.transform(fields, lambda f, i: F.when(i + 1 < F.size(fields), F.struct(
         F.get(fields, i + 1).alias("field"), (F.get(kinds, i) == "strliteral").alias("in_text"))))
 
 
-def field_sets(edges: DataFrame, value: str) -> DataFrame:
-    """``(field, in_text, allowed)``: sorted allowed values of each field, one row with ``in_text`` set and one
-    without. Inside a text run ``None#literal`` is not allowed."""
-    sets = edges.groupBy("field").agg(
-        F.array_sort(F.collect_set(value)).alias("any"),
-        F.array_sort(F.collect_set(F.when(F.col("child") != "None" + syntax.LITERAL, F.col(value)))).alias("text"))
-    return sets.select("field", F.inline(F.array(F.struct(F.lit(False).alias("in_text"), F.col("any").alias("allowed")),
-                                                 F.struct(F.lit(True).alias("in_text"),
-                                                          F.col("text").alias("allowed")))))
+def field_children(edges: DataFrame, value: str) -> DataFrame:
+    """``(field, in_text, allowed)``, one row per allowed value. Inside a text run ``None#literal`` is left out.
+
+    Fields may have as many children as there are literals, so no set is collected.
+    """
+    spots = F.when(F.col("child") == "None" + syntax.LITERAL, F.array(F.lit(False))).otherwise(
+        F.array(F.lit(False), F.lit(True)))
+    return edges.select("field", F.explode(spots).alias("in_text"), F.col(value).alias("allowed")).distinct()
 
 
 def allowed_sets(edges: DataFrame) -> DataFrame:
     """Sorted allowed children of each parent, with the list end; one row per parent type."""
-    children = F.array_sort(F.array_distinct(F.concat(F.collect_set("child"), F.array(F.lit(syntax.LIST_END)))))
+    children = F.sort_array(F.array_distinct(F.concat(F.collect_set("child"), F.array(F.lit(syntax.LIST_END)))))
     return edges.groupBy("parent").agg(children.alias("allowed"), F.sum("cnt").alias("cnt"))
 
 

@@ -53,9 +53,21 @@ def open_text_fields(fields: DataFrame, edges: DataFrame, literals: DataFrame) -
             .withColumn("n_added", F.lit(n_literals).cast("long") - F.col("n_known")))
 
 
-def missing_from(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """List difference that keeps duplicates of the left side."""
-    return left.join(right.select(*keys).distinct(), keys, "left_anti")
+def missing_from(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str]) -> DataFrame:
+    """List difference that keeps duplicates of the left side.
+
+    Distinct keys are compared first; only then the rows of missing keys are picked, frequent keys salted.
+    """
+    counts = left.groupBy(*keys).agg(F.count("*").alias("__cnt"))
+    missing = counts.join(right.select(*keys).distinct(), keys, "left_anti")
+    return keep_keys(left, missing, keys, spread)
+
+
+def keep_keys(df: DataFrame, wanted: DataFrame, keys: list[str], spread: list[str], weight: str = "__cnt") -> DataFrame:
+    """Semi join on several columns, with the frequent keys of ``wanted`` salted."""
+    key = F.struct(*keys)
+    table = wanted.select(key.alias("__key"), F.col(weight).alias("__weight"))
+    return lookup_join(df.withColumn("__key", key), table, "__key", "__weight", spread, "left_semi").drop("__key")
 
 
 def union_ids(*ids: DataFrame, column: str = "id") -> DataFrame:

@@ -177,9 +177,8 @@ def global_scalars(profile: DataFrame, depths: DataFrame) -> DataFrame:
 
 
 def one_row(*frames: DataFrame) -> DataFrame:
-    """Columns of several one-row frames side by side, matched on a constant key."""
-    keyed = [f.withColumn("__one", F.lit(1)) for f in frames]
-    joined = keyed[0]
-    for frame in keyed[1:]:
-        joined = joined.join(frame, "__one")
+    """Columns of several one-row frames side by side. Only the first frame may have more rows."""
+    joined = frames[0].withColumn("__one", F.lit(1))
+    for frame in frames[1:]:
+        joined = joined.join(F.broadcast(frame.withColumn("__one", F.lit(1))), "__one")  # a single row
     return joined.drop("__one")

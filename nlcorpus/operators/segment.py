@@ -23,7 +23,7 @@ def cells_to_pairs(cells: DataFrame) -> DataFrame:
 
     def joined(kind: str) -> Column:
         parts = F.collect_list(F.when(F.col("cell_type") == kind, F.struct("pos", "text")))
-        return F.array_join(F.transform(F.array_sort(parts), lambda p: p["text"]), "\n")
+        return F.array_join(F.transform(F.sort_array(parts), lambda p: p["text"]), "\n")
 
     return (blocks.where("block > 0").groupBy("nb", "block")
             .agg(joined("markdown").alias("intent"), joined("code").alias("snippet"))

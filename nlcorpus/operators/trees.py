@@ -10,6 +10,7 @@ from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,14 +20,15 @@ from nlcorpus.functions.subword import Segmenter
 from nlcorpus.session import spread
 
 PARSED = {
-    "parse_ok": "boolean",
-    "tokens": "array<string>",
-    "kinds": "array<string>",
-    "paths": "array<array<int>>",
-    "fields": "array<string>",
-    "edge_counts": "array<struct<label:string,type:string,cnt:int>>",
-    "max_depth": "int",
-    "roundtrip_ok": "boolean",
+    "parse_ok": ("boolean", pa.bool_()),
+    "tokens": ("array<string>", pa.list_(pa.string())),
+    "kinds": ("array<string>", pa.list_(pa.string())),
+    "paths": ("array<array<int>>", pa.list_(pa.list_(pa.int32()))),
+    "fields": ("array<string>", pa.list_(pa.string())),
+    "edge_counts": ("array<struct<label:string,type:string,cnt:int>>",
+                    pa.list_(pa.struct([("label", pa.string()), ("type", pa.string()), ("cnt", pa.int32())]))),
+    "max_depth": ("int", pa.int32()),
+    "roundtrip_ok": ("boolean", pa.bool_()),
 }
 MEMO_TEXTS = 4096  # parsed texts remembered per worker
 TOKEN_KINDS = ("node", "special", "literal", "strliteral")
@@ -51,10 +53,10 @@ def _profile(text: str | None, walk: syntax.Walk, want: Sequence[str]) -> tuple:
         found = {name: [t[i] for t in tokens] for name, i in
                  (("tokens", 0), ("kinds", 1), ("paths", 2), ("fields", 4)) if name in want}
         if "edge_counts" in want:
-            found["edge_counts"] = [{"label": label, "type": kind, "cnt": n} for label, kind, _, n, _ in events]
+            found["edge_counts"] = [(label, kind, n) for label, kind, _, n, _ in events]
         found["max_depth"] = max(len(e[2]) for e in events) - 1
     if "roundtrip_ok" in want:
-        found["roundtrip_ok"] = syntax.same_after_reprint(tree)
+        found["roundtrip_ok"] = walk.same_after_reprint(tree)
     return (True, *[found[name] for name in want])
 
 
@@ -63,22 +65,26 @@ def parse_corpus(df: DataFrame, want: Sequence[str] = tuple(PARSED)[1:], snippet
     """Add ``parse_ok`` and the wanted columns of ``PARSED`` to every row, in one parse per text.
 
     Tokens, kinds, paths and fields cover the whole sentence with its start and end marker; rows that do not
-    parse keep nulls. Workers remember recent texts, so copies are not parsed again. With a subword
-    vocabulary, string literals are cut into its pieces.
+    parse keep nulls. Other columns pass through as Arrow data; copies of a text inside a batch are parsed
+    and converted once, and workers remember recent texts. With a subword vocabulary, string literals are
+    cut into its pieces.
     """
-    kept, want = df.columns, list(want)
+    want = list(want)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
-    schema = ", ".join(fields + [f"{name} {PARSED[name]}" for name in ("parse_ok", *want)])
+    schema = ", ".join(fields + [f"{name} {PARSED[name][0]}" for name in ("parse_ok", *want)])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walk = syntax.Walk(Segmenter(piece_ids) if piece_ids else None)
         profile = lru_cache(maxsize=MEMO_TEXTS)(lambda text: _profile(text, walk, want))
-        for frame in frames:
-            parsed = pd.DataFrame([profile(t) for t in frame[snippet]], columns=["parse_ok", *want],
-                                  index=frame.index, dtype=object)
-            yield pd.concat([frame[kept], parsed], axis=1)
-
-    return spread(df).mapInPandas(run, schema)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(snippet)).dictionary_encode()
+            parsed = [profile(t) for t in texts.dictionary.to_pylist()] + [profile(None)]
+            rows = texts.indices.fill_null(len(parsed) - 1)
+            columns = [pa.array(values, PARSED[name][1]).take(rows)
+                       for name, values in zip(("parse_ok", *want), zip(*parsed))]
+            yield pa.RecordBatch.from_arrays(batch.columns + columns, batch.schema.names + ["parse_ok", *want])
+
+    return spread(df).mapInArrow(run, schema)
 
 
 def linearised(tokens: Column) -> Column:

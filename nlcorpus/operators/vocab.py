@@ -158,7 +158,7 @@ def encode_tree(tokens: DataFrame, target_vocab: DataFrame, source_vocab: DataFr
     text = text.withColumn("id", F.when(F.col("token") == "", empty).otherwise(F.col("id") + target_size))
     encoded = plain.unionByName(text).groupBy(F.col("id_").alias("id__")).agg(
         F.count(F.when(F.col("id").isNull(), 1)).alias("unknown"),
-        F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("seq"))
+        F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("seq"))
     ids = F.transform("seq", lambda s: s["id"].cast("int"))
     return encoded.where("unknown = 0").select(
         F.col("id__").alias("id"),
@@ -169,7 +169,7 @@ def decode(ids: DataFrame, vocab: DataFrame) -> DataFrame:
     """``(id_, text)`` from ``(id_, pos, id)`` rows: start and end dropped, pieces joined, marker to space."""
     inner = ids.where(~F.col("id").isin(BOS, EOS))
     pieces = reverse_lookup(inner, vocab, ["id_", "pos"])
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda p: p["piece"])
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("pos", "piece"))), lambda p: p["piece"])
     return pieces.groupBy("id_").agg(
         F.replace(F.array_join(ordered, ""), F.lit(SPACE), F.lit(" ")).alias("text"))
 

@@ -183,7 +183,7 @@ def vocab_lookup(t: Tables):
     table = vocab.count_vocab(views.tokens(t), "token")
     ids = joins.vocab_lookup(views.tokens(t), table, ["doc_id", "pos"]).drop("token")
     back = joins.reverse_lookup(ids, table, ["doc_id", "pos"])
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "id", "piece")))
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "id", "piece")))
     text = lambda field: F.md5(F.array_join(F.transform("seq", lambda s: s[field].cast("string")), " "))
     return back.groupBy("doc_id").agg(ordered.alias("seq")).select("doc_id", text("id").alias("ids"),
                                                                    text("piece").alias("back"))
@@ -207,7 +207,8 @@ def grammar_set_ops(t: Tables):
     """Test links whose edge is not among the even train links, duplicates kept."""
     links = views.links(t)
     train = links.where("page_id % 5 <> 0 AND pos % 2 = 0").groupBy("parent", "child").count()
-    return joins.missing_from(links.where("page_id % 5 = 0"), train, ["parent", "child"])
+    return joins.missing_from(links.where("page_id % 5 = 0"), train, ["parent", "child"],
+                              ["page_id", "pos"]).select("page_id", "pos", "parent", "child")
 
 
 @query("C8_union_drop_ids", """SELECT DISTINCT CAST(doc_id AS VARCHAR) AS id FROM (SELECT doc_id FROM labels

@@ -8,7 +8,7 @@ from nlcorpus.operators import dataset, trees, vocab
 from nlcorpus.plans import preprocess, views
 from nlcorpus.plans.catalog_clean import SPLIT_SQL
 from nlcorpus.plans.registry import Tables, query
-from nlcorpus.session import scratch_path, spread
+from nlcorpus.session import scratch_path
 
 SPECIALS_SQL = "SELECT * FROM (VALUES ('<pad>', 0, 0), ('<unk>', 1, 0), ('<s>', 2, 0), ('</s>', 3, 0))"
 
@@ -48,12 +48,12 @@ def bpe_vocab(t: Tables):
 def normalise_nfkc(t: Tables):
     """Spaces become no-break spaces, "fi" a ligature and "A" its full-width form; normalising undoes all three."""
     odd = F.translate(F.replace("text", F.lit("fi"), F.lit("ﬁ")), " A", " Ａ")
-    return spread(t.documents).select("doc_id", F.md5(vocab.normalise_nfkc(odd)).alias("digest"))
+    return t.documents.select("doc_id", F.md5(vocab.normalise_nfkc(odd)).alias("digest"))
 
 
 @query("G5_encode_nl")
 def encode_nl(t: Tables):
-    rows = vocab.encode_nl(spread(t.documents.select("doc_id", "text")), "text", document_vocab(t, 120))
+    rows = vocab.encode_nl(t.documents.select("doc_id", "text"), "text", document_vocab(t, 120))
     return rows.select("doc_id", F.size("nl_enc").alias("n"), F.array_join(F.transform(
         "nl_enc", lambda x: x.cast("string")), " ").alias("nl_enc"))
 
@@ -69,7 +69,7 @@ def encode_chars(t: Tables):
     """Words stand in for subword pieces, so the ids can be checked."""
     table = vocab.count_vocab(vocab.char_occurrences(t.conversations, "text"), "ch")
     pieces = F.filter(views.words("text"), lambda w: w != "")
-    rows = vocab.encode_chars(spread(t.conversations).withColumn("pieces", pieces), "pieces", table)
+    rows = vocab.encode_chars(t.conversations.withColumn("pieces", pieces), "pieces", table)
     inner = F.filter("nl_char_enc", lambda c: F.size(c) > 0)
     text = F.array_join(F.transform(inner, lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")), "|")
     return rows.select("conv_id", "turn", F.md5(text).alias("digest"))

@@ -9,7 +9,6 @@ from nlcorpus.operators import decode, errors, evaluate
 from nlcorpus.plans import views
 from nlcorpus.plans.registry import Tables, query
 from nlcorpus.plans.views import bleu_sql, code_tokens_sql
-from nlcorpus.session import spread
 
 BEST = """(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(bleu, 12) DESC, rank) AS rn
  FROM bleu_stats WHERE rank < {0}) WHERE rn = 1)"""
@@ -141,7 +140,7 @@ def kinded_sequences(t: Tables):
 
 @query("I11_sequence_diff")
 def sequence_diff(t: Tables):
-    codes = errors.sequence_diff(spread(kinded_sequences(t)))
+    codes = errors.sequence_diff(kinded_sequences(t))
     return codes.select("id", "tag", "pos_exp_i1", "pos_exp_i2", "pos_pred_j1", "pos_pred_j2",
                         F.array_join("val_exp", " ").alias("val_exp"), F.array_join("val_pred", " ").alias("val_pred"))
 
@@ -228,13 +227,13 @@ def best_tokens(t: Tables):
 @query("I18_diff_type_counts")
 def diff_type_counts(t: Tables):
     rows = kinded_sequences(t)
-    return errors.diff_type_counts(rows, errors.sequence_diff(spread(rows)))
+    return errors.diff_type_counts(rows, errors.sequence_diff(rows))
 
 
 @query("I19_type_precision_recall")
 def type_precision_recall(t: Tables):
     rows = kinded_sequences(t)
-    counts = errors.diff_type_counts(rows, errors.sequence_diff(spread(rows)))
+    counts = errors.diff_type_counts(rows, errors.sequence_diff(rows))
     return rounded(errors.type_precision_recall(counts), "precision", "recall")
 
 

@@ -63,8 +63,7 @@ def prepare(pairs: DataFrame, vocabularies: Vocabularies | None = None, vocab_si
     """Training and statistics tables of pairs ``(id, intent, snippet[, rewritten_intent])``.
 
     Records that do not parse, do not survive the round trip, or hold an unknown token are dropped. The
-    allowed tokens of a position are given as the open field, to be looked up in ``allowed``: one set per
-    field instead of one per token.
+    allowed tokens of a position are given as the open field, to be looked up in ``allowed``.
     """
     pairs = clean.drop_null_rows(clean.coalesce_intent(pairs), ["id", "nl"]).select("id", "nl", "snippet")
     v = vocabularies or build_vocabularies(pairs, vocab_size, **bpe)
@@ -78,7 +77,7 @@ def prepare(pairs: DataFrame, vocabularies: Vocabularies | None = None, vocab_si
     labelled = lookup_join(tokens.select("id", "pos", "token"), known, "token", "cnt", ["id", "pos"])
     sequences = labelled.groupBy("id").agg(
         F.count(F.when(F.col("label_id").isNull(), 1)).alias("unknown"),
-        F.array_sort(F.collect_list(F.struct("pos", "label_id"))).alias("seq"))
+        F.sort_array(F.collect_list(F.struct("pos", "label_id"))).alias("seq"))
     encoded = sequences.where("unknown = 0").select(
         "id", F.transform("seq", lambda s: s["label_id"].cast("int")).alias("ast_seq_enc"))
 
@@ -92,7 +91,7 @@ def prepare(pairs: DataFrame, vocabularies: Vocabularies | None = None, vocab_si
     train, stats = dataset.preproc_outputs(rows)
     if eliminate_duplicates:
         train = first_of_each(train, ["nl_enc", "ast_seq_enc"], "id")
-    return Prepared(v, edges, grammar.field_sets(edges, "child_id"), train, stats)
+    return Prepared(v, edges, grammar.field_children(edges, "child_id"), train, stats)
 
 
 def prepare_test(pairs: DataFrame, v: Vocabularies) -> DataFrame:

@@ -5,6 +5,7 @@ from nlcorpus.functions import keyed
 
 def test_lookup_join_with_hot_and_cold_keys(spark, monkeypatch):
     monkeypatch.setattr(keyed, "HOT_KEYS", 3)
+    monkeypatch.setattr(keyed, "HOT_ROWS", 80)
     rnd = random.Random(1)
     rows = [(i, "hot" if rnd.random() < 0.4 else rnd.choice(["b", "c", "d", "e", "missing"])) for i in range(600)]
     table = [("hot", 1, 300), ("b", 2, 90), ("c", 3, 80), ("d", 4, 5), ("e", 5, 1), ("unused", 6, 0)]

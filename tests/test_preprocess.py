@@ -27,10 +27,10 @@ def test_prepare(spark):
     assert "".join(text).replace("▁", "") == "fab"
     assert [i for i in train[5].ast_seq_enc if i == size] == [size]  # the empty string
     assert [target[i] for i in train[2].ast_seq_enc if i < size][1:3] == ["Module", "Expr"]
-    allowed = {(r.field, r.in_text): r.allowed for r in ready.allowed.collect()}
+    allowed = {(r.field, r.in_text, r.allowed) for r in ready.allowed.collect()}
     for r in train.values():
         for step, following in zip(r.allowed_tokens, r.ast_seq_enc[1:]):
-            assert following in allowed[step.field, step.in_text]
+            assert (step.field, step.in_text, following) in allowed
     stats = profile.record_stats(ready.stats.select("id", F.inline("edge_counts"))).collect()
     assert len(stats) == 4 and all(s.node_histogram["Call"] == 1 for s in stats)
     again = preprocess.prepare(pairs, ready.vocabularies, eliminate_duplicates=True)

@@ -102,8 +102,10 @@ def test_grammar_tables(spark):
     assert seen["Call_args", "Constant"] == 2 and seen["Call_args", "Name"] == 1 and seen["Call_args", "</l>"] == 2
     kinds = {r.field: r.kind for r in grammar.field_kinds(edges).collect()}
     assert kinds["Call_args"] == "list" and kinds["Call_func"] == "singleton" and kinds["Constant_value"] == "list"
-    sets = {(r.field, r.in_text): r.allowed for r in grammar.field_sets(edges, "child").collect()}
-    assert sets["Constant_value", False] == ["'a'#strliteral", "1#literal", "</l>"]
+    rows = grammar.field_children(edges, "child").collect()
+    assert sorted(r.allowed for r in rows if r.field == "Constant_value" and not r.in_text) == [
+        "'a'#strliteral", "1#literal", "</l>"]
+    assert [r.in_text for r in rows if r.field == "Constant_kind"] == [False]
     steps = parsed.select(grammar.next_fields(F.col("fields"), F.col("kinds")).alias("n"), "tokens").first()
     assert steps.n[-1] is None and steps.n[0].field == "<s>_root" and not steps.n[0].in_text
     after_name = steps.n[steps.tokens.index("'f'#strliteral")]
