@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nlcorpus.session import materialize
+
 HOT_KEYS = 1000  # at most this many keys are treated as hot, so the broadcast below is bounded
 HOT_ROWS = 10_000  # a key with fewer rows fits any task
 
@@ -17,8 +19,11 @@ def lookup_join(df: DataFrame, table: DataFrame, key: str, weight: str, spread:
 
     The ``HOT_KEYS`` heaviest keys by ``weight`` are copied once per salt and their rows in ``df`` are
     spread over the salts by a hash of ``spread``. Any other key has few rows, or at most 1/HOT_KEYS of all.
+    ``table`` should cover the frequent keys of ``df``: filter its values after the join, not before. It is
+    read three times, so it is written once.
     """
     spark = df.sparkSession
+    table = materialize(table, "lookup")
     salts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     hot = (table.where(F.col(weight) >= HOT_ROWS).orderBy(F.desc(weight), key).limit(HOT_KEYS)
            .select(key, F.lit(True).alias("__hot")))

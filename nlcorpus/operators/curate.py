@@ -30,15 +30,14 @@ def duplicate_tree(records: DataFrame, order: str, sequence: str = "ast_seq") ->
     return later_duplicates(records, [sequence], order).select("id")
 
 
-def rare_literal(literals: DataFrame, threshold: int) -> DataFrame:
+def rare_literal(owned: DataFrame, frequency: DataFrame, threshold: int) -> DataFrame:
     """Records that own a literal with corpus frequency up to the threshold.
 
-    ``literals`` is the per-record histogram ``(id, literal, n)``.
+    ``owned`` holds ``(id, literal)`` rows, repeats allowed, and ``frequency`` all corpus counts
+    ``(literal, freq)``.
     """
-    rare = (literals.groupBy("literal").agg(F.sum("n").alias("freq"))
-            .where(F.col("freq").between(0, threshold)))
-    return lookup_join(literals.select("id", "literal"), rare, "literal", "freq", ["id"],
-                       "left_semi").select("id").distinct()
+    counted = lookup_join(owned.select("id", "literal"), frequency, "literal", "freq", ["id"], "inner")
+    return counted.where(F.col("freq").between(0, threshold)).select("id").distinct()
 
 
 def drop_ids(pairs: DataFrame | None = None, elements: DataFrame | None = None,
@@ -56,7 +55,7 @@ def drop_ids(pairs: DataFrame | None = None, elements: DataFrame | None = None,
     if duplicates:
         lists.append(duplicate_tree(records, order))
     if literal_frequency is not None:
-        lists.append(rare_literal(profile.literal_histogram(elements, "id"), literal_frequency))
+        lists.append(rare_literal(profile.literals(elements), profile.literal_frequency(elements), literal_frequency))
     if not lists:
         raise ValueError("no curation filter is active")
     return joins.union_ids(*lists)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nlcorpus.operators.joins import keep_keys
+from nlcorpus.operators.joins import present_in
 
 
 def rank_candidates(candidates: DataFrame, keys: list[str], score: str, tie: str, k: int, valid: Column | None = None,
@@ -28,9 +28,7 @@ def rank_candidates(candidates: DataFrame, keys: list[str], score: str, tie: str
 def mask_candidates(candidates: DataFrame, allowed: DataFrame, on: list[str], keys: list[str], score: str, tie: str,
                     k: int) -> DataFrame:
     """Only candidates the grammar allows, then the k best of each input."""
-    counts = candidates.groupBy(*on).agg(F.count("*").alias("__cnt"))
-    wanted = counts.join(allowed.select(*on).distinct(), on, "left_semi")
-    return rank_candidates(keep_keys(candidates, wanted, on, [tie]), keys, score, tie, k)
+    return rank_candidates(present_in(candidates, allowed, on, [tie]), keys, score, tie, k)
 
 
 def sequence_scores(steps: DataFrame, sequence: str, token: str, logp: str, pad: str | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from nlcorpus.functions import syntax
 from nlcorpus.functions.keyed import lookup_join
+from nlcorpus.operators.joins import missing_from
 
 
 def extract_edges(links: DataFrame, order: list[str]) -> DataFrame:
@@ -69,11 +70,7 @@ def allowed_children(steps: DataFrame, edges: DataFrame, spread: list[str]) -> D
 
 def nonconforming(links: DataFrame, edges: DataFrame, id_column: str) -> DataFrame:
     """Observed links whose (parent, child) is not in the grammar, with their record ids."""
-    known = edges.select(F.struct("parent", "child").alias("__edge"), F.col("cnt").alias("__cnt"),
-                         F.lit(True).alias("__known"))
-    rows = lookup_join(links.withColumn("__edge", F.struct("parent", "child")), known, "__edge", "__cnt",
-                       [id_column, "pos"])
-    return rows.where(F.col("__known").isNull()).drop("__edge", "__cnt", "__known")
+    return missing_from(links, edges, ["parent", "child"], [id_column, "pos"])
 
 
 def edge_stats(train: DataFrame, test: DataFrame) -> DataFrame:

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nlcorpus.functions.keyed import lookup_join
 
 
-def keep_with_any(df: DataFrame, items: DataFrame, wanted: DataFrame, id_column: str, item: str,
+def keep_with_any(df: DataFrame, items: DataFrame, table: DataFrame, wanted: Column, id_column: str, item: str,
                   weight: str) -> DataFrame:
-    """Rows of ``df`` that own at least one item of ``wanted`` (semi join through the item table)."""
-    owners = lookup_join(items, wanted, item, weight, [id_column], "left_semi")
+    """Rows of ``df`` that own at least one item whose row of ``table`` is ``wanted``."""
+    owners = lookup_join(items, table, item, weight, [id_column], "inner").where(wanted)
     return df.join(owners.select(id_column).distinct(), id_column, "left_semi")
 
 
@@ -54,20 +54,26 @@ def open_text_fields(fields: DataFrame, edges: DataFrame, literals: DataFrame) -
 
 
 def missing_from(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str]) -> DataFrame:
-    """List difference that keeps duplicates of the left side.
+    """List difference that keeps duplicates of the left side."""
+    return keep_keys(left, right, keys, spread, F.col("__listed").isNull())
 
-    Distinct keys are compared first; only then the rows of missing keys are picked, frequent keys salted.
-    """
-    counts = left.groupBy(*keys).agg(F.count("*").alias("__cnt"))
-    missing = counts.join(right.select(*keys).distinct(), keys, "left_anti")
-    return keep_keys(left, missing, keys, spread)
+
+def present_in(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str]) -> DataFrame:
+    """Rows of the left side whose keys occur on the right."""
+    return keep_keys(left, right, keys, spread, F.col("__listed").isNotNull())
 
 
-def keep_keys(df: DataFrame, wanted: DataFrame, keys: list[str], spread: list[str], weight: str = "__cnt") -> DataFrame:
-    """Semi join on several columns, with the frequent keys of ``wanted`` salted."""
+def keep_keys(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], keep: Column) -> DataFrame:
+    """Semi or anti join that decides on each distinct key once, then tells the rows, frequent keys salted.
+
+    ``keep`` looks at ``__listed``, which is null for keys that are not on the right.
+    """
+    counts = left.groupBy(*keys).agg(F.count("*").alias("__cnt"))
+    listed = right.select(*keys).distinct().withColumn("__listed", F.lit(True))
     key = F.struct(*keys)
-    table = wanted.select(key.alias("__key"), F.col(weight).alias("__weight"))
-    return lookup_join(df.withColumn("__key", key), table, "__key", "__weight", spread, "left_semi").drop("__key")
+    verdicts = counts.join(listed, keys, "left").select(key.alias("__key"), "__cnt", keep.alias("__keep"))
+    rows = lookup_join(left.withColumn("__key", key), verdicts, "__key", "__cnt", spread, "inner")
+    return rows.where("__keep").drop("__key", "__cnt", "__keep")
 
 
 def union_ids(*ids: DataFrame, column: str = "id") -> DataFrame:

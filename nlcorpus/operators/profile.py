@@ -55,6 +55,11 @@ def literal_histogram(profile: DataFrame, *keys: str) -> DataFrame:
             .groupBy(*keys, literal_repr(F.col("label")).alias("literal")).agg(F.count("*").alias("n")))
 
 
+def literals(profile: DataFrame) -> DataFrame:
+    """``(id, literal)``, one row per occurrence."""
+    return profile.where(of_type(*LITERAL_TYPES)).select("id", literal_repr(F.col("label")).alias("literal"))
+
+
 def max_literal_length(profile: DataFrame) -> DataFrame:
     """Longest literal of each record, 0 without literals."""
     longest = F.max(F.when(of_type(*LITERAL_TYPES), F.length(literal_repr(F.col("label")))))
@@ -124,20 +129,25 @@ def max_lit_len_histogram(profile: DataFrame) -> DataFrame:
     return max_literal_length(profile).groupBy("max_lit_length").agg(F.count("*").alias("n"))
 
 
-def rarest_literal(records: DataFrame, literals: DataFrame) -> DataFrame:
+def literal_frequency(elements: DataFrame) -> DataFrame:
+    """``(literal, freq)`` over all records."""
+    return literal_histogram(elements).withColumnRenamed("n", "freq")
+
+
+def rarest_literal(records: DataFrame, owned: DataFrame, frequency: DataFrame) -> DataFrame:
     """``(id, min_freq)``: corpus frequency of each record's rarest literal, -1 without literals.
 
-    ``literals`` holds ``(id, literal, n)`` per record; the corpus counts come from the same table.
+    ``owned`` holds the ``(id, literal)`` rows of the records, repeats allowed, and ``frequency`` the corpus
+    counts ``(literal, freq)``.
     """
-    frequency = literals.groupBy("literal").agg(F.sum("n").alias("freq"))
-    rarest = (lookup_join(literals.select("id", "literal"), frequency, "literal", "freq", ["id"])
+    rarest = (lookup_join(owned.select("id", "literal"), frequency, "literal", "freq", ["id"])
               .groupBy("id").agg(F.min("freq").alias("min_freq")))
     return (records.select("id").join(rarest, "id", "left")
             .select("id", F.coalesce("min_freq", F.lit(-1).cast("long")).alias("min_freq")))
 
 
-def min_lit_freq_histogram(records: DataFrame, literals: DataFrame) -> DataFrame:
-    return rarest_literal(records, literals).groupBy("min_freq").agg(F.count("*").alias("n"))
+def min_lit_freq_histogram(records: DataFrame, owned: DataFrame, frequency: DataFrame) -> DataFrame:
+    return rarest_literal(records, owned, frequency).groupBy("min_freq").agg(F.count("*").alias("n"))
 
 
 def distinct_counts(profile: DataFrame) -> DataFrame:

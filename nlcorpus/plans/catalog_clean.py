@@ -154,10 +154,9 @@ def left_anti_join(t: Tables):
 @query("C3_semi_join", """SELECT doc_id, n_chars FROM documents WHERE doc_id IN (SELECT id FROM lits
  JOIN lit_freq USING (literal) WHERE freq BETWEEN 2 AND 3)""", "lit_freq")
 def semi_join(t: Tables):
-    items = views.literals(t)
-    wanted = (items.groupBy("literal").agg(F.sum("n").alias("freq")).where("freq BETWEEN 2 AND 3"))
     docs = t.documents.select(F.col("doc_id").alias("id"), "n_chars")
-    kept = joins.keep_with_any(docs, items.select("id", "literal"), wanted, "id", "literal", "freq")
+    kept = joins.keep_with_any(docs, views.owned_words(t), views.word_frequency(t), F.col("freq").between(2, 3), "id",
+                               "literal", "freq")
     return kept.withColumnRenamed("id", "doc_id")
 
 

@@ -136,7 +136,7 @@ def global_edge_histogram(t: Tables):
 
 @query("F_g4_global_literal_histogram", "SELECT literal, freq AS n FROM lit_freq", "lit_freq")
 def global_literal_histogram(t: Tables):
-    return views.literals(t).groupBy("literal").agg(F.sum("n").alias("n")).orderBy("n")
+    return views.word_frequency(t).withColumnRenamed("freq", "n").orderBy("n")
 
 
 @query("F_g5_max_lit_len_histogram", f"""SELECT max_lit_length, count(*) AS n FROM (SELECT id, CAST(coalesce(
@@ -153,7 +153,7 @@ def min_lit_freq_histogram(t: Tables):
     """Documents, plus benchmark items as records without literals."""
     records = t.documents.select(F.col("doc_id").alias("id")).unionByName(
         t.benchmark.select((F.col("item_id") + 1000000000).alias("id")))
-    return profile.min_lit_freq_histogram(records, views.literals(t)).orderBy("min_freq")
+    return profile.min_lit_freq_histogram(records, views.owned_words(t), views.word_frequency(t)).orderBy("min_freq")
 
 
 @query("F_g7_global_counts", """SELECT count(*) FILTER (type = 'node') AS node_count, count(*) FILTER (type = 'list')
@@ -252,7 +252,7 @@ def drop_duplicate_tree(t: Tables):
 
 @query("F5_drop_rare_literal", "SELECT DISTINCT id FROM lits JOIN lit_freq USING (literal) WHERE freq <= 1", "lit_freq")
 def drop_rare_literal(t: Tables):
-    return curate.rare_literal(views.literals(t), 1)
+    return curate.rare_literal(views.owned_words(t), views.word_frequency(t), 1)
 
 
 @query("F6_curate", """SELECT doc_id AS id, n_chars FROM documents WHERE n_chars / 10000 >= 0.05

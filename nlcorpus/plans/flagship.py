@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nlcorpus.functions.keyed import first_of_each, lookup_join
-from nlcorpus.operators import evaluate
+from nlcorpus.functions.keyed import first_of_each
+from nlcorpus.operators import curate, evaluate
 from nlcorpus.session import materialize
 
 
@@ -19,11 +19,9 @@ def curated_pairs(pairs: DataFrame, rare: int = 1, longer_than: int = 12) -> Dat
     """
     pairs = materialize(pairs, "pairs")
     words = (pairs.select("id", F.explode(evaluate.tokenize_code(F.col("snippet"))).alias("literal"))
-             .groupBy("id", "literal").agg(F.count("*").alias("n")))
-    frequency = words.groupBy("literal").agg(F.sum("n").alias("freq"))
-    wanted = frequency.where((F.col("freq") <= rare) & (F.length("literal") > longer_than))
-    long_words = words.where(F.length("literal") > longer_than).select("id", "literal")
-    dropped = lookup_join(long_words, wanted, "literal", "freq", ["id"], "left_semi").select("id").distinct()
+             .where(F.length("literal") > longer_than))
+    frequency = words.groupBy("literal").agg(F.count("*").alias("freq"))
+    dropped = curate.rare_literal(words, frequency, rare)
     ordered = pairs.withColumn("__order", F.struct("nb", "block"))
     return (first_of_each(ordered, ["snippet"], "__order").drop("__order")
             .join(dropped, "id", "left_anti"))

@@ -191,6 +191,17 @@ def literals(t) -> DataFrame:
             .groupBy("id", "literal").agg(F.count("*").alias("n")))
 
 
+def owned_words(t) -> DataFrame:
+    """``(id, literal)``: the distinct words of each document, found inside the row."""
+    return t.documents.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(words("text"))).alias("literal"))
+
+
+def word_frequency(t) -> DataFrame:
+    """``(literal, freq)`` over all documents; only one row per word and task is shuffled."""
+    return t.documents.select(F.explode(words("text")).alias("literal")).groupBy("literal").agg(
+        F.count("*").alias("freq"))
+
+
 def elements(t) -> DataFrame:
     return trees.tag_parents(trees.tag_events(t.pages))
 

@@ -26,3 +26,17 @@ def test_first_and_later_copies(spark):
     df = spark.createDataFrame(rows, "o int, x string, y int")
     assert sorted(r.o for r in keyed.first_of_each(df, ["x", "y"], "o").collect()) == [1, 2, 7, 8]
     assert sorted(r.o for r in keyed.later_duplicates(df, ["x", "y"], "o").collect()) == [5, 9]
+
+
+def test_list_difference_keeps_duplicates(spark, monkeypatch):
+    from nlcorpus.operators import joins
+
+    monkeypatch.setattr(keyed, "HOT_ROWS", 5)
+    rows = [(i, "hot" if i % 2 else "k" + str(i % 7), i % 3) for i in range(60)]
+    left = spark.createDataFrame(rows, "i int, a string, b int")
+    right = spark.createDataFrame([("hot", 1), ("k2", 2), ("k4", 0), ("k4", 0)], "a string, b int")
+    listed = {("hot", 1), ("k2", 2), ("k4", 0)}
+    out = joins.missing_from(left, right, ["a", "b"], ["i"])
+    assert sorted(map(tuple, out.select("i", "a", "b").collect())) == [r for r in rows if r[1:] not in listed]
+    kept = joins.present_in(left, right, ["a", "b"], ["i"])
+    assert sorted(map(tuple, kept.select("i", "a", "b").collect())) == [r for r in rows if r[1:] in listed]
