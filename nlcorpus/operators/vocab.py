@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from nlcorpus.functions import subword
 from nlcorpus.functions.ordered import add_ordinal
 from nlcorpus.operators.joins import reverse_lookup, vocab_lookup
+from nlcorpus.operators.trees import literal_text
 from nlcorpus.session import materialize, spread
 
 # The special pieces and their ids.
@@ -132,6 +133,14 @@ def encode_nl(df: DataFrame, text: str, vocab: DataFrame, out: str = "nl_enc", o
     return result if out_pieces else result.drop(cut)
 
 
+def decode_nl(ids: Column, vocab: DataFrame) -> Column:
+    """Text of an id array: start and end dropped, pieces joined, markers to spaces. For shippable vocabularies."""
+    by_id = {i: p for p, i in vocab_ids(vocab).items()}
+    pieces = F.array(*[F.lit(by_id.get(i, "")) for i in range(max(by_id) + 1)])
+    inner = F.slice(ids, F.lit(2), F.greatest(F.size(ids) - 2, F.lit(0)))
+    return literal_text(F.transform(inner, lambda i: F.get(pieces, i)))
+
+
 def encode_chars(df: DataFrame, pieces: str, char_vocab: DataFrame, out: str = "nl_char_enc") -> DataFrame:
     """Character ids of every piece, with an empty list for the start and the end."""
     ids = vocab_ids(char_vocab)

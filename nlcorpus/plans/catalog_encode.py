@@ -8,7 +8,7 @@ from nlcorpus.operators import dataset, trees, vocab
 from nlcorpus.plans import preprocess, views
 from nlcorpus.plans.catalog_clean import SPLIT_SQL
 from nlcorpus.plans.registry import Tables, query
-from nlcorpus.session import scratch_path
+from nlcorpus.session import materialize, scratch_path
 
 SPECIALS_SQL = "SELECT * FROM (VALUES ('<pad>', 0, 0), ('<unk>', 1, 0), ('<s>', 2, 0), ('</s>', 3, 0))"
 
@@ -51,11 +51,14 @@ def normalise_nfkc(t: Tables):
     return t.documents.select("doc_id", F.md5(vocab.normalise_nfkc(odd)).alias("digest"))
 
 
-@query("G5_encode_nl")
+@query("G5_encode_nl", "SELECT doc_id, 2 AS first_id, 3 AS last_id, false AS unknown, md5(text) AS back FROM documents")
 def encode_nl(t: Tables):
-    rows = vocab.encode_nl(t.documents.select("doc_id", "text"), "text", document_vocab(t, 120))
-    return rows.select("doc_id", F.size("nl_enc").alias("n"), F.array_join(F.transform(
-        "nl_enc", lambda x: x.cast("string")), " ").alias("nl_enc"))
+    """Documents as subword ids, with their ends, unknown pieces and the text the ids give back."""
+    table = materialize(document_vocab(t, 120), "vocab")
+    rows = vocab.encode_nl(t.documents.select("doc_id", "text"), "text", table)
+    return rows.select("doc_id", F.get("nl_enc", F.lit(0)).alias("first_id"), F.element_at("nl_enc", -1).alias("last_id"),
+                       F.array_contains("nl_enc", vocab.UNK).alias("unknown"),
+                       F.md5(vocab.decode_nl(F.col("nl_enc"), table)).alias("back"))
 
 
 @query("G6_encode_chars", """SELECT conv_id, turn, md5(string_agg(ids, '|' ORDER BY pos)) AS digest FROM (
@@ -197,12 +200,21 @@ def test_set(t: Tables):
                        F.col("nl_char_enc").isNull().alias("no_chars"), "snippet")
 
 
-@query("H7_preproc_outputs")
+@query("H7_preproc_outputs", """SELECT o_orderkey AS id, md5('place an order of ' || lower(o_orderpriority)
+ || ' priority for customer ' || o_custkey || ' with status ' || o_orderstatus) AS intent, true AS aligned,
+ 2 AS first_id, 3 AS last_id, 12 AS max_depth, 10 AS n_nodes FROM orders""")
 def preproc_outputs(t: Tables):
-    """Train and statistics rows of the orders spelled as calls, joined again on their id."""
+    """Train and statistics rows of the orders spelled as calls, joined again on their id.
+
+    Reported are the intent the ids give back, whether the aligned sequences have the same length, and the
+    depth and number of nodes, which are the same for all orders.
+    """
     ready = preprocess.prepare(views.order_code(t), vocab_size=120)
-    ints = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
-    train = ready.train.select("id", ints(F.col("nl_enc")).alias("nl_enc"), ints(F.col("ast_seq_enc")).alias("ast_seq_enc"),
-                               F.size("edge_order_seq").alias("n_paths"), F.size("nl_char_enc").alias("n_pieces"),
-                               F.size("allowed_tokens").alias("n_steps"))
-    return train.join(ready.stats.select("id", "max_depth", F.size("edge_counts").alias("n_elements")), "id")
+    aligned = (F.size("ast_seq_enc") == F.size("edge_order_seq")) & (
+        F.size("ast_seq_enc") == F.size("allowed_tokens")) & (F.size("nl_enc") == F.size("nl_char_enc"))
+    intent = vocab.decode_nl(F.col("nl_enc"), ready.vocabularies.source)
+    train = ready.train.select("id", F.md5(intent).alias("intent"), aligned.alias("aligned"),
+                               F.get("ast_seq_enc", F.lit(0)).alias("first_id"),
+                               F.element_at("ast_seq_enc", -1).alias("last_id"))
+    nodes = F.size(F.filter("edge_counts", lambda e: e["type"] == "node"))
+    return train.join(ready.stats.select("id", "max_depth", nodes.alias("n_nodes")), "id")

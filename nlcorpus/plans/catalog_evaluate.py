@@ -145,6 +145,20 @@ def sequence_diff(t: Tables):
                         F.array_join("val_exp", " ").alias("val_exp"), F.array_join("val_pred", " ").alias("val_pred"))
 
 
+@query("I11_diff_rebuilds", """SELECT id, md5(array_to_string(expected, ' ')) AS expected,
+ md5(array_to_string(predicted, ' ')) AS predicted FROM seq_text WHERE len(expected) + len(predicted) > 0""", "seq_text")
+def diff_rebuilds(t: Tables):
+    """Both sequences put together again from the opcodes; equal stretches come from the other side."""
+    codes = errors.sequence_diff(kinded_sequences(t))
+    equal = F.col("tag") == "equal"
+    side = lambda own, other: F.when(equal, F.col(other)).otherwise(F.col(own))
+    ordered = F.sort_array(F.collect_list(F.struct("pos_exp_i1", "pos_pred_j1", side("val_exp", "val_pred").alias("e"),
+                                                   side("val_pred", "val_exp").alias("p"))))
+    text = lambda field: F.md5(F.array_join(F.flatten(F.transform("parts", lambda c: c[field])), " "))
+    return codes.groupBy("id").agg(ordered.alias("parts")).select("id", text("e").alias("expected"),
+                                                                  text("p").alias("predicted"))
+
+
 def percent(top: str, bottom: str, many: str) -> str:
     """SQL for one value per prefix; ``many`` combines the two columns of a row or of all rows."""
     return ", ".join(f"round({many.format(p + top, p + bottom)}, 6) AS {p}value" for p in ("", "replaced_"))
@@ -230,6 +244,15 @@ def diff_type_counts(t: Tables):
     return errors.diff_type_counts(rows, errors.sequence_diff(rows))
 
 
+@query("I18_type_totals", """SELECT kind, count(*) FILTER (side = 'e') AS expected, count(*) FILTER (side = 'p')
+ AS predicted FROM (SELECT side, CASE WHEN length(token) >= 6 THEN 'strliteral' ELSE 'node' END AS kind FROM seq_rows)
+ GROUP BY kind""", "seq_rows")
+def type_totals(t: Tables):
+    rows = kinded_sequences(t)
+    counts = errors.diff_type_counts(rows, errors.sequence_diff(rows))
+    return counts.groupBy("kind").agg(F.sum("expected").alias("expected"), F.sum("predicted").alias("predicted"))
+
+
 @query("I19_type_precision_recall")
 def type_precision_recall(t: Tables):
     rows = kinded_sequences(t)

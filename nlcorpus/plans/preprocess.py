@@ -43,7 +43,7 @@ def build_vocabularies(pairs: DataFrame, vocab_size: int = 800, **bpe) -> Vocabu
     texts = train_texts(parsed)
     plain = parsed.select(F.explode(trees.without_strings(trees.linearised(F.col("tokens")))).alias("token"))
     target = vocab.count_vocab(plain, "token")
-    return Vocabularies(source=vocab.bpe_vocab(vocab.word_counts(texts, "text"), vocab_size, **bpe),
+    return Vocabularies(source=materialize(vocab.bpe_vocab(vocab.word_counts(texts, "text"), vocab_size, **bpe), "vocab"),
                         characters=vocab.count_vocab(vocab.char_occurrences(texts, "text"), "ch"),
                         target=target, target_size=target.count())
 
