@@ -81,7 +81,7 @@ SQL_VIEWS: dict[str, tuple[str, str]] = {
     "answers": ("", """SELECT conv_id AS id, turn, text, CASE WHEN length(text) % 7 = 0 THEN NULL
         WHEN length(text) % 11 = 0 THEN '' ELSE text END AS pred FROM conversations WHERE role = 'assistant'"""),
     "ranked": ("answers", f"""SELECT * FROM (SELECT id, pred, row_number() OVER (PARTITION BY id ORDER BY turn)
-        AS rank FROM answers WHERE id % 10 <> 0) WHERE rank <= {MAX_PREDICTIONS}"""),
+        AS rank FROM answers WHERE contains(text, chr(10))) WHERE rank <= {MAX_PREDICTIONS}"""),
     "expected": ("answers", "SELECT id, arg_max(text, turn) AS expected FROM answers GROUP BY id"),
     "cand": ("ranked expected", """SELECT e.id, e.expected, r.rank, r.pred FROM expected e
         LEFT JOIN ranked r ON r.id = e.id"""),
@@ -221,10 +221,13 @@ def depths(t) -> DataFrame:
 
 
 def predictions(t) -> DataFrame:
-    """``(id, expected, predicted)``: a conversation's last answer against its answers in turn order."""
+    """``(id, expected, predicted)``: a conversation's last answer against its answers in turn order.
+
+    Only answers of several lines are predictions, so some conversations have none; some are null or empty.
+    """
     answers = t.conversations.where("role = 'assistant'").withColumnRenamed("conv_id", "id")
     n = F.length("text")
-    predicted = answers.where("id % 10 <> 0").withColumn(
+    predicted = answers.where(F.contains("text", F.lit("\n"))).withColumn(
         "pred", F.when(n % 7 != 0, F.when(n % 11 == 0, "").otherwise(F.col("text"))))
     ranked = decode.rank_candidates(predicted, ["id"], "turn", "turn", MAX_PREDICTIONS, keep_invalid=True)
     table = decode.prediction_table(ranked, "id", {"pred": "predicted"})
