@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from nlcorpus.functions.ordered import add_ordinal, chunk_of, islands, number_rows
 from nlcorpus.operators.clean import REGULAR_CELLS
+from nlcorpus.session import materialize
 
 
 def cells_to_pairs(cells: DataFrame) -> DataFrame:
@@ -33,8 +34,10 @@ def cells_to_pairs(cells: DataFrame) -> DataFrame:
 def pair_ids(pairs: DataFrame, notebooks: DataFrame) -> DataFrame:
     """Add ``id`` = notebook ordinal, underscore, pair ordinal; both 1-based, pairs counted after filtering.
 
-    ``notebooks`` lists every notebook (``nb``), with or without pairs, since all of them are counted.
+    ``notebooks`` lists every notebook (``nb``), with or without pairs, since all of them are counted. The pairs
+    are written once, so that numbering does not join their texts again.
     """
+    pairs = materialize(pairs, "pairs")
     ordinals = add_ordinal(notebooks.select("nb").distinct(), ["nb"], "nb_no")
     numbered = number_rows(pairs, ["nb"], "block", "pair_no", chunk_of(F.col("block")))
     return (numbered.join(ordinals, "nb")
