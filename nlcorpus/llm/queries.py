@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nlcorpus.llm import fertility, pieces, rollup, spans, urls
+from nlcorpus.llm import boosted, crf, fertility, pieces, rollup, spans, urls
 from nlcorpus.llm.common import documents
 from nlcorpus.session import scratch_path
 
@@ -72,6 +72,25 @@ def op2_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "kept", "n_tokens", "chars_per_token", "byte_share", "entropy")
 
 
+@query("op3_field_pii")
+def op3_field_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document: counts and digest of the base rules, and all spans."""
+    found = crf.find(documents(spark, sf_dir))
+
+    def listed(spans: str) -> Column:
+        form = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+        return F.array_join(F.transform(spans, form), ",")
+
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in crf.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
+@query("op4_boosted_quality")
+def op4_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from the labels outside the held-out fold."""
+    return boosted.score(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 @query("op8_piece_chunks")
 def op8_piece_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
