@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nlcorpus.llm import boosted, crf, fertility, pieces, rollup, spans, urls
+from nlcorpus.llm import boosted, crf, fertility, jaccard, pieces, rollup, spans, urls
 from nlcorpus.llm.common import documents
 from nlcorpus.session import scratch_path
 
@@ -91,6 +91,27 @@ def op4_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boosted.score(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
+@query("op6_shingle_classes", """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id
+  GROUP BY x.doc_id, y.doc_id),
+l AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b
+  WHERE 100 * p.c >= 75 * (x.n + y.n - p.c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS d, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.d)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT d, min(root) AS component_id FROM r GROUP BY d) c ON c.d = w.doc_id""")
+def op6_shingle_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near copies of every document."""
+    return jaccard.link_classes(documents(spark, sf_dir))
+
+
 @query("op8_piece_chunks")
 def op8_piece_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
