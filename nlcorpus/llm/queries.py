@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nlcorpus.llm import boosted, crf, fertility, jaccard, pieces, rollup, spans, urls
+from nlcorpus.llm import boosted, crf, fertility, jaccard, pieces, rollup, spans, suffixes, urls
 from nlcorpus.llm.common import documents
 from nlcorpus.session import scratch_path
 
@@ -112,6 +112,12 @@ def op6_shingle_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_classes(documents(spark, sf_dir))
 
 
+@query("op7_suffix_tree")
+def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document under a suffix tree grown from the documents outside the held-out fold."""
+    return suffixes.score(documents(spark, sf_dir))
+
+
 @query("op8_piece_chunks")
 def op8_piece_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
