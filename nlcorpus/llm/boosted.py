@@ -193,3 +193,18 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     scored = measured.mapInArrow(run, f"k {kind}, score double").withColumnRenamed("k", key)
     return scored.select(key, (bucket(F.col(key), FOLDS) == HELD_OUT).alias("held_out"), "score",
                          (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
+             label: str = "quality") -> DataFrame:
+    """The rows of ``docs`` that score ``ACCEPT`` or more, all columns as they are; without a shuffle of texts."""
+    trees = train(saved(features(docs, key, text), "statistics"), labels, key, label)
+    place = docs.columns.index(text)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = WordCodes()
+        for batch in slices(batches, place):
+            x = statistics([t or "" for t in batch.column(place).to_pylist()], codes)
+            yield batch.filter(pa.array(trees.scores(x) >= ACCEPT))
+
+    return docs.mapInArrow(run, docs.schema)

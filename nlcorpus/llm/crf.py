@@ -482,3 +482,34 @@ def find(docs: DataFrame, rows: list[str] | None = None, key: str = "doc_id", te
     kind = frame.schema["k"].dataType.simpleString()
     spans = "array<struct<kind:string,start:int,end:int>>"
     return frame.mapInArrow(run, f"k {kind}, t string, base {spans}, spans {spans}").toDF(key, text, "base", "spans")
+
+
+def masked_text(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """The text with every span replaced by ``[KIND]``; what overlaps an earlier span goes with it."""
+    out, end = [], 0
+    for start, stop, kind in spans:
+        if start >= end:
+            out += [text[end:start], f"[{kind.upper()}]"]
+        end = max(end, stop)
+    return "".join([*out, text[end:]])
+
+
+def mask(docs: DataFrame, rows: list[str] | None = None, text: str = "text") -> DataFrame:
+    """``docs`` with personal data in ``text`` replaced by its kind in brackets; all columns and rows stay.
+
+    Null texts stay null. One pass without a shuffle.
+    """
+    model = train([r for r in LABELLED.strip().split("\n")] if rows is None else rows)
+    place = docs.columns.index(text)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder(model)
+        for batch in slices(batches, place):
+            values = batch.column(place).to_pylist()
+            texts = [t or "" for t in values]
+            every = (merged(base_spans(t), m) for t, m in zip(texts, field_spans(texts, decoder)))
+            done = [None if v is None else masked_text(v, spans) for v, spans in zip(values, every)]
+            columns = [*batch.columns[:place], pa.array(done, batch.schema.field(place).type), *batch.columns[place + 1:]]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nlcorpus.llm import boosted, crf, fertility, jaccard, pieces, rollup, spans, suffixes, urls
+from nlcorpus.llm import boosted, crf, fertility, jaccard, pieces, rollup, semantic, spans, suffixes, urls
 from nlcorpus.llm.common import documents
 from nlcorpus.session import scratch_path
 
@@ -91,6 +91,12 @@ def op4_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boosted.score(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
+@query("op5_semantic_leaks")
+def op5_semantic_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in a document."""
+    return semantic.leaks(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
 @query("op6_shingle_classes", """
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
