@@ -130,9 +130,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     later = alone.join(firsts, ["h1", "h2"]).where(
         ~(F.col("k").eqNullSafe(F.col("fk")) & (F.col("start") == F.col("fs"))))
     gone = (later.select("k", "start", "end").unionByName(found.where("repeat").select("k", "start", "end"))
-            .groupBy("k").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__gone")))
-    kept = [c for c in docs.columns if c not in ("n_sentences", "n_removed", "words_removed", "__gone", "k")]
-    joined = docs.select(kept).join(gone, F.col(key).eqNullSafe(F.col("k")), "left").drop("k")
+            .groupBy(F.col("k").alias("__k")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__gone")))
+    kept = [c for c in docs.columns if c not in ("n_sentences", "n_removed", "words_removed")]
+    joined = docs.select(kept).join(gone, F.col(key).eqNullSafe(F.col("__k")), "left")
     joined = joined.select(*[c for c in kept if c != text], F.col("__gone.start").alias("__from"),
                            F.col("__gone.end").alias("__to"), text)
 
