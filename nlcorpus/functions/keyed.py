@@ -9,30 +9,29 @@ from pyspark.sql import functions as F
 
 from nlcorpus.session import materialize
 
-HOT_KEYS = 1000  # at most this many keys are treated as hot, so the broadcast below is bounded
-HOT_ROWS = 10_000  # a key with fewer rows fits any task
-
-
 def lookup_join(df: DataFrame, table: DataFrame, key: str, weight: str, spread: Sequence[str],
                 how: str = "left") -> DataFrame:
     """Join every row of ``df`` to its row of ``table`` (unique ``key``) without a hot reducer.
 
-    The ``HOT_KEYS`` heaviest keys by ``weight`` are copied once per salt and their rows in ``df`` are
-    spread over the salts by a hash of ``spread``. Any other key has few rows, or at most 1/HOT_KEYS of all.
-    ``table`` should cover the frequent keys of ``df``: filter its values after the join, not before. It is
-    read three times, so it is written once.
+    A key is hot when its ``weight`` is more than an even share, the total over the number of shuffle partitions,
+    so fewer keys than partitions can be hot and the broadcast is bounded. Its row of ``table`` is copied once per
+    even share it holds, and its rows in ``df`` are spread over the copies by a hash of ``spread``. ``table`` should
+    cover the frequent keys of ``df``: filter its values after the join, not before. It is read three times, so it
+    is written once.
     """
     spark = df.sparkSession
     table = materialize(table, "lookup")
-    salts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    hot = (table.where(F.col(weight) >= HOT_ROWS).orderBy(F.desc(weight), key).limit(HOT_KEYS)
-           .select(key, F.lit(True).alias("__hot")))
-    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(F.lit(0))
-    copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    total = table.agg((F.sum(weight) / F.lit(parts)).alias("__share"))
+    shares = F.col(weight) / F.col("__share")
+    hot = (table.join(F.broadcast(total), F.col(weight) > F.col("__share"))  # one row
+           .select(key, F.least(F.ceil(shares), F.lit(parts)).cast("int").alias("__copies")))
+    salt = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("__copies")), F.lit(0))
+    copies = F.sequence(F.lit(0), F.coalesce("__copies", F.lit(1)) - 1)
     rows = (df.join(F.broadcast(hot), key, "left")
-            .withColumn("__salt", salt.cast("int")).drop("__hot"))
+            .withColumn("__salt", salt.cast("int")).drop("__copies"))
     copied = (table.join(F.broadcast(hot), key, "left")
-              .withColumn("__salt", F.explode(copies)).drop("__hot"))
+              .withColumn("__salt", F.explode(copies)).drop("__copies"))
     return rows.join(copied, [key, "__salt"], how).drop("__salt")
 
 

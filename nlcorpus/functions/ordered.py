@@ -38,21 +38,27 @@ def add_ordinal(df: DataFrame, order: Sequence[str | Column], out: str, start: i
             .drop("__part", "__offset", "__place"))
 
 
-def rank_by_digest(df: DataFrame, digest: Column, out: str) -> DataFrame:
-    """Dense rank of rows by a uniform hex digest, lazily and without a global window.
+def first_by_digest(df: DataFrame, digest: Column, rows: Column, out: str) -> DataFrame:
+    """Mark with ``out`` the rows whose uniform hex digest is among the first ``rows`` (an aggregate over ``df``).
 
-    The first four digits split the rows into at most 65,536 even buckets; a row's rank is its rank in
-    the bucket plus the rows of all smaller buckets.
+    Only digests are counted and ranked: four digits say in which of at most 65,536 even buckets the cut lies, the
+    digests of that bucket alone are ranked, and every row is then decided by comparing it with the cut, where it
+    is. Rows with equal digests fall on the same side.
     """
-    keyed = df.withColumn("__digest", digest).withColumn("__bucket", F.substring("__digest", 1, 4))
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (keyed.groupBy("__bucket").agg(F.count("*").alias("__n"))
-               .select("__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset")))
-    inside = F.row_number().over(Window.partitionBy("__bucket").orderBy("__digest"))
-    return (keyed.withColumn("__inside", inside)
-            .join(F.broadcast(offsets), "__bucket")  # at most 16^4 rows
-            .withColumn(out, F.col("__offset") + F.col("__inside"))
-            .drop("__digest", "__bucket", "__inside", "__offset"))
+    keyed = df.withColumn("__digest", digest)
+    bucket = F.substring("__digest", 1, 4).alias("__bucket")
+    upto = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = (keyed.groupBy(bucket).agg(F.count("*").alias("__n"))  # at most 16^4 rows
+            .withColumn("__end", F.sum("__n").over(upto)))
+    place = (ends.join(F.broadcast(df.agg(rows.alias("__rows"))), (F.col("__rows") > F.col("__end") - F.col("__n"))
+                       & (F.col("__rows") <= F.col("__end")))
+             .select("__bucket", (F.col("__rows") - F.col("__end") + F.col("__n")).alias("__place")))
+    inside = keyed.select("__digest", bucket).join(F.broadcast(place), "__bucket")  # one row
+    ranked = inside.withColumn("__rank", F.row_number().over(Window.partitionBy("__bucket").orderBy("__digest")))
+    cut = ranked.where(F.col("__rank") == F.col("__place")).agg(F.max("__digest").alias("__cut"))
+    return (keyed.join(F.broadcast(cut))  # one row, null when no row is among the first
+            .withColumn(out, F.coalesce(F.col("__digest") <= F.col("__cut"), F.lit(False)))
+            .drop("__digest", "__cut"))
 
 
 def chunk_of(position: Column, rows: int = CHUNK_ROWS) -> Column:
@@ -64,6 +70,14 @@ def _keyed(keys: Sequence[str]) -> list[str]:
     return [*keys, "__chunk"]
 
 
+def _with_carry(rows: DataFrame, carry: DataFrame, grouped: Sequence[str]) -> DataFrame:
+    """Each row with its chunk's summary; null keys and null positions are groups and chunks like others."""
+    names = {c: f"__of_{i}" for i, c in enumerate(grouped)}
+    named = carry.withColumnsRenamed(names)
+    same = [rows[c].eqNullSafe(named[n]) for c, n in names.items()]
+    return rows.join(named, same).drop(*names.values())
+
+
 def islands(df: DataFrame, keys: Sequence[str], position: str, looks_at: Sequence[str],
             starts: Callable[[Column, Column], Column], out: str = "island",
             previous: str | None = None, chunk: Column | None = None) -> DataFrame:
@@ -105,7 +119,7 @@ def islands(df: DataFrame, keys: Sequence[str], position: str, looks_at: Sequenc
                  F.sum(F.col("__inner") + F.col("__opens")).over(
                      over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("__opens"))
              .select(*grouped, "__before", "__base"))
-    rows = rows.join(carry, grouped).withColumn(out, F.col("__run") + F.col("__base"))
+    rows = _with_carry(rows, carry, grouped).withColumn(out, F.col("__run") + F.col("__base"))
     if previous:
         rows = rows.withColumn(
             previous, F.when(F.col("__head"), F.col("__before")).otherwise(F.col("__prev")))
@@ -129,6 +143,6 @@ def fill_forward(df: DataFrame, keys: Sequence[str], position: str, value: Colum
         F.max_by("__value", F.when(F.col("__value").isNotNull(), F.col(position))).alias("__last"))
     over = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     carry = lasts.select(*grouped, F.last("__last", ignorenulls=True).over(over).alias("__carried"))
-    return (rows.join(carry, grouped)
+    return (_with_carry(rows, carry, grouped)
             .withColumn(out, F.coalesce("__here", "__carried"))
             .drop("__chunk", "__value", "__here", "__carried"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nlcorpus.functions import arrays
-from nlcorpus.functions.ordered import add_ordinal, rank_by_digest
+from nlcorpus.functions.ordered import add_ordinal, first_by_digest
 from nlcorpus.operators.clean import select_with_defaults
 
 SPLIT_SEED = 4831  # fixed value: default seed of the split
@@ -16,14 +16,16 @@ TRAIN_COLUMNS = ("nl_enc", "nl_char_enc", "ast_seq_enc", "edge_order_seq", "allo
 def train_valid_split(df: DataFrame, id_column: str, fraction: float, seed: int = SPLIT_SEED) -> DataFrame:
     """Add ``split``: exactly ``round(fraction * n)`` rows, half to even, are ``train``, the rest ``valid``.
 
-    Rows are ranked by a digest of id and seed, so the same input always splits the same way.
+    The first rows by a digest of id and seed are chosen, so the same input always splits the same way. A null id
+    counts as an empty one, rows of one id follow a hash of their other columns, and rows that are equal in every
+    column fall on the same side, which moves the cut by their number at most.
     """
-    key = F.md5(F.concat(F.col(id_column).cast("string"), F.lit(f"-{seed}")))
-    total = df.agg(F.bround(F.count("*") * F.lit(fraction), 0).cast("long").alias("__train_rows"))
-    return (rank_by_digest(df, key, "__rank").withColumn("__one", F.lit(1))
-            .join(F.broadcast(total.withColumn("__one", F.lit(1))), "__one")  # a single row
-            .withColumn("split", F.when(F.col("__rank") <= F.col("__train_rows"), "train").otherwise("valid"))
-            .drop("__rank", "__one", "__train_rows"))
+    plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    own = F.md5(F.concat(F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.lit(f"-{seed}")))
+    key = F.concat(own, F.lpad(F.hex(F.xxhash64(*plain)), 16, "0"))
+    rows = F.bround(F.count("*") * F.lit(fraction), 0).cast("long")
+    return (first_by_digest(df, key, rows, "__train")
+            .withColumn("split", F.when(F.col("__train"), "train").otherwise("valid")).drop("__train"))
 
 
 def load_sets(spark: SparkSession, combined: str | None = None, fraction: float | None = None,

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from nlcorpus.operators.joins import present_in
 
 
-def rank_candidates(candidates: DataFrame, keys: list[str], score: str, tie: str, k: int, valid: Column | None = None,
+def rank_candidates(candidates: DataFrame, keys: list[str], score: str, tie: str, k: int | None, valid: Column | None = None,
                     text: str | None = None, keep_invalid: bool = False) -> DataFrame:
     """The k best (lowest score) candidates of each input with their 1-based ``rank``.
 
     Invalid candidates are dropped unless kept; with ``text`` given, empty text is invalid too. The limit is
-    applied before the shuffle as well, so an input with very many candidates costs k rows per task.
+    applied before the shuffle as well, so an input with very many candidates costs k rows per task. Without ``k``
+    all candidates are ranked.
     """
     rows = candidates
     if not keep_invalid:
@@ -22,7 +23,8 @@ def rank_candidates(candidates: DataFrame, keys: list[str], score: str, tie: str
             ok = ok & F.coalesce(F.col(text) != "", F.lit(False))
         rows = rows.where(ok)
     w = Window.partitionBy(*keys).orderBy(F.asc(score), F.asc(tie))
-    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = rows.withColumn("rank", F.row_number().over(w))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
 def mask_candidates(candidates: DataFrame, allowed: DataFrame, on: list[str], keys: list[str], score: str, tie: str,

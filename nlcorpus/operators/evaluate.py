@@ -50,14 +50,16 @@ def validity_counts(df: DataFrame, predicted: str = "predicted") -> DataFrame:
                   F.coalesce(F.sum(F.size(predicted) - null), F.lit(0)).alias("num_valid_predictions"))
 
 
-def candidate_stats(df: DataFrame, expected: str = "expected_tokens", predicted: str = "predicted_tokens") -> DataFrame:
-    """One row per record and candidate: n-gram matches and possible matches, lengths, sentence score.
+def candidate_stats(df: DataFrame, expected: str = "expected_tokens", predicted: str = "predicted_tokens",
+                    cuts: Sequence[int] = BLEU_CUTS) -> DataFrame:
+    """One row per record and candidate within the largest cut: n-gram matches and possible matches, lengths,
+    sentence score.
 
     A record without candidates gets one empty-word candidate of score 0. Token lists are placed by record
     and rank once; n-grams are made, counted and clipped after that, so they are never shuffled.
     """
     none = F.array(F.array(F.lit("")))
-    candidates = F.when(F.size(predicted) > 0, F.col(predicted)).otherwise(none)
+    candidates = F.when(F.size(predicted) > 0, F.slice(predicted, 1, max(cuts))).otherwise(none)
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so small texts stay spread
     rows = (df.select("id", F.col(expected).alias("ref"), (F.size(predicted) > 0).alias("real"),
                       F.posexplode(candidates).alias("rank", "cand"))

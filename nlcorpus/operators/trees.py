@@ -17,7 +17,6 @@ from pyspark.sql import types as T
 
 from nlcorpus.functions import syntax
 from nlcorpus.functions.subword import Segmenter
-from nlcorpus.session import spread
 
 PARSED = {
     "parse_ok": ("boolean", pa.bool_()),
@@ -84,7 +83,7 @@ def parse_corpus(df: DataFrame, want: Sequence[str] = tuple(PARSED)[1:], snippet
                        for name, values in zip(("parse_ok", *want), zip(*parsed))]
             yield pa.RecordBatch.from_arrays(batch.columns + columns, batch.schema.names + ["parse_ok", *want])
 
-    return spread(df).mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def linearised(tokens: Column) -> Column:

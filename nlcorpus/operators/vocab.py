@@ -12,15 +12,15 @@ from pyspark.sql import types as T
 
 from nlcorpus.functions import subword
 from nlcorpus.functions.ordered import add_ordinal
+from nlcorpus.operators.clean import valid_text
 from nlcorpus.operators.joins import reverse_lookup, vocab_lookup
 from nlcorpus.operators.trees import literal_text
-from nlcorpus.session import materialize, spread
+from nlcorpus.session import materialize
 
 # The special pieces and their ids.
 SPECIALS = (("<pad>", 0), ("<unk>", 1), ("<s>", 2), ("</s>", 3))
 UNK, BOS, EOS = 1, 2, 3
 SPACE = "▁"
-MAX_BROADCAST_PIECES = 1_000_000  # larger vocabularies are joined, not shipped to workers
 
 
 @F.pandas_udf(T.StringType())
@@ -43,8 +43,9 @@ def count_vocab(occurrences: DataFrame, piece: str | Column) -> DataFrame:
 
 
 def char_occurrences(df: DataFrame, text: str) -> DataFrame:
-    """One row per character of valid text."""
-    return df.select(F.explode(F.split(text, "")).alias("ch")).where("ch <> ''")
+    """One row per character of the valid texts, spaces as the marker that pieces hold."""
+    marked = df.where(valid_text(F.col(text))).select(F.replace(F.col(text), F.lit(" "), F.lit(SPACE)).alias("t"))
+    return marked.select(F.explode(F.split("t", "")).alias("ch")).where("ch <> ''")
 
 
 def word_counts(df: DataFrame, text: str, whitespace_as_suffix: bool = False, split_digits: bool = False,
@@ -76,7 +77,7 @@ def bpe_vocab(words: DataFrame, vocab_size: int = 800, max_piece_length: int = 1
     one (a merge changes only the counts of pairs that hold one of its symbols). Units are rewritten with
     native string functions; the unit table is written out every ``cut_every`` merges to cut its lineage.
     """
-    state = materialize(spread(subword.spelled(words)), "bpe")
+    state = materialize(subword.spelled(words), "bpe")
     chars = (state.select("cnt", F.explode(subword.symbols("state")).alias("ch")).groupBy("ch")
              .agg(F.sum("cnt").alias("cnt")))
     alphabet = [r["ch"] for r in chars.orderBy(F.desc("cnt"), "ch").collect()]  # Unicode bounds this
@@ -104,11 +105,12 @@ def bpe_vocab(words: DataFrame, vocab_size: int = 800, max_piece_length: int = 1
 
 
 def vocab_ids(vocab: DataFrame) -> dict[str, int]:
-    """Vocabulary as a dict for workers; raises when it is too large to ship."""
-    rows = vocab.select("piece", "id").limit(MAX_BROADCAST_PIECES + 1).collect()
-    if len(rows) > MAX_BROADCAST_PIECES:
-        raise ValueError("vocabulary too large for workers, use vocab_lookup")
-    return {r["piece"]: r["id"] for r in rows}
+    """Subword or character vocabulary as a dict.
+
+    Its size is set by ``vocab_size`` or by the characters of Unicode, not by the corpus. Word vocabularies grow with
+    the corpus and are joined instead (``vocab_lookup``).
+    """
+    return {r["piece"]: r["id"] for r in vocab.select("piece", "id").collect()}
 
 
 def encode_nl(df: DataFrame, text: str, vocab: DataFrame, out: str = "nl_enc", out_pieces: str | None = None,
@@ -117,15 +119,16 @@ def encode_nl(df: DataFrame, text: str, vocab: DataFrame, out: str = "nl_enc", o
 
     Words are segmented in Arrow batches with a per-worker memo, so nothing is shuffled.
     """
-    ids = vocab_ids(vocab)
+    shared = vocab.sparkSession.sparkContext.broadcast(vocab_ids(vocab))
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def pieces(texts: pd.Series) -> pd.Series:
-        segment = subword.Segmenter(ids, **units)
+        segment = subword.Segmenter(shared.value, **units)
         return texts.map(segment, na_action="ignore")
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def encoded(cut: pd.Series) -> pd.Series:
+        ids = shared.value
         return cut.map(lambda ps: None if ps is None else [BOS, *(ids.get(p, UNK) for p in ps), EOS])
 
     cut = out_pieces or "__pieces"
@@ -134,19 +137,27 @@ def encode_nl(df: DataFrame, text: str, vocab: DataFrame, out: str = "nl_enc", o
 
 
 def decode_nl(ids: Column, vocab: DataFrame) -> Column:
-    """Text of an id array: start and end dropped, pieces joined, markers to spaces. For shippable vocabularies."""
-    by_id = {i: p for p, i in vocab_ids(vocab).items()}
-    pieces = F.array(*[F.lit(by_id.get(i, "")) for i in range(max(by_id) + 1)])
-    inner = F.slice(ids, F.lit(2), F.greatest(F.size(ids) - 2, F.lit(0)))
-    return literal_text(F.transform(inner, lambda i: F.get(pieces, i)))
+    """Text of an id array: start and end dropped, pieces joined, markers to spaces. For subword vocabularies.
+
+    An id outside the vocabulary reads as the unknown piece.
+    """
+    shared = vocab.sparkSession.sparkContext.broadcast({i: p for p, i in vocab_ids(vocab).items()})
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def spelled(lists: pd.Series) -> pd.Series:
+        pieces, unknown = shared.value, SPECIALS[UNK][0]
+        return lists.map(lambda x: None if x is None else [pieces.get(i, unknown) for i in x[1:-1]])
+
+    return literal_text(spelled(ids))
 
 
 def encode_chars(df: DataFrame, pieces: str, char_vocab: DataFrame, out: str = "nl_char_enc") -> DataFrame:
     """Character ids of every piece, with an empty list for the start and the end."""
-    ids = vocab_ids(char_vocab)
+    shared = char_vocab.sparkSession.sparkContext.broadcast(vocab_ids(char_vocab))
 
     @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
     def spelled(cut: pd.Series) -> pd.Series:
+        ids = shared.value
         return cut.map(lambda ps: None if ps is None else [
             [], *([ids.get(c, UNK) for c in p] for p in ps), []])
 
@@ -175,15 +186,20 @@ def encode_tree(tokens: DataFrame, target_vocab: DataFrame, source_vocab: DataFr
 
 
 def decode(ids: DataFrame, vocab: DataFrame) -> DataFrame:
-    """``(id_, text)`` from ``(id_, pos, id)`` rows: start and end dropped, pieces joined, marker to space."""
-    inner = ids.where(~F.col("id").isin(BOS, EOS))
-    pieces = reverse_lookup(inner, vocab, ["id_", "pos"])
+    """``(id_, text)`` from ``(id_, pos, id)`` rows: start and end dropped, pieces joined, marker to space.
+
+    A record of start and end alone has an empty text; an id outside the vocabulary reads as the unknown piece.
+    """
+    ends = F.col("id").isin(BOS, EOS)
+    named = reverse_lookup(ids.where(~ends), vocab, ["id_", "pos"]).select(
+        "id_", "pos", F.coalesce("piece", F.lit(SPECIALS[UNK][0])).alias("piece"))
+    pieces = named.unionByName(ids.where(ends).select("id_", "pos", F.lit("").alias("piece")))
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("pos", "piece"))), lambda p: p["piece"])
     return pieces.groupBy("id_").agg(
         F.replace(F.array_join(ordered, ""), F.lit(SPACE), F.lit(" ")).alias("text"))
 
 
-def oov_report(tokens: DataFrame, vocab: DataFrame, spread: list[str]) -> DataFrame:
+def oov_report(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     """Tokens outside the vocabulary with their counts. Tokens are counted before they are looked up."""
     counts = tokens.groupBy("token").agg(F.count("*").alias("cnt"))
     known = vocab.select(F.col("piece").alias("token"))

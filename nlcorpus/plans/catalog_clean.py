@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from nlcorpus.operators import clean, dataset, joins, segment, vocab
 from nlcorpus.plans import views
 from nlcorpus.plans.registry import Tables, query
-from nlcorpus.session import spread
 
 
 @query("B1_select_with_defaults", """SELECT doc_id, lang, 'none' AS nl_char_enc, 'd' || doc_id AS id
@@ -126,7 +125,7 @@ def postprocess_predictions(t: Tables):
 @query("B13_normalise_snippets", """SELECT l_orderkey, CASE WHEN closed THEN replace(ok_text, ',tax', ', tax')
  ELSE snippet END AS normal, count(*) AS n FROM snip GROUP BY ALL""", "snip")
 def normalise_snippets(t: Tables):
-    rows = spread(views.snippets(t)).select("l_orderkey", clean.normalise_code(F.col("snippet")).alias("normal"))
+    rows = views.snippets(t).select("l_orderkey", clean.normalise_code(F.col("snippet")).alias("normal"))
     return rows.groupBy("l_orderkey", "normal").agg(F.count("*").alias("n"))
 
 
@@ -200,17 +199,12 @@ def cross_expand(t: Tables):
     return joins.open_text_fields(fields, edges.select("parent", "child"), leaves)
 
 
-@query("C7_grammar_set_ops", """SELECT page_id, pos, parent, child FROM links WHERE page_id % 5 = 0
- AND (parent, child) NOT IN (SELECT (parent, child) FROM links WHERE page_id % 5 <> 0 GROUP BY parent, child
- HAVING count(*) > 2 * (SELECT count(*) FROM pages WHERE page_id % 5 <> 0))""", "links")
+@query("C7_grammar_set_ops", """SELECT item_id, pos, parent, child FROM item_edges
+ WHERE (parent, child) NOT IN (SELECT (parent, child) FROM doc_edges)""", "item_edges doc_edges")
 def grammar_set_ops(t: Tables):
-    """Test links whose edge is not among the common train edges (over two per page), duplicates kept."""
-    links = views.links(t)
-    pages = t.pages.where("page_id % 5 <> 0").count()
-    train = links.where("page_id % 5 <> 0").groupBy("parent", "child").agg(F.count("*").alias("n")).where(
-        F.col("n") > 2 * pages)
-    return joins.missing_from(links.where("page_id % 5 = 0"), train, ["parent", "child"],
-                              ["page_id", "pos"]).select("page_id", "pos", "parent", "child")
+    """Word successions of the benchmark that no document has, duplicates kept."""
+    return joins.missing_from(views.successions(t.benchmark, "item_id"), views.successions(t.documents, "doc_id"),
+                              ["parent", "child"], ["item_id", "pos"])
 
 
 @query("C8_union_drop_ids", """SELECT DISTINCT CAST(doc_id AS VARCHAR) AS id FROM (SELECT doc_id FROM labels

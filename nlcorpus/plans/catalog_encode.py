@@ -29,19 +29,24 @@ def word_vocab(t: Tables):
     return vocab.count_vocab(parsed.select(F.explode(plain).alias("token")), "token")
 
 
-@query("G2_char_vocab", vocab_sql("""SELECT ch AS piece, count(*) AS cnt FROM (SELECT unnest(string_split(text, ''))
- AS ch FROM documents) GROUP BY ch"""))
+def char_counts_sql(table: str) -> str:
+    """Characters of the valid texts, spaces as markers."""
+    return f"""SELECT ch AS piece, count(*) AS cnt FROM (SELECT unnest(string_split(replace(text, ' ', '{vocab.SPACE}'), ''))
+ AS ch FROM {table} WHERE NOT regexp_matches(text, '[^\\x{{01}}-\\x{{FF}}]')) GROUP BY ch"""
+
+
+@query("G2_char_vocab", vocab_sql(char_counts_sql("documents")))
 def char_vocab(t: Tables):
     return vocab.count_vocab(vocab.char_occurrences(t.documents, "text"), "ch")
 
 
-def document_vocab(t: Tables, size: int):
-    return vocab.bpe_vocab(vocab.word_counts(t.documents, "text"), size)
+def document_vocab(t: Tables):
+    return vocab.bpe_vocab(vocab.word_counts(t.documents, "text"))
 
 
 @query("G3_bpe_vocab")
 def bpe_vocab(t: Tables):
-    return document_vocab(t, 160)
+    return document_vocab(t)
 
 
 @query("G4_normalise_nfkc", "SELECT doc_id, md5(text) AS digest FROM documents")
@@ -54,24 +59,23 @@ def normalise_nfkc(t: Tables):
 @query("G5_encode_nl", "SELECT doc_id, 2 AS first_id, 3 AS last_id, false AS unknown, md5(text) AS back FROM documents")
 def encode_nl(t: Tables):
     """Documents as subword ids, with their ends, unknown pieces and the text the ids give back."""
-    table = materialize(document_vocab(t, 120), "vocab")
+    table = materialize(document_vocab(t), "vocab")
     rows = vocab.encode_nl(t.documents.select("doc_id", "text"), "text", table)
     return rows.select("doc_id", F.get("nl_enc", F.lit(0)).alias("first_id"), F.element_at("nl_enc", -1).alias("last_id"),
                        F.array_contains("nl_enc", vocab.UNK).alias("unknown"),
                        F.md5(vocab.decode_nl(F.col("nl_enc"), table)).alias("back"))
 
 
-@query("G6_encode_chars", """SELECT conv_id, turn, md5(string_agg(ids, '|' ORDER BY pos)) AS digest FROM (
- SELECT conv_id, turn, pos, string_agg(CAST(id AS VARCHAR), ',' ORDER BY i) AS ids FROM (SELECT conv_id, turn, pos,
- unnest(range(1, length(w) + 1)) AS i, unnest(string_split(w, '')) AS ch FROM (SELECT conv_id, turn,
- unnest(range(len(ws))) AS pos, unnest(ws) AS w FROM (SELECT conv_id, turn, string_split(text, ' ') AS ws
- FROM conversations)) WHERE w <> '') JOIN (SELECT ch AS piece, 3 + row_number() OVER (ORDER BY count(*) DESC, ch) AS id
- FROM (SELECT unnest(string_split(text, '')) AS ch FROM conversations) GROUP BY ch) ON piece = ch
- GROUP BY conv_id, turn, pos) GROUP BY conv_id, turn""")
+@query("G6_encode_chars", f"""SELECT conv_id, turn, md5(string_agg(ids, '|' ORDER BY pos)) AS digest FROM (
+ SELECT conv_id, turn, pos, string_agg(CAST(coalesce(id, 1) AS VARCHAR), ',' ORDER BY i) AS ids FROM (SELECT conv_id,
+ turn, pos, unnest(range(1, length(w) + 1)) AS i, unnest(string_split(w, '')) AS ch FROM (SELECT conv_id, turn,
+ unnest(range(len(ws))) AS pos, '{vocab.SPACE}' || unnest(ws) AS w FROM (SELECT conv_id, turn, string_split(text, ' ')
+ AS ws FROM conversations))) LEFT JOIN (SELECT piece, 3 + row_number() OVER (ORDER BY cnt DESC, piece) AS id FROM (
+ {char_counts_sql("conversations")})) ON piece = ch GROUP BY conv_id, turn, pos) GROUP BY conv_id, turn""")
 def encode_chars(t: Tables):
-    """Words stand in for subword pieces, so the ids can be checked."""
+    """Words with their marker stand in for subword pieces, so the ids can be checked."""
     table = vocab.count_vocab(vocab.char_occurrences(t.conversations, "text"), "ch")
-    pieces = F.filter(views.words("text"), lambda w: w != "")
+    pieces = F.transform(views.words("text"), lambda w: F.concat(F.lit(vocab.SPACE), w))
     rows = vocab.encode_chars(t.conversations.withColumn("pieces", pieces), "pieces", table)
     inner = F.filter("nl_char_enc", lambda c: F.size(c) > 0)
     text = F.array_join(F.transform(inner, lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")), "|")
@@ -127,12 +131,12 @@ def vocab_dump(t: Tables):
     return one_row(table.select("id", "piece"), size)
 
 
-@query("G10_oov_report", """SELECT token, count(*) AS cnt FROM tok WHERE doc_id % 5 = 0 AND token NOT IN (
- SELECT token FROM tok WHERE doc_id % 5 <> 0) GROUP BY token""", "tok")
+@query("G10_oov_report", """SELECT token, count(*) AS cnt FROM tok WHERE token NOT IN (
+ SELECT unnest(string_split(text, ' ')) FROM conversations) GROUP BY token""", "tok")
 def oov_report(t: Tables):
-    tokens = views.tokens(t)
-    known = tokens.where("doc_id % 5 <> 0").groupBy(F.col("token").alias("piece")).count()
-    return vocab.oov_report(tokens.where("doc_id % 5 = 0"), known, ["doc_id"])
+    """Words of the documents that the conversations do not have."""
+    known = t.conversations.select(F.explode(views.words("text")).alias("piece")).groupBy("piece").count()
+    return vocab.oov_report(views.tokens(t), known)
 
 
 @query("H1_train_valid_split", SPLIT_SQL, "doc_ids")
@@ -209,7 +213,7 @@ def preproc_outputs(t: Tables):
     Reported are the intent the ids give back, whether the aligned sequences have the same length, and the
     depth and number of nodes, which are the same for all orders.
     """
-    ready = preprocess.prepare(views.order_code(t), vocab_size=120)
+    ready = preprocess.prepare(views.order_code(t))
     aligned = (F.size("ast_seq_enc") == F.size("edge_order_seq")) & (
         F.size("ast_seq_enc") == F.size("allowed_tokens")) & (F.size("nl_enc") == F.size("nl_char_enc"))
     intent = vocab.decode_nl(F.col("nl_enc"), ready.vocabularies.source)

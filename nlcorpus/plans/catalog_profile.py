@@ -272,7 +272,7 @@ def curate_documents(t: Tables):
 @query("flagship_curated_pairs", """SELECT id, md5(intent) AS intent, md5(snippet) AS snippet FROM pairs_v WHERE id NOT IN (
  SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY snippet ORDER BY nb, block) AS rn FROM pairs_v) WHERE rn > 1)
  AND id NOT IN (SELECT id FROM code_words JOIN (SELECT word, count(*) AS f FROM code_words GROUP BY word) USING (word)
- WHERE f <= 1 AND length(word) > 12)""".replace("code_words", """(SELECT id, unnest(list_filter(string_split(
+ WHERE f <= 1)""".replace("code_words", """(SELECT id, unnest(list_filter(string_split(
  regexp_replace(regexp_replace(regexp_replace(snippet, '([^A-Za-z0-9_])', ' \\1 ', 'g'), '([a-z])([A-Z])', '\\1 \\2', 'g'),
  '\\s+', ' ', 'g'), ' '), lambda w: w <> '')) AS word FROM pairs_v)"""), "pairs_v")
 def flagship_curated_pairs(t: Tables):

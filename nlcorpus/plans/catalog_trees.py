@@ -120,16 +120,13 @@ def allowed_children(t: Tables):
     return rows.select("page_id", "pos", "tag", F.array_join("allowed", " ").alias("allowed"))
 
 
-@query("E10_grammar_conformance", """SELECT page_id, pos, parent, child FROM links WHERE page_id % 5 = 0
- AND (parent, child) NOT IN (SELECT (parent, child) FROM links WHERE page_id % 5 <> 0 GROUP BY parent, child
- HAVING count(*) > (SELECT count(*) FROM pages WHERE page_id % 5 <> 0))""", "links")
+@query("E10_grammar_conformance", """SELECT doc_id, pos, parent, child FROM doc_edges
+ WHERE (parent, child) NOT IN (SELECT (parent, child) FROM turn_edges)""", "doc_edges turn_edges")
 def grammar_conformance(t: Tables):
-    """Links of the test pages that a grammar of the usual train edges (over one per page) does not allow."""
-    links = views.links(t)
-    pages = t.pages.where("page_id % 5 <> 0").count()
-    known = grammar.extract_edges(links.where("page_id % 5 <> 0"), ["page_id", "pos"]).where(F.col("cnt") > pages)
-    return grammar.nonconforming(links.where("page_id % 5 = 0"), known, "page_id").select(
-        "page_id", "pos", "parent", "child")
+    """Word successions of the documents that a grammar taken from the conversations does not allow."""
+    turns = t.conversations.select(F.struct("conv_id", "turn").alias("at"), "text")
+    known = grammar.extract_edges(views.successions(turns, "at"), ["at", "pos"])
+    return grammar.nonconforming(views.successions(t.documents, "doc_id"), known, "doc_id")
 
 
 @query("E11_canonical_order", """SELECT page_id, pos, tag, CAST(row_number() OVER (PARTITION BY page_id, parent_pos

@@ -10,11 +10,11 @@ from nlcorpus.operators import curate, evaluate
 from nlcorpus.session import materialize
 
 
-def curated_pairs(pairs: DataFrame, rare: int = 1, longer_than: int = 12) -> DataFrame:
-    """Pairs with new code and without long, rare words.
+def curated_pairs(pairs: DataFrame, rare: int = 1, longer_than: int = 0) -> DataFrame:
+    """Pairs with new code and without rare words.
 
-    A pair goes when its code occurred before, or when it holds a word of more than ``longer_than``
-    characters that occurs at most ``rare`` times in all code. The pairs are written once, since three
+    A pair goes when its code occurred before, or when it holds a word that occurs at most ``rare`` times in all
+    code (of more than ``longer_than`` characters; by default any). The pairs are written once, since three
     branches read them.
     """
     pairs = materialize(pairs, "pairs")

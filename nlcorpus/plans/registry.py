@@ -7,21 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from nlcorpus.plans.views import with_views
-from nlcorpus.session import ship_package, spread
+from nlcorpus.session import dealt, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-TEXT_TABLES = ("documents", "conversations", "pages")
-
-
 class Tables:
-    """The given tables of one scale directory, read on first use of each name.
-
-    Tables with texts that come in fewer files than there are cores are dealt out to all cores.
-    Larger corpora come in more files and are read in place.
-    """
+    """The given tables of one scale directory, read in place (see :func:`nlcorpus.session.dealt`)."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -29,8 +22,7 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        return spread(table) if name in TEXT_TABLES else table
+        return dealt(self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
 
 
 def query(name: str, sql: str | None = None, views: str = ""):

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from nlcorpus.operators import decode, segment, trees
 
-MAX_PREDICTIONS = 20  # results kept per input when candidates become a prediction record
-
 _VOID = ", ".join(f"'{t}'" for t in trees.VOID_TAGS)
 _CODE_TOKENS = r"""list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(replace(replace({0}, '"',
  '`'), '''', '`'), '([^A-Za-z0-9_])', ' \1 ', 'g'), '([a-z])([A-Z])', '\1 \2', 'g'), '\s+', ' ', 'g'), ' '),
@@ -56,6 +54,12 @@ SQL_VIEWS: dict[str, tuple[str, str]] = {
         FROM blocks JOIN nbs ON blocks.nb = nbs.nb WHERE intent <> '' AND snippet <> '')"""),
     "tok": ("", """SELECT doc_id, unnest(range(len(ws))) AS pos, unnest(ws) AS token
         FROM (SELECT doc_id, string_split(text, ' ') AS ws FROM documents)"""),
+    "doc_edges": ("", """SELECT doc_id, unnest(range(len(ws) - 1)) AS pos, unnest(ws[:-2]) AS parent,
+        unnest(ws[2:]) AS child FROM (SELECT doc_id, string_split(text, ' ') AS ws FROM documents)"""),
+    "item_edges": ("", """SELECT item_id, unnest(range(len(ws) - 1)) AS pos, unnest(ws[:-2]) AS parent,
+        unnest(ws[2:]) AS child FROM (SELECT item_id, string_split(text, ' ') AS ws FROM benchmark)"""),
+    "turn_edges": ("", """SELECT unnest(ws[:-2]) AS parent, unnest(ws[2:]) AS child
+        FROM (SELECT string_split(text, ' ') AS ws FROM conversations)"""),
     "lits": ("tok", """SELECT doc_id AS id, token AS literal, count(*) AS n FROM tok GROUP BY ALL"""),
     "lit_freq": ("lits", "SELECT literal, CAST(sum(n) AS BIGINT) AS freq FROM lits GROUP BY literal"),
     "tag_names": ("", """SELECT page_id, unnest(range(len(ns))) AS pos, lower(unnest(ns)) AS name
@@ -80,8 +84,8 @@ SQL_VIEWS: dict[str, tuple[str, str]] = {
     "depths": ("tag_events", "SELECT page_id AS id, max(level) AS max_depth FROM tag_events GROUP BY page_id"),
     "answers": ("", """SELECT conv_id AS id, turn, text, CASE WHEN length(text) % 7 = 0 THEN NULL
         WHEN length(text) % 11 = 0 THEN '' ELSE text END AS pred FROM conversations WHERE role = 'assistant'"""),
-    "ranked": ("answers", f"""SELECT * FROM (SELECT id, pred, row_number() OVER (PARTITION BY id ORDER BY turn)
-        AS rank FROM answers WHERE contains(text, chr(10))) WHERE rank <= {MAX_PREDICTIONS}"""),
+    "ranked": ("answers", """SELECT id, pred, row_number() OVER (PARTITION BY id ORDER BY turn) AS rank
+        FROM answers"""),
     "expected": ("answers", "SELECT id, arg_max(text, turn) AS expected FROM answers GROUP BY id"),
     "cand": ("ranked expected", """SELECT e.id, e.expected, r.rank, r.pred FROM expected e
         LEFT JOIN ranked r ON r.id = e.id"""),
@@ -185,6 +189,13 @@ def tokens(t) -> DataFrame:
     return t.documents.select("doc_id", F.posexplode(words("text")).alias("pos", "token"))
 
 
+def successions(texts: DataFrame, key: str) -> DataFrame:
+    """``(key, pos, parent, child)``: every word with the next one, as edges of a grammar."""
+    pairs = F.arrays_zip(words("text").alias("parent"), F.slice(words("text"), 2, 2 ** 31 - 1).alias("child"))
+    return (texts.select(key, F.posexplode(pairs).alias("pos", "e"))
+            .select(key, F.col("pos").cast("long").alias("pos"), "e.parent", "e.child").where("child is not null"))
+
+
 def literals(t) -> DataFrame:
     """Per-document word histogram ``(id, literal, n)``; a document's words combine in the task that splits it."""
     return (t.documents.select(F.col("doc_id").alias("id"), F.explode(words("text")).alias("literal"))
@@ -223,13 +234,12 @@ def depths(t) -> DataFrame:
 def predictions(t) -> DataFrame:
     """``(id, expected, predicted)``: a conversation's last answer against its answers in turn order.
 
-    Only answers of several lines are predictions, so some conversations have none; some are null or empty.
+    All answers are predictions, so the last one is among them unless it is made null or empty, as some are.
     """
     answers = t.conversations.where("role = 'assistant'").withColumnRenamed("conv_id", "id")
     n = F.length("text")
-    predicted = answers.where(F.contains("text", F.lit("\n"))).withColumn(
-        "pred", F.when(n % 7 != 0, F.when(n % 11 == 0, "").otherwise(F.col("text"))))
-    ranked = decode.rank_candidates(predicted, ["id"], "turn", "turn", MAX_PREDICTIONS, keep_invalid=True)
+    predicted = answers.withColumn("pred", F.when(n % 7 != 0, F.when(n % 11 == 0, "").otherwise(F.col("text"))))
+    ranked = decode.rank_candidates(predicted, ["id"], "turn", "turn", None, keep_invalid=True)
     table = decode.prediction_table(ranked, "id", {"pred": "predicted"})
     expected = answers.groupBy("id").agg(F.max_by("text", "turn").alias("expected"))
     return expected.join(table, "id", "left").withColumn(

@@ -33,7 +33,8 @@ def build_session(app: str = "nlcorpus", master: str | None = None, **conf) -> S
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    A temporary folder stands in only for a local master, where driver and executors are one process.
+    It must be set on a cluster. Only where it is unset and the master is local, where driver and executors are
+    one process, a temporary folder stands in, as in tests.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -62,13 +63,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Enough partitions for Python work: rows of fewer files than cores are dealt out evenly.
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows dealt into ``spark.nlcorpus.inputPartitions`` partitions if the caller set that, else as they were read.
 
-    Larger inputs already come in many splits and are left where they are.
+    For inputs of one unsplittable file on a machine with more cores; by default the reader's splits stay.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    parts = df.sparkSession.conf.get("spark.nlcorpus.inputPartitions", None)
+    return df.repartition(int(parts)) if parts else df
 
 
 def ship_package(spark: SparkSession) -> None:

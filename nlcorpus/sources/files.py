@@ -65,9 +65,18 @@ def convert_json(spark: SparkSession, source: str, target: str, schema: T.Struct
     write_json(read_json(spark, source, schema), target)
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def name_order(file: Column) -> Column:
+    """Sort key of a file name: numbers of parts compare as numbers, so ``part-100000`` follows ``part-99999``."""
+    number = F.regexp_extract(file, r"part-(\d+)[^/]*$", 1)
+    return F.struct(F.regexp_replace(file, r"part-\d+([^/]*)$", "part-"), F.lpad(number, 20, "0"), file)
+
+
+def read_lines(spark: SparkSession, path: str, file: str | None = None) -> DataFrame:
     """``(line_no, value)`` with 0-based numbers over all files below ``path`` in name order.
 
+    ``file`` names a column for the file a line is from. The broadcast holds one row per file split, some hundred
+    bytes each: a hundred thousand splits are ten megabytes.
+
     Rows of one file split are contiguous, so a line's number is its place in the split plus the lines of
     all earlier splits. Only one row per split takes part in the running total.
     """
@@ -76,13 +85,14 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
              .select("value", F.col("_metadata.file_path").alias("__file"),
                      F.col("_metadata.file_block_start").alias("__from"))
              .withColumn("__seq", F.monotonically_increasing_id()))
-    before = Window.orderBy("__file", "__from").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(name_order(F.col("__file")), "__from").rowsBetween(Window.unboundedPreceding, -1)
     splits = (lines.groupBy("__file", "__from")
               .agg(F.min("__seq").alias("__head"), F.count("*").alias("__n"))
               .withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0)))
               .drop("__n"))
     return (lines.join(F.broadcast(splits), ["__file", "__from"])  # one row per file split
-            .select((F.col("__offset") + F.col("__seq") - F.col("__head")).alias("line_no"), "value"))
+            .select((F.col("__offset") + F.col("__seq") - F.col("__head")).alias("line_no"), "value",
+                    *([F.col("__file").alias(file)] if file else [])))
 
 
 def write_lines(df: DataFrame, value: str | Column, order: list[str | Column], path: str) -> None:
@@ -117,13 +127,13 @@ def read_csv_pairs(spark: SparkSession, path: str, separator: str = ";", source_
 
 def read_file_pair(spark: SparkSession, source_path: str, target_path: str,
                    newline_marker: str | None = "\\n", id_prefix: str = "") -> DataFrame:
-    """Pairs from two line-aligned files; raises when they differ in length."""
-    n_source, n_target = spark.read.text(source_path).count(), spark.read.text(target_path).count()
-    if n_source != n_target:
-        raise ValueError(f"line counts differ: {n_source} and {n_target}")
+    """Pairs from two line-aligned files; running it raises when they differ in length."""
     source = read_lines(spark, source_path).withColumnRenamed("value", "intent")
     target = read_lines(spark, target_path).withColumnRenamed("value", "snippet")
-    return (source.join(target, "line_no")
+    whole = F.col("intent").isNotNull() & F.col("snippet").isNotNull()
+    told = F.raise_error(F.concat(F.lit("line counts differ: line "), "line_no", F.lit(" has no partner")))
+    return (source.join(target, "line_no", "full")
+            .withColumn("line_no", F.when(whole, F.col("line_no")).otherwise(told.cast("long")))
             .select(F.concat(F.lit(id_prefix), (F.col("line_no") + 1).cast("string")).alias("id"),
                     "intent", unescape_newlines(F.col("snippet"), newline_marker).alias("snippet")))
 
@@ -142,8 +152,11 @@ def write_id_list(df: DataFrame, path: str, id_column: str = "id") -> None:
 
 
 def write_stats_json(df: DataFrame, path: str) -> None:
-    """A one-row frame as a single pretty-printed JSON object."""
-    df.limit(1).select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("value")).write.text(path)
+    """A one-row frame as a single pretty-printed JSON object; raises when there is another row."""
+    rows = df.select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("value")).limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError("statistics must be exactly one row")
+    df.sparkSession.createDataFrame(rows, "value string").coalesce(1).write.text(path)
 
 
 def read_stats_json(spark: SparkSession, path: str) -> dict:

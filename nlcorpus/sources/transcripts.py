@@ -41,9 +41,9 @@ def _group(text: str, pattern: str, group: int):
 
 
 def _under_headers(spark: SparkSession, path: str, header: str, name: str) -> DataFrame:
-    lines = read_lines(spark, path).withColumn("__file", F.lit(0))
-    return fill_forward(lines, ["__file"], "line_no", _group("value", header, 1), name,
-                        chunk_of(F.col("line_no"))).drop("__file")
+    """Lines with the last heading above them in their own file."""
+    return fill_forward(read_lines(spark, path, "file"), ["file"], "line_no", _group("value", header, 1), name,
+                        chunk_of(F.col("line_no")))
 
 
 def read_intents(spark: SparkSession, path: str) -> DataFrame:
@@ -60,5 +60,5 @@ def read_stories(spark: SparkSession, path: str) -> DataFrame:
     steps = (rows.withColumn("kind", _group("value", STEP_LINE, 1))
              .withColumn("name", _group("value", STEP_LINE, 2))
              .where(F.col("kind").isNotNull() & F.col("story").isNotNull()))
-    return (number_rows(steps, ["story"], "line_no", "step", chunk_of(F.col("line_no")))
+    return (number_rows(steps, ["file", "story"], "line_no", "step", chunk_of(F.col("line_no")))
             .select("story", "step", "kind", "name"))
