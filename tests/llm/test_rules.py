@@ -310,3 +310,17 @@ def test_shingles():
     codes = np.arange(9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     assert len(shingle_codes(codes)) == 5 and len(shingle_codes(codes[:3])) == 1 and not len(shingle_codes(codes[:0]))
     assert not np.intersect1d(shingle_codes(codes[:4]), shingle_codes(codes))[:].size
+
+
+def test_personal_data_query(spark, texts):
+    """Counts, digest and spans of the query against the plain rules."""
+    import hashlib
+
+    from nlcorpus.llm.queries import QUERIES
+
+    for row in QUERIES["op3_field_pii"](spark, FOLDER).collect():
+        base = plain_base(texts[row["doc_id"]])
+        assert [row[f"n_{k}"] for k in BASE] == [sum(s[2] == k for s in base) for k in BASE]
+        listed = ",".join(f"{k}:{a}:{b}" for a, b, k in base)
+        assert row["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest()
+        assert set(filter(None, listed.split(","))) <= set(row["spans"].split(","))
