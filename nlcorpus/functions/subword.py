@@ -99,3 +99,17 @@ class Segmenter:
         if self.digits:
             units = [part for u in units for part in re.findall(r"\d|\D+", u, re.S)]
         return [piece for u in units for piece in self.pieces_of(u)]
+
+
+def unknown_runs(pieces: list[str], known: dict[str, int]) -> list[str]:
+    """Pieces with every run of unknown ones as one piece."""
+    out: list[str] = []
+    inside = False
+    for piece in pieces:
+        unknown = piece not in known
+        if unknown and inside:
+            out[-1] += piece
+        else:
+            out.append(piece)
+        inside = unknown
+    return out

@@ -60,20 +60,20 @@ def _profile(text: str | None, walk: syntax.Walk, want: Sequence[str]) -> tuple:
 
 
 def parse_corpus(df: DataFrame, want: Sequence[str] = tuple(PARSED)[1:], snippet: str = "snippet",
-                 piece_ids: dict[str, int] | None = None) -> DataFrame:
+                 piece_ids: dict[str, int] | None = None, units: dict | None = None) -> DataFrame:
     """Add ``parse_ok`` and the wanted columns of ``PARSED`` to every row, in one parse per text.
 
     Tokens, kinds, paths and fields cover the whole sentence with its start and end marker; rows that do not
     parse keep nulls. Other columns pass through as Arrow data; copies of a text inside a batch are parsed
     and converted once, and workers remember recent texts. With a subword vocabulary, string literals are
-    cut into its pieces.
+    cut into its pieces, by the unit options it was made with.
     """
     want = list(want)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
     schema = ", ".join(fields + [f"{name} {PARSED[name][0]}" for name in ("parse_ok", *want)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        walk = syntax.Walk(Segmenter(piece_ids) if piece_ids else None)
+        walk = syntax.Walk(Segmenter(piece_ids, **(units or {})) if piece_ids else None)
         profile = lru_cache(maxsize=MEMO_TEXTS)(lambda text: _profile(text, walk, want))
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(snippet)).dictionary_encode()

@@ -115,7 +115,7 @@ def vocab_ids(vocab: DataFrame) -> dict[str, int]:
 
 def encode_nl(df: DataFrame, text: str, vocab: DataFrame, out: str = "nl_enc", out_pieces: str | None = None,
               **units) -> DataFrame:
-    """Subword ids of a text between start and end id; unknown characters get the unknown id.
+    """Subword ids of a text between start and end id; every run of unknown characters gets one unknown id.
 
     Words are segmented in Arrow batches with a per-worker memo, so nothing is shuffled.
     """
@@ -124,7 +124,7 @@ def encode_nl(df: DataFrame, text: str, vocab: DataFrame, out: str = "nl_enc", o
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def pieces(texts: pd.Series) -> pd.Series:
         segment = subword.Segmenter(shared.value, **units)
-        return texts.map(segment, na_action="ignore")
+        return texts.map(lambda t: subword.unknown_runs(segment(t), shared.value), na_action="ignore")
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def encoded(cut: pd.Series) -> pd.Series:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from nlcorpus.functions import syntax
 from nlcorpus.functions.keyed import first_of_each, lookup_join
+from nlcorpus.functions.ordered import add_ordinal
 from nlcorpus.operators import clean, dataset, grammar, trees, vocab
 from nlcorpus.session import materialize
 
@@ -37,13 +38,26 @@ def train_texts(parsed: DataFrame) -> DataFrame:
     return parsed.select(F.col("nl").alias("text")).unionByName(literals).where(clean.valid_text(F.col("text")))
 
 
-def build_vocabularies(pairs: DataFrame, vocab_size: int = 800, **bpe) -> Vocabularies:
-    """Vocabularies of the pairs ``(id, nl, snippet)`` that parse."""
+def numbered(pairs: DataFrame) -> DataFrame:
+    """Pairs written once with ``rec``, a number of their own that follows ingest order.
+
+    Ids may repeat; records are told apart, joined and compared by ``rec``. Where there is no id, it is the 0-based
+    row number.
+    """
+    if "id" not in pairs.columns:
+        rows = pairs.withColumn("__at", F.monotonically_increasing_id())
+        pairs = add_ordinal(rows, ["__at"], "id", start=0).drop("__at")
+    return materialize(pairs.withColumn("rec", F.monotonically_increasing_id()), "pairs")
+
+
+def build_vocabularies(pairs: DataFrame, vocab_size: int = 800, units: dict | None = None, **bpe) -> Vocabularies:
+    """Vocabularies of the pairs ``(nl, snippet)`` that parse; ``units`` are the options of ``vocab.word_counts``."""
     parsed = materialize(trees.parse_corpus(pairs, ("tokens",)).where("parse_ok").select("nl", "tokens"), "parsed")
     texts = train_texts(parsed)
     plain = parsed.select(F.explode(trees.without_strings(trees.linearised(F.col("tokens")))).alias("token"))
     target = vocab.count_vocab(plain, "token")
-    return Vocabularies(source=materialize(vocab.bpe_vocab(vocab.word_counts(texts, "text"), vocab_size, **bpe), "vocab"),
+    return Vocabularies(source=materialize(vocab.bpe_vocab(vocab.word_counts(texts, "text", **(units or {})), vocab_size,
+                                                           **bpe), "vocab"),
                         characters=vocab.count_vocab(vocab.char_occurrences(texts, "text"), "ch"),
                         target=target, target_size=target.count())
 
@@ -59,19 +73,22 @@ def label_ids(v: Vocabularies) -> DataFrame:
 
 
 def prepare(pairs: DataFrame, vocabularies: Vocabularies | None = None, vocab_size: int = 800,
-            eliminate_duplicates: bool = False, check_roundtrip: bool = True, **bpe) -> Prepared:
-    """Training and statistics tables of pairs ``(id, intent, snippet[, rewritten_intent])``.
+            eliminate_duplicates: bool = False, check_roundtrip: bool = True, units: dict | None = None,
+            **bpe) -> Prepared:
+    """Training and statistics tables of pairs ``([id,] intent, snippet[, rewritten_intent])``.
 
-    Records that do not parse, do not survive the round trip, or hold an unknown token are dropped. The
-    allowed tokens of a position are given as the open field, to be looked up in ``allowed``.
+    Records that do not parse, do not survive the round trip, or hold an unknown token are dropped; ids may repeat.
+    The allowed tokens of a position are given as the open field, to be looked up in ``allowed``. ``units`` (digit
+    splitting, spaces as suffix, no dummy prefix, unsplit texts) hold for training and encoding alike.
     """
-    pairs = clean.drop_null_rows(clean.coalesce_intent(pairs), ["id", "nl"]).select("id", "nl", "snippet")
-    v = vocabularies or build_vocabularies(pairs, vocab_size, **bpe)
+    pairs = clean.coalesce_intent(numbered(pairs))
+    pairs = clean.drop_null_rows(pairs, ["id", "nl"]).select("rec", "id", "nl", "snippet")
+    v = vocabularies or build_vocabularies(pairs, vocab_size, units, **bpe)
     wanted = ["tokens", "kinds", "paths", "fields", "edge_counts", "max_depth"] + ["roundtrip_ok"] * check_roundtrip
-    parsed = trees.parse_corpus(pairs, wanted, piece_ids=vocab.vocab_ids(v.source)).where("parse_ok")
+    parsed = trees.parse_corpus(pairs, wanted, piece_ids=vocab.vocab_ids(v.source), units=units).where("parse_ok")
     parsed = materialize(trees.roundtrip_gate(parsed) if check_roundtrip else parsed, "parsed")
 
-    tokens = trees.token_table(parsed, "id")
+    tokens = trees.token_table(parsed, "rec")  # its id is the record number
     counts = tokens.groupBy("token").agg(F.count("*").alias("cnt"))
     known = materialize(counts.join(label_ids(v).withColumnRenamed("id", "label_id"), "token", "left"), "labels")
     labelled = lookup_join(tokens.select("id", "pos", "token"), known, "token", "cnt", ["id", "pos"])
@@ -79,25 +96,25 @@ def prepare(pairs: DataFrame, vocabularies: Vocabularies | None = None, vocab_si
         F.count(F.when(F.col("label_id").isNull(), 1)).alias("unknown"),
         F.sort_array(F.collect_list(F.struct("pos", "label_id"))).alias("seq"))
     encoded = sequences.where("unknown = 0").select(
-        "id", F.transform("seq", lambda s: s["label_id"].cast("int")).alias("ast_seq_enc"))
+        F.col("id").alias("rec"), F.transform("seq", lambda s: s["label_id"].cast("int")).alias("ast_seq_enc"))
 
     edges = grammar.sentence_edges(tokens).join(known.select(F.col("token").alias("child"), F.col("label_id").alias(
         "child_id")), "child")
-    rows = vocab.encode_nl(parsed, "nl", v.source, out_pieces="nl_pieces").join(encoded, "id")
+    rows = vocab.encode_nl(parsed, "nl", v.source, out_pieces="nl_pieces", **(units or {})).join(encoded, "rec")
     rows = (vocab.encode_chars(rows, "nl_pieces", v.characters)
             .withColumn("allowed_tokens", grammar.next_fields(F.col("fields"), F.col("kinds")))
             .withColumn("ast_seq", F.array_join(trees.linearised(F.col("tokens")), " "))
             .withColumnRenamed("paths", "edge_order_seq"))
-    train, stats = dataset.preproc_outputs(rows)
-    if eliminate_duplicates:
-        train = first_of_each(train, ["nl_enc", "ast_seq_enc"], "id")
+    _, stats = dataset.preproc_outputs(rows)
+    kept = first_of_each(rows, ["nl_enc", "ast_seq_enc"], "rec") if eliminate_duplicates else rows
+    train, _ = dataset.preproc_outputs(kept)
     return Prepared(v, edges, grammar.field_children(edges, "child_id"), train, stats)
 
 
-def prepare_test(pairs: DataFrame, v: Vocabularies) -> DataFrame:
+def prepare_test(pairs: DataFrame, v: Vocabularies, units: dict | None = None) -> DataFrame:
     """Test table: encoded intents with snippet and token list; nothing is dropped."""
     rows = clean.coalesce_intent(pairs)
     rows = trees.parse_corpus(rows.select("id", "nl", "snippet"), ("tokens",))
     rows = rows.withColumn("ast_seq_list", trees.linearised(F.col("tokens")))
-    rows = vocab.encode_nl(rows, "nl", v.source, out_pieces="nl_pieces")
+    rows = vocab.encode_nl(rows, "nl", v.source, out_pieces="nl_pieces", **(units or {}))
     return dataset.test_set(vocab.encode_chars(rows, "nl_pieces", v.characters))
