@@ -3,9 +3,7 @@ import random
 from nlcorpus.functions import keyed
 
 
-def test_lookup_join_with_hot_and_cold_keys(spark, monkeypatch):
-    monkeypatch.setattr(keyed, "HOT_KEYS", 3)
-    monkeypatch.setattr(keyed, "HOT_ROWS", 80)
+def test_lookup_join_with_hot_and_cold_keys(spark):
     rnd = random.Random(1)
     rows = [(i, "hot" if rnd.random() < 0.4 else rnd.choice(["b", "c", "d", "e", "missing"])) for i in range(600)]
     table = [("hot", 1, 300), ("b", 2, 90), ("c", 3, 80), ("d", 4, 5), ("e", 5, 1), ("unused", 6, 0)]
@@ -28,10 +26,9 @@ def test_first_and_later_copies(spark):
     assert sorted(r.o for r in keyed.later_duplicates(df, ["x", "y"], "o").collect()) == [5, 9]
 
 
-def test_list_difference_keeps_duplicates(spark, monkeypatch):
+def test_list_difference_keeps_duplicates(spark):
     from nlcorpus.operators import joins
 
-    monkeypatch.setattr(keyed, "HOT_ROWS", 5)
     rows = [(i, "hot" if i % 2 else "k" + str(i % 7), i % 3) for i in range(60)]
     left = spark.createDataFrame(rows, "i int, a string, b int")
     right = spark.createDataFrame([("hot", 1), ("k2", 2), ("k4", 0), ("k4", 0)], "a string, b int")
@@ -40,3 +37,15 @@ def test_list_difference_keeps_duplicates(spark, monkeypatch):
     assert sorted(map(tuple, out.select("i", "a", "b").collect())) == [r for r in rows if r[1:] not in listed]
     kept = joins.present_in(left, right, ["a", "b"], ["i"])
     assert sorted(map(tuple, kept.select("i", "a", "b").collect())) == [r for r in rows if r[1:] in listed]
+
+
+def test_every_key_above_an_even_share_is_salted(spark):
+    """Twenty keys of equal weight among few partitions, and one that holds most: copies follow the weight."""
+    table = [(f"k{i}", i, 10) for i in range(20)] + [("most", 99, 2000)]
+    lookup = spark.createDataFrame(table, "k string, v int, w int")
+    rows = [(i, f"k{i % 20}") for i in range(200)] + [(1000 + i, "most") for i in range(2000)]
+    df = spark.createDataFrame(rows, "i int, k string")
+    joined = keyed.lookup_join(df, lookup, "k", "w", ["i"])
+    assert joined.count() == 2200 and joined.where("v is null").count() == 0
+    plan = joined._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan

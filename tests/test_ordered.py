@@ -64,10 +64,24 @@ def test_add_ordinal_over_many_partitions(spark):
     assert sorted(r.n for r in got) == list(range(1, 701))
 
 
-def test_rank_by_digest(spark):
-    df = spark.range(500)
-    got = ordered.rank_by_digest(df, F.md5(F.col("id").cast("string")), "n").collect()
-    import hashlib
-    by_digest = sorted(range(500), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
-    assert [r.id for r in sorted(got, key=lambda r: r.n)] == by_digest
-    assert sorted(r.n for r in got) == list(range(1, 501))
+def test_first_by_digest(spark):
+    df = spark.range(3000)
+    key = F.md5(F.col("id").cast("string"))
+    order = [r.id for r in df.orderBy(key).collect()]
+    for n in (0, 1, 1234, 3000):
+        got = ordered.first_by_digest(df, key, F.lit(n).cast("long") + F.count("*") * 0, "first").where("first").collect()
+        assert sorted(r.id for r in got) == sorted(order[:n])
+
+
+def test_null_keys_stay(spark):
+    from nlcorpus.operators import dataset, dialogue
+
+    split = dataset.train_valid_split(spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (None, "d"), (3, "e")],
+                                                            "id int, x string"), "id", 0.6).collect()
+    assert len(split) == 5 and sum(r.split == "train" for r in split) == 3
+    events = spark.sql("select * from values (1, timestamp'2024-01-01 10:00:00'), (cast(null as int), "
+                       "timestamp'2024-01-01 10:00:00'), (1, cast(null as timestamp)) as t(user, at)")
+    assert dialogue.sessions(events, "user", "at").count() == 3
+    rows = spark.createDataFrame([(None, 1, "x"), (None, 2, None), (1, None, None)], "g int, p long, v string")
+    filled = ordered.fill_forward(rows, ["g"], "p", F.col("v"), "f", ordered.chunk_of(F.col("p"))).collect()
+    assert {(r.g, r.p, r.f) for r in filled} == {(None, 1, "x"), (None, 2, "x"), (1, None, None)}

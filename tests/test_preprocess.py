@@ -37,3 +37,26 @@ def test_prepare(spark):
     assert sorted(r.id for r in again.train.collect()) == [1, 2, 5]
     test = preprocess.prepare_test(pairs, ready.vocabularies)
     assert test.count() == 6 and set(test.columns) == {"nl_enc", "nl_char_enc", "snippet", "id", "nl", "ast_seq_list"}
+
+
+def test_repeated_and_missing_ids(spark):
+    pairs = spark.createDataFrame([("10_1", "call f with text", "f('ab')"), ("2_1", "call f with one", "f(1)"),
+                                   ("10_1", "call g with one", "g(1, 2)"), ("2_1", "call f with text", "f('ab')")],
+                                  "id string, intent string, snippet string").coalesce(1)
+    ready = preprocess.prepare(pairs, vocab_size=40)
+    train = ready.train.collect()
+    assert sorted(r.id for r in train) == ["10_1", "10_1", "2_1", "2_1"]
+    assert all(len(r.ast_seq_enc) == len(r.edge_order_seq) == len(r.allowed_tokens) for r in train)
+    once = preprocess.prepare(pairs, ready.vocabularies, eliminate_duplicates=True).train.collect()
+    assert sorted(r.id for r in once) == ["10_1", "10_1", "2_1"]  # the first in file stays, not the smallest id
+    plain = preprocess.prepare(pairs.drop("id"), ready.vocabularies).train.collect()
+    assert sorted(r.id for r in plain) == [0, 1, 2, 3]
+
+
+def test_unit_options(spark):
+    pairs = spark.createDataFrame([(1, "call f 12 times", "f('a 1')"), (2, "call g 21 times", "g(1)")],
+                                  "id int, intent string, snippet string")
+    ready = preprocess.prepare(pairs, vocab_size=45, units={"split_digits": True, "add_dummy_prefix": False})
+    source = {r.id: r.piece for r in ready.vocabularies.source.collect()}
+    texts = {r.id: [source[i] for i in r.nl_enc[1:-1]] for r in ready.train.collect()}
+    assert "".join(texts[1]) == "call▁f▁12▁times" and "12" not in texts[1] and "1" in texts[1]

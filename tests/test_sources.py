@@ -157,3 +157,30 @@ def test_dialogue_rules(spark):
     words = spark.createDataFrame([("k", "Ab", 2)], "k string, word string, n long")
     grams = {r.gram: r.n for r in dialogue.char_ngrams(words, "k").collect()}
     assert grams == {" ": 4, "a": 2, "b": 2, " a": 2, "ab": 2, "b ": 2, " ab": 2, "ab ": 2, " ab ": 2}
+
+
+def test_statistics_are_one_row(spark, tmp_path):
+    from nlcorpus.sources import files
+
+    with pytest.raises(ValueError):
+        files.write_stats_json(spark.range(2), str(tmp_path / "two"))
+    with pytest.raises(ValueError):
+        files.write_stats_json(spark.range(0), str(tmp_path / "none"))
+
+
+def test_parts_are_read_in_number_order(spark, tmp_path):
+    from nlcorpus.sources import files
+
+    for name in ("part-99999-x", "part-100000-x", "part-00001-x"):
+        text_file(tmp_path, name, f"{name}\n")
+    lines = sorted((r.line_no, r.value) for r in files.read_lines(spark, str(tmp_path)).collect())
+    assert [v for _, v in lines] == ["part-00001-x", "part-99999-x", "part-100000-x"]
+
+
+def test_headings_end_with_their_file(spark, tmp_path):
+    from nlcorpus.sources import transcripts
+
+    text_file(tmp_path, "a.yml", "- intent: greet\n  examples: |\n    - hi\n")
+    text_file(tmp_path, "b.yml", "    - orphan\n- intent: leave\n  examples: |\n    - bye\n")
+    rows = transcripts.read_intents(spark, str(tmp_path)).collect()
+    assert {(r.intent, r.example) for r in rows} == {("greet", "hi"), ("leave", "bye")}

@@ -98,3 +98,24 @@ def test_encode_tree_drops_unknown(spark):
 def test_nfkc(spark):
     df = spark.createDataFrame([("ﬁ Ａ²",), (None,)], "t string")
     assert [r[0] for r in df.select(vocab.normalise_nfkc(F.col("t"))).collect()] == ["fi A2", None]
+
+
+def test_runs_of_unknown_characters(spark):
+    table = spark.createDataFrame([("<pad>", 0), ("<unk>", 1), ("<s>", 2), ("</s>", 3), ("▁", 4), ("a", 5)],
+                                  "piece string, id int")
+    df = spark.createDataFrame([("a€€€a",), ("€ €",)], "t string")
+    rows = vocab.encode_nl(df, "t", table, out_pieces="p").collect()
+    assert [r.nl_enc for r in rows] == [[2, 4, 5, 1, 5, 3], [2, 4, 1, 4, 1, 3]]
+    assert "".join(rows[0].p) == "▁a€€€a"
+
+
+def test_decode_keeps_records(spark):
+    table = spark.createDataFrame([("<unk>", 1, 0), ("▁ab", 4, 3)], "piece string, id long, cnt long")
+    ids = [("empty", 0, 2), ("empty", 1, 3), ("odd", 0, 2), ("odd", 1, 4), ("odd", 2, 77), ("odd", 3, 3)]
+    got = vocab.decode(spark.createDataFrame(ids, "id_ string, pos int, id long"), table).collect()
+    assert {r.id_: r.text for r in got} == {"empty": "", "odd": " ab<unk>"}
+
+
+def test_characters_of_valid_texts(spark):
+    df = spark.createDataFrame([("a b",), ("a\u20ac",), (None,)], "t string")
+    assert sorted(r.ch for r in vocab.char_occurrences(df, "t").collect()) == ["a", "b", "▁"]
