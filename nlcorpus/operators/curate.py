@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nlcorpus.functions.keyed import later_duplicates, lookup_join
+from nlcorpus.functions.keyed import later_duplicates
 from nlcorpus.operators import clean, joins, profile
 
 
@@ -34,10 +34,12 @@ def rare_literal(owned: DataFrame, frequency: DataFrame, threshold: int) -> Data
     """Records that own a literal with corpus frequency up to the threshold.
 
     ``owned`` holds ``(id, literal)`` rows, repeats allowed, and ``frequency`` all corpus counts
-    ``(literal, freq)``.
+    ``(literal, freq)``. A literal in the wanted set has at most ``threshold`` rows, so no key that matches is hot and
+    nothing is copied; frequent literals only have to find no partner, which a small set tells as a broadcast, a
+    large one through Spark's runtime filter, and splitting a skewed side of the semi join does no harm.
     """
-    counted = lookup_join(owned.select("id", "literal"), frequency, "literal", "freq", ["id"], "inner")
-    return counted.where(F.col("freq").between(0, threshold)).select("id").distinct()
+    rare = frequency.where(F.col("freq").between(0, threshold)).select("literal")
+    return owned.select("id", "literal").join(rare, "literal", "left_semi").select("id").distinct()
 
 
 def drop_ids(pairs: DataFrame | None = None, elements: DataFrame | None = None,

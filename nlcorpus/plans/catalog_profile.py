@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from nlcorpus.functions.arrays import map_text
-from nlcorpus.operators import curate, grammar, profile
+from nlcorpus.operators import curate, grammar, profile, trees
 from nlcorpus.plans import flagship, views
 from nlcorpus.plans.registry import Tables, query
 
@@ -278,3 +278,30 @@ def curate_documents(t: Tables):
 def flagship_curated_pairs(t: Tables):
     kept = flagship.curated_pairs(views.pairs(t))
     return kept.select("id", F.md5("intent").alias("intent"), F.md5("snippet").alias("snippet"))
+
+
+CODE_SQL = """o AS (SELECT o_orderkey AS id, 'place an order of ' || lower(o_orderpriority) || ' priority for customer '
+ || o_custkey || ' with status ' || o_orderstatus AS intent, 'order_' || o_custkey AS name, o_orderpriority AS p,
+ o_orderstatus AS s, CAST(CAST(floor(o_totalprice / 1000) AS BIGINT) AS VARCHAR) AS total FROM orders),
+code AS (SELECT *, name || ' = place(''' || p || ''', status=''' || s || ''', total=' || total || ')' AS snippet FROM o),
+own AS (SELECT id, '''' || name || '''' AS literal FROM o UNION ALL SELECT id, '''' || p || '''' FROM o
+ UNION ALL SELECT id, '''' || s || '''' FROM o UNION ALL SELECT id, total FROM o)"""
+
+
+@query("flagship_curated_code", f"""WITH {CODE_SQL} SELECT id, md5(intent) AS intent, md5(snippet) AS snippet FROM code
+ WHERE id NOT IN (SELECT id FROM own JOIN (SELECT literal, count(*) AS n FROM own GROUP BY literal) USING (literal)
+ WHERE n <= 1 OR length(literal) > 16) AND id NOT IN (SELECT id FROM (SELECT id, row_number() OVER (
+ PARTITION BY snippet ORDER BY id) AS rn FROM code) WHERE rn > 1)""")
+def flagship_curated_code(t: Tables):
+    """Orders spelled as calls that have no rare and no long literal and are no later copy."""
+    kept = flagship.curated_code(views.order_code(t), literal_length=16, list_length=5)
+    return kept.select("id", F.md5("intent").alias("intent"), F.md5("snippet").alias("snippet"))
+
+
+@query("F_g4_code_literal_histogram", f"""WITH {CODE_SQL} SELECT literal, count(*) AS n FROM (SELECT literal FROM own
+ UNION ALL SELECT unnest(['''place''', '''status''', '''total''', 'None', 'None', 'None', 'None']) FROM o)
+ GROUP BY literal""")
+def code_literal_histogram(t: Tables):
+    """How often every literal occurs in all code."""
+    parsed = trees.parse_corpus(views.order_code(t), ("edge_counts",)).where("parse_ok")
+    return profile.literal_histogram(trees.edge_table(parsed, "id"))
