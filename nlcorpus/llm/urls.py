@@ -85,9 +85,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], edges: DataFrame
     count too. Null addresses have no rule and no class and are allowed; repeated rows are judged alike.
     """
     named = components(links(pages, url, html) if edges is None else edges, "aliases")
-    # Two flags per class, combined before the shuffle: a class with most of the pages stays two numbers per task.
-    decided = (named.withColumn("m", rule_matches(F.col("node"), rules)).where(F.col("m").isNotNull())
-               .groupBy("component").agg(F.bool_or(F.col("m.verdict") == "allow").alias("allowed")))
+    # A flag per class, combined before the shuffle: a class with most of the pages stays a row per task. Written, so
+    # that the join below meets two plain tables: it broadcasts a small one, else it can split a class that is hot.
+    decided = saved(named.withColumn("m", rule_matches(F.col("node"), rules)).where(F.col("m").isNotNull())
+                    .groupBy("component").agg(F.bool_or(F.col("m.verdict") == "allow").alias("allowed")), "decided")
     decision = named.join(decided, "component").select(
         F.col("node").alias("__u"), F.when(F.col("allowed"), "allow").otherwise("block").alias("__class"))
     page = pages.select(F.col(key), F.col(url).alias("__url")).withColumn("__m", rule_matches(F.col("__url"), rules))
