@@ -47,10 +47,9 @@ def open_text_fields(fields: DataFrame, edges: DataFrame, literals: DataFrame) -
     total = literals.agg(F.count("*").alias("n_literals"))
     known = (edges.join(literals, edges["child"] == literals["literal"], "left_semi")
              .groupBy("parent").agg(F.count("*").alias("n_known")))
-    n_literals = total.first()[0]
-    return (fields.join(known, "parent", "left")
-            .select("parent", F.coalesce("n_known", F.lit(0)).alias("n_known"))
-            .withColumn("n_added", F.lit(n_literals).cast("long") - F.col("n_known")))
+    return (fields.join(known, "parent", "left").join(F.broadcast(total))  # one row
+            .select("parent", F.coalesce("n_known", F.lit(0)).alias("n_known"), "n_literals")
+            .select("parent", "n_known", (F.col("n_literals") - F.col("n_known")).alias("n_added")))
 
 
 def missing_from(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str]) -> DataFrame:
