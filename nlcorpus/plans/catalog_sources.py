@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from nlcorpus.operators import evaluate, grammar, vocab
+from nlcorpus.operators import dialogue, evaluate, grammar, vocab
 from nlcorpus.plans import views
 from nlcorpus.plans.registry import Tables, query
 from nlcorpus.session import scratch_path
@@ -133,16 +133,18 @@ def vocab_store(t: Tables):
     return stores.load_vocab(t.spark, path).select("piece", "cnt", "id")
 
 
-TURN_SQL = """SELECT q.conv_id, q.turn, md5(q.text) AS user_query, md5(coalesce(a.text, '')) AS answer
- FROM conversations q LEFT JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1
- AND a.role = 'assistant' WHERE q.role = 'user'"""
+REPLY_SQL = """(SELECT conv_id, asked, arg_min(text, turn) AS text FROM (SELECT a.conv_id, a.turn, a.text, (SELECT max(u.turn)
+ FROM conversations u WHERE u.conv_id = a.conv_id AND u.role = 'user' AND u.turn <= a.turn) AS asked
+ FROM conversations a WHERE a.role = 'assistant') GROUP BY conv_id, asked)"""
+TURN_SQL = f"""SELECT q.conv_id, q.turn, md5(q.text) AS user_query, md5(coalesce(a.text, '')) AS answer
+ FROM conversations q LEFT JOIN {REPLY_SQL} a ON a.conv_id = q.conv_id AND a.asked = q.turn WHERE q.role = 'user'"""
 
 
 def exchanges(t: Tables):
-    """Each question with the answer in the next turn, shaped as a transcript."""
+    """Each question with the first answer before the next question, shaped as a transcript."""
     turns = t.conversations
-    reply = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"),
-                                                    F.col("text").alias("reply"))
+    reply = dialogue.turn_pairs(turns).groupBy("conv_id", F.col("query_turn").alias("turn")).agg(
+        F.min_by("response", "turn").alias("reply"))
     text = F.coalesce("reply", F.lit(""))
     return turns.where("role = 'user'").join(reply, ["conv_id", "turn"], "left").select(
         "conv_id", "turn", F.col("text").alias("user_query"),
@@ -164,10 +166,10 @@ def read_transcripts_json(t: Tables):
     return exchange_report(transcripts.read_transcripts(t.spark, path))
 
 
-@query("A12_read_transcripts_csv", """SELECT conv_id, turn, md5(replace(user_text, chr(10), '\\n')) AS user_query,
+@query("A12_read_transcripts_csv", f"""SELECT conv_id, turn, md5(replace(user_text, chr(10), '\\n')) AS user_query,
  md5(replace(reply, chr(10), '\\n')) AS answer FROM (SELECT q.conv_id, q.turn, q.text AS user_text,
- coalesce(a.text, '') AS reply FROM conversations q LEFT JOIN conversations a ON a.conv_id = q.conv_id
- AND a.turn = q.turn + 1 AND a.role = 'assistant' WHERE q.role = 'user')""")
+ coalesce(a.text, '') AS reply FROM conversations q LEFT JOIN {REPLY_SQL} a ON a.conv_id = q.conv_id
+ AND a.asked = q.turn WHERE q.role = 'user')""")
 def read_transcripts_csv(t: Tables):
     path = scratch_path(t.spark, "transcripts.csv")
     rows = exchanges(t)
