@@ -79,7 +79,7 @@ class Rollup:
         """Apply a batch once; False when it had been applied before. Leftovers of a broken attempt are replaced."""
         if self.committed(batch):
             return False
-        summed(deltas).coalesce(1).write.mode("overwrite").parquet(self._folder(batch))
+        summed(deltas).write.mode("overwrite").parquet(self._folder(batch))
         return True
 
     def totals(self) -> DataFrame:
