@@ -57,19 +57,22 @@ def split_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+class _Codes(dict):
+    def __missing__(self, word: bytes) -> int:
+        code = self[word] = xxhash.xxh3_64_intdigest(word)
+        return code
+
+
 class WordCodes:
     """64-bit codes of words, remembered while a task runs."""
 
     def __init__(self):
-        self.memo: dict[bytes, int] = {}
+        self.memo = _Codes()
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        memo = self.memo
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        for word in set(words).difference(memo):
-            memo[word] = xxhash.xxh3_64_intdigest(word)
-        return np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words))
+        if len(self.memo) > MEMO_WORDS:
+            self.memo.clear()
+        return np.fromiter(map(self.memo.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
@@ -85,26 +88,30 @@ def shingle_codes(codes: np.ndarray, width: int = 5) -> np.ndarray:
         return codes
     width = min(width, len(codes))
     total = np.full(len(codes) - width + 1, width, dtype=np.uint64)
-    for place in range(width):
-        total += mixed(codes[place:len(codes) - width + 1 + place] * MULTIPLIERS[place])
-        total *= FINAL[1]
+    for place in range(width):  # the codes are mixed already, so a sum with one odd factor per place is enough
+        total += codes[place:len(codes) - width + 1 + place] * MULTIPLIERS[place]
     return np.unique(mixed(total))
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of ``edges(a, b)``: ``(node, component)`` with the least node as component.
 
-    Alternating large and small stars; every step is written to the shared folder. Nodes without an edge, and edges
-    with a null end, are not in the result. A hub's rows meet a one-row minimum in a join of two shuffled tables,
-    so adaptive execution can split it. Ends when a round leaves the edges as they are.
+    Alternating large and small stars until every node but the least of its component has one edge, to that least
+    node. Every step is written to the shared folder. Nodes without an edge, and edges with a null end, are not in the
+    result. A hub's rows meet a one-row minimum in a join of two plain tables, so adaptive execution can split it.
     """
     def least(pairs: DataFrame) -> DataFrame:
         return saved(pairs.groupBy("u").agg(F.min("v").alias("m")), f"{name}-least")
 
+    def unfinished(pairs: DataFrame) -> bool:
+        ends = pairs.select(F.col("u").alias("x"), F.lit(1).alias("up")).unionByName(
+            pairs.select(F.col("v").alias("x"), F.lit(0).alias("up")))
+        tally = ends.groupBy("x").agg(F.sum("up").alias("up"), F.count("*").alias("n"))
+        return not tally.where("up > 1 or (up = 1 and n > 1)").isEmpty()
+
     current = saved(edges.where(F.col("a") != F.col("b"))
                     .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-edges")
-    state = None
-    while True:
+    while unfinished(current):
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = saved(both.join(least(both), "u").where(F.col("v") > F.col("u"))
                       .select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), f"{name}-large")
@@ -112,10 +119,6 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         current = saved(joined.select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m")))
                                       .alias("e")).select(F.col("e.u").alias("u"), F.col("e.m").alias("v"))
                         .where(F.col("u") != F.col("v")).distinct(), f"{name}-small")
-        now = current.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if now == state:
-            break
-        state = now
     roots = current.select(F.col("v").alias("node")).distinct()
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         roots.select("node", F.col("node").alias("component")))
