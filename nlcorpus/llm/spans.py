@@ -153,5 +153,6 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                  pa.array(lost, pa.int64())], [*batch.schema.names[:-3], text, "n_sentences", "n_removed", "words_removed"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-3])
-    out = joined.mapInArrow(run, f"{fields}{', ' if fields else ''}`{text}` string, n_sentences long, n_removed long, words_removed long")
+    added = f"`{text}` string, n_sentences long, n_removed long, words_removed long"
+    out = joined.mapInArrow(run, f"{fields}, {added}" if fields else added)
     return out.select(*kept, "n_sentences", "n_removed", "words_removed")
