@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from nlcorpus.operators import dialogue, evaluate, grammar, vocab
+from nlcorpus.operators import dialogue, grammar, vocab
 from nlcorpus.plans import views
 from nlcorpus.plans.registry import Tables, query
 from nlcorpus.session import scratch_path

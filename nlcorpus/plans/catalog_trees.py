@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from nlcorpus.operators import grammar, joins, trees
+from nlcorpus.operators import grammar, trees
 from nlcorpus.plans import views
 from nlcorpus.plans.registry import Tables, query
 
