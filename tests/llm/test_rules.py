@@ -210,6 +210,26 @@ def test_classes_of_large_groups(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found.collect()} == brute_classes(texts)
 
 
+def test_links_between_main_components(spark):
+    """Two families, each one component of its own: what links their members is still found, in blocks of any kind."""
+    shared = [f"s{i}" for i in range(58)]
+    texts = {}
+    for side in range(2):
+        words = shared + [f"t{side}-{i}" for i in range(12)]
+        for i in range(80):
+            own = list(words)
+            own[-1 - i % 3] = f"x{side}-{i}"
+            texts[100 * side + i] = " ".join(own)
+        texts[100 * side + 80] = " ".join(words[:66])  # only these two link across
+    assert brute_classes({k: t for k, t in texts.items() if k not in (80, 180)})[100][1] == 100
+    members = [(k, [7, 100 + k // 100], k // 100 * 100) for k in texts]
+    found = jaccard.crossing(spark.createDataFrame(members, "k long, sigs array<long>, component long"),
+                             spark.createDataFrame([(k, k // 100) for k in texts], "k long, family long"),
+                             spark.createDataFrame(list(texts.items()), "k long, t string")).collect()
+    assert {(r["a"], r["b"]) for r in found} == {(80, 180)}
+    assert {c for _, c in brute_classes(texts).values()} == {0}
+
+
 def test_suffix_tree(spark, documents, texts):
     rows = {r["doc_id"]: r for r in suffixes.score(documents).collect()}
     counts = Counter()
