@@ -290,6 +290,24 @@ def test_spans_against_brute_force(spark, documents, texts):
         assert found[name]["text"] == left and found[name]["n_removed"] == len(gone.get(name, ()))
 
 
+def test_passages_inside_sentences(spark):
+    """The second copy of 51 words without marks goes wherever it stands in a sentence, and nothing else does."""
+    random.seed(12)
+    texts, passages = {}, {}
+    for i in range(60):
+        passages[i] = [f"p{i}-{j}" for j in range(51)]
+        for copy in range(2):
+            sides = [[f"s{i}-{copy}-{side}-{j}" for j in range(random.randrange(30))] for side in range(2)]
+            texts[2 * i + copy] = " ".join(sides[0] + passages[i] + sides[1])
+    found = {r["doc_id"]: r for r in spans.remove_repeats(
+        spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    for i, words in passages.items():
+        assert found[2 * i]["n_removed"] == 0 and found[2 * i]["text"] == texts[2 * i]
+        left = found[2 * i + 1]["text"].split()
+        assert len(set(words) & set(left)) <= 51 - 18
+        assert [w for w in texts[2 * i + 1].split() if w not in words] == [w for w in left if w not in words]
+
+
 def test_retrieval_recall(spark):
     """Against a look at every passage and item: nine of ten leaks are found, and nothing that is none."""
     folder = "/root/testdata/sf0.01"
