@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nlcorpus.llm import boosted, crf, fertility, jaccard, pieces, rollup, semantic, spans, suffixes, urls
+from nlcorpus.llm import boosted, codebooks, crf, exact, fertility, infill, jaccard, pieces, rollup, semantic, spans, suffixes, urls
 from nlcorpus.llm.common import documents
 from nlcorpus.session import scratch_path
 
@@ -176,3 +176,80 @@ LEFT JOIN classes c ON c.a = p.url LEFT JOIN decided d ON d.class = c.class""")
 def op10_url_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page. The SQL names the classes by canonical form, as no given page declares a link."""
     return urls.judge(documents(spark, sf_dir, "pages"), urls.RULES)
+
+
+@query("op11_digest_runs", """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
+  sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""")
+def op11_digest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one of its text that stays, which has the largest id."""
+    return exact.dedup(documents(spark, sf_dir), largest=True)
+
+
+def _assigned_sql(name: str, books: str) -> str:
+    """SQL for the nearest entry of every part under the codebooks ``books``."""
+    distance = " + ".join(f"(p.{x} - c.{x}) * (p.{x} - c.{x})" for x in "abcd")
+    return (f"{name} AS (SELECT r, part, m.e, m.d AS far FROM (SELECT p.r, p.part, min({{'d': {distance}, 'e': c.e}}) AS m "
+            f"FROM p JOIN {books} c ON c.part = p.part GROUP BY p.r, p.part))")
+
+
+def _updated_sql(name: str, books: str, assigned: str) -> str:
+    """SQL for the codebooks after the update by an assignment."""
+    means = ", ".join(f"CAST(floor(CAST(sum({x}) AS DOUBLE) / count(*)) AS BIGINT) AS {x}" for x in "abcd")
+    return (f"{name} AS (SELECT c.part, c.e, {', '.join(f'coalesce(u.{x}, c.{x}) AS {x}' for x in 'abcd')} FROM {books} c "
+            f"LEFT JOIN (SELECT part, e, {means} FROM p JOIN {assigned} USING (r, part) GROUP BY part, e) u "
+            f"ON u.part = c.part AND u.e = c.e)")
+
+
+@query("op12_active_lloyd", f"""
+WITH q AS (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS r,
+    list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+p AS (
+  SELECT r, part, v[4 * part + 1] AS a, v[4 * part + 2] AS b, v[4 * part + 3] AS c, v[4 * part + 4] AS d
+  FROM q, (SELECT unnest(range(16)) AS part)),
+c0 AS (SELECT part, r - 1 AS e, a, b, c, d FROM p WHERE r <= 64),
+{_assigned_sql("a1", "c0")}, {_updated_sql("c1", "c0", "a1")},
+{_assigned_sql("a2", "c1")}, {_updated_sql("c2", "c1", "a2")},
+{_assigned_sql("a3", "c2")},
+coded AS (
+  SELECT r, string_agg(format('{{:02x}}', e), '' ORDER BY part) AS code, CAST(sum(far) AS BIGINT) AS error FROM a3 GROUP BY r),
+books AS (SELECT sha256(string_agg(concat_ws(',', a, b, c, d), ',' ORDER BY part, e)) AS codebooks_sha256 FROM c2)
+SELECT q.vec_id, coded.code, coded.error, CAST(sum(coded.error) OVER (PARTITION BY q.label) AS BIGINT) AS label_error,
+  books.codebooks_sha256
+FROM q JOIN coded USING (r), books""")
+def op12_active_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors after two rounds, with their errors and the digest of the codebooks."""
+    trained = codebooks.fit(documents(spark, sf_dir, "embeddings"))
+    return codebooks.with_errors(trained).select("vec_id", "code", "error", "label_error",
+                                                 F.lit(trained.sha256()).alias("codebooks_sha256"))
+
+
+@query("op13_sparse_infill", """
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS u,
+    sha256('42:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+d AS (
+  SELECT doc_id, text, u, CAST(len(u) AS BIGINT) AS n, list_transform([1, 9, 17, 25],
+    lambda i: CAST('0x' || substr(h, i, 8) AS BIGINT)) AS h FROM t),
+c AS (
+  SELECT doc_id, text, u, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS i, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS j,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50
+      THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+s AS (
+  SELECT doc_id, text, n, form, array_to_string(u[1:i], '') AS prefix, array_to_string(u[i + 1:j], '') AS middle,
+    array_to_string(u[j + 1:], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM s""")
+def op13_sparse_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its parts in the drawn order, and the text rebuilt from that."""
+    changed = infill.restore(infill.transform(documents(spark, sf_dir)))
+    return changed.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                          F.sha2("restored", 256).alias("restored_sha256"))
