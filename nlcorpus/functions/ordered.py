@@ -13,6 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nlcorpus.functions.keyed import lookup_join
 from nlcorpus.session import materialize
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in its low 33 bits
@@ -66,6 +67,26 @@ def chunk_of(position: Column, rows: int = CHUNK_ROWS) -> Column:
     return F.floor(position / F.lit(rows)).cast("long")
 
 
+def bounded_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, rows: int = CHUNK_ROWS) -> DataFrame:
+    """``df`` with a chunk number that rises with ``order`` inside each group; no chunk has more than ``rows`` rows.
+
+    For order columns that say nothing about how many rows lie between two values (times, scores), ties and nulls
+    included. Group sizes are counted first, combined before the shuffle. Groups of up to ``rows`` rows are one
+    chunk. The rows of longer ones are sorted by group and order over all partitions, so a long group lies in many of
+    them, written, and cut where they lie; ties keep the place they got there. Groups are told apart by a hash: should two
+    share one, a short group is sorted too, which changes nothing else. ``df`` is read twice.
+    """
+    group = df.withColumn("__group", F.xxhash64(*[F.struct(k) for k in keys]))
+    long = materialize(group.groupBy("__group").agg(F.count("*").alias("__n")).where(F.col("__n") > rows), "long-groups")
+    if long.isEmpty():
+        return df.withColumn(out, F.lit(0).cast("long"))
+    marked = lookup_join(group, long, "__group", "__n", list(order))
+    short = marked.where("__n is null").drop("__n", "__group").withColumn(out, F.lit(0).cast("long"))
+    placed = materialize(marked.where("__n is not null").drop("__n", "__group").orderBy(*keys, *order)
+                         .withColumn(out, F.monotonically_increasing_id()), "chunks")
+    return short.unionByName(placed.withColumn(out, F.floor(F.col(out) / F.lit(rows)).cast("long")))
+
+
 def _keyed(keys: Sequence[str]) -> list[str]:
     return [*keys, "__chunk"]
 
@@ -87,7 +108,8 @@ def islands(df: DataFrame, keys: Sequence[str], position: str, looks_at: Sequenc
     new run begins; ``prev`` is null on the first row of a group, and a null answer means no. Rows before
     the first start get run 0. ``previous`` optionally keeps the previous row's fields as a struct.
 
-    With ``chunk`` the group may be of any size. Without it the group must be one record's content.
+    With ``chunk`` the group may be of any size: a number that rises with ``position`` and that few rows of a group
+    share (:func:`chunk_of`, :func:`bounded_chunks`). Without it the group must be one record's content.
     """
     begins = lambda prev, cur: F.coalesce(starts(prev, cur), F.lit(False)).cast("long")
     cur = F.struct(*[F.col(c) for c in looks_at])
@@ -109,8 +131,9 @@ def islands(df: DataFrame, keys: Sequence[str], position: str, looks_at: Sequenc
             .withColumn("__start", F.when(F.col("__head"), F.lit(0)).otherwise(
                 begins(F.col("__prev"), cur)))
             .withColumn("__run", F.sum("__start").over(upto)))
-    ends = rows.groupBy(*grouped).agg(F.min_by(cur, position).alias("__first"),
-                                      F.max_by(cur, position).alias("__last"),
+    place = F.struct(position)  # a null position is a place like others, before them
+    ends = rows.groupBy(*grouped).agg(F.min_by(cur, place).alias("__first"),
+                                      F.max_by(cur, place).alias("__last"),
                                       F.sum("__start").alias("__inner"))
     over = Window.partitionBy(*keys).orderBy("__chunk")
     carry = (ends.withColumn("__before", F.lag("__last").over(over))
@@ -140,7 +163,7 @@ def fill_forward(df: DataFrame, keys: Sequence[str], position: str, value: Colum
     rows = (df.withColumn("__chunk", chunk).withColumn("__value", value)
             .withColumn("__here", F.last("__value", ignorenulls=True).over(w)))
     lasts = rows.groupBy(*grouped).agg(
-        F.max_by("__value", F.when(F.col("__value").isNotNull(), F.col(position))).alias("__last"))
+        F.max_by("__value", F.when(F.col("__value").isNotNull(), F.struct(position))).alias("__last"))
     over = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     carry = lasts.select(*grouped, F.last("__last", ignorenulls=True).over(over).alias("__carried"))
     return (_with_carry(rows, carry, grouped)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nlcorpus.functions.ordered import bounded_chunks, number_rows
 from nlcorpus.operators.joins import present_in
 
 
@@ -14,7 +15,7 @@ def rank_candidates(candidates: DataFrame, keys: list[str], score: str, tie: str
 
     Invalid candidates are dropped unless kept; with ``text`` given, empty text is invalid too. The limit is
     applied before the shuffle as well, so an input with very many candidates costs k rows per task. Without ``k``
-    all candidates are ranked.
+    all candidates are ranked, in chunks, so an input may have any number of them; the rank is a long then.
     """
     rows = candidates
     if not keep_invalid:
@@ -22,9 +23,11 @@ def rank_candidates(candidates: DataFrame, keys: list[str], score: str, tie: str
         if text is not None:
             ok = ok & F.coalesce(F.col(text) != "", F.lit(False))
         rows = rows.where(ok)
+    if k is None:
+        placed = bounded_chunks(rows.withColumn("__order", F.struct(score, tie)), keys, ["__order"], "__piece")
+        return number_rows(placed, keys, "__order", "rank", F.col("__piece")).drop("__order", "__piece")
     w = Window.partitionBy(*keys).orderBy(F.asc(score), F.asc(tie))
-    ranked = rows.withColumn("rank", F.row_number().over(w))
-    return ranked if k is None else ranked.where(F.col("rank") <= k)
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def mask_candidates(candidates: DataFrame, allowed: DataFrame, on: list[str], keys: list[str], score: str, tie: str,
@@ -59,7 +62,11 @@ def perplexity(losses: DataFrame, epoch: Column, loss: str) -> DataFrame:
 
 
 def prediction_table(ranked: DataFrame, key: str, fields: dict[str, str], rank: str = "rank") -> DataFrame:
-    """One row per input with an array per field, in rank order. Inputs hold ranked candidates, at most k each."""
+    """One row per input with an array per field, in rank order.
+
+    This form is for output and for inputs of few candidates: an array holds all of an input. Scores are computed on
+    candidate rows (see :mod:`nlcorpus.operators.evaluate`).
+    """
     ordered = F.sort_array(F.collect_list(F.struct(rank, *fields)))
     rows = ranked.groupBy(key).agg(ordered.alias("__all"))
     column = lambda field: F.transform("__all", lambda c: c[field])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nlcorpus.functions.ordered import chunk_of, fill_forward, islands, number_rows
+from nlcorpus.functions.ordered import bounded_chunks, chunk_of, fill_forward, islands, number_rows
 
 # Thresholds, session length and texts of the assistant's configuration.
 CONFIDENCE_THRESHOLD = 0.25
@@ -96,10 +96,12 @@ def strip_query_comment(code: Column) -> Column:
 def sessions(events: DataFrame, user: str, time: str, minutes: int = SESSION_MINUTES) -> DataFrame:
     """Add the 1-based ``session`` of every event; more than ``minutes`` without activity start a new one.
 
-    Users may have any number of events: they are worked off hour by hour with one summary row per hour.
+    Users may have any number of events, in an hour as well: they are worked off in chunks of a bounded number of events,
+    with one summary row per chunk.
     """
     ends = lambda prev, cur: prev.isNull() | (cur[time] > prev[time] + F.expr(f"interval {minutes} minutes"))
-    return islands(events, [user], time, [time], ends, "session", chunk=F.date_trunc("hour", time))
+    placed = bounded_chunks(events, [user], [time], "__piece")
+    return islands(placed, [user], time, [time], ends, "session", chunk=F.col("__piece")).drop("__piece")
 
 
 def session_summary(numbered: DataFrame, user: str, time: str) -> DataFrame:

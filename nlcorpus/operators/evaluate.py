@@ -1,6 +1,8 @@
 """Scores of predictions against expected code: exact match, BLEU, validity.
 
-A prediction record is ``(id, expected, predicted)`` with ``predicted`` an array in rank order.
+Predictions are two tables: ``inputs(id, expected)`` with one row per input, and ``candidates(id, rank, predicted)`` with
+one row per candidate, ranked from 1. An input may have any number of candidates: nothing here collects them or runs a
+window over an input. :func:`split_records` makes the two tables of records that hold their candidates in an array.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nlcorpus.functions import arrays
+from nlcorpus.functions.keyed import digest
+from nlcorpus.functions.ordered import chunk_of, number_rows
 from nlcorpus.operators.profile import one_row
 
 MAX_ORDER = 4  # fixed value: longest n-gram of the score
@@ -27,42 +31,63 @@ def tokenize_code(code: Column) -> Column:
     return F.filter(F.split(F.translate(spaced, "\"'", "``"), " "), lambda t: t != "")
 
 
-def tokenize_predictions(predicted: Column) -> Column:
-    """Token lists of the predictions that are neither null nor empty."""
-    return F.transform(F.filter(predicted, lambda p: p.isNotNull() & (p != "")), tokenize_code)
+def split_records(records: DataFrame, expected: str = "expected", predicted: str = "predicted") -> tuple[DataFrame, DataFrame]:
+    """``inputs`` and ``candidates`` of records ``(id, expected, predicted array)``; ids are unique."""
+    inputs = records.select("id", F.col(expected).alias("expected"))
+    rows = records.select("id", F.posexplode(predicted).alias("place", "predicted"))
+    return inputs, rows.select("id", (F.col("place") + 1).cast("long").alias("rank"), "predicted")
 
 
-def matches_at(expected: Column, predicted: Column, k: int) -> Column:
-    """1 if any of the first k predictions equals the expected value; null predictions never match."""
-    hit = F.exists(F.slice(predicted, 1, k), lambda p: p.eqNullSafe(expected) & p.isNotNull())
-    return F.coalesce(hit, F.lit(False)).cast("int")
+def first_hits(inputs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``(id, hit)``: rank of the first candidate that equals the expected value, for inputs that have one.
+
+    Text and sequences are compared by digest. The least rank of every distinct candidate is found first, combined before
+    the shuffle, so both sides of the join are unique and an input's candidates spread over their digests. Null
+    candidates never match.
+    """
+    seen = (candidates.where(F.col("predicted").isNotNull()).groupBy("id", digest("predicted").alias("__digest"))
+            .agg(F.min("rank").alias("hit")))
+    wanted = inputs.where(F.col("expected").isNotNull()).select("id", digest(F.col("expected").alias("predicted")).alias("__digest"))
+    return seen.join(wanted, ["id", "__digest"]).select("id", "hit")
+
+
+def exact_match(inputs: DataFrame, candidates: DataFrame, cuts: Sequence[int] = EM_CUTS) -> DataFrame:
+    """Share of inputs matched within the first k candidates, for each cut; works on text and sequences."""
+    hits = inputs.select("id").join(first_hits(inputs, candidates), "id", "left")
+    share = lambda k: F.avg(F.coalesce(F.col("hit") <= k, F.lit(False)).cast("int"))
+    return hits.agg(*[share(k).alias(f"em_{k}") for k in cuts])
 
 
-def exact_match(df: DataFrame, expected: str = "expected", predicted: str = "predicted",
-                cuts: Sequence[int] = EM_CUTS) -> DataFrame:
-    """Share of records matched within the first k predictions, for each cut; works on text and sequences."""
-    return df.agg(*[F.avg(matches_at(F.col(expected), F.col(predicted), k)).alias(f"em_{k}") for k in cuts])
+def validity_counts(candidates: DataFrame) -> DataFrame:
+    return candidates.agg(F.count_if(F.col("predicted").isNull()).alias("num_invalid_predictions"),
+                          F.count_if(F.col("predicted").isNotNull()).alias("num_valid_predictions"))
 
 
-def validity_counts(df: DataFrame, predicted: str = "predicted") -> DataFrame:
-    null = F.size(F.filter(predicted, lambda p: p.isNull()))
-    return df.agg(F.coalesce(F.sum(null), F.lit(0)).alias("num_invalid_predictions"),
-                  F.coalesce(F.sum(F.size(predicted) - null), F.lit(0)).alias("num_valid_predictions"))
+def valid_candidates(candidates: DataFrame) -> DataFrame:
+    """Candidates that are neither null nor empty, numbered anew from 0 in ``place``, chunk by chunk of their ranks."""
+    valid = candidates.where(F.col("predicted").isNotNull() & (F.col("predicted") != ""))
+    numbered = number_rows(valid, ["id"], "rank", "place", chunk_of(F.col("rank")))
+    return numbered.withColumn("place", F.col("place") - 1)
 
 
-def candidate_stats(df: DataFrame, expected: str = "expected_tokens", predicted: str = "predicted_tokens",
-                    cuts: Sequence[int] = BLEU_CUTS) -> DataFrame:
-    """One row per record and candidate within the largest cut: n-gram matches and possible matches, lengths,
+def tokenize_predictions(candidates: DataFrame) -> DataFrame:
+    """``(id, rank, tokens)`` of the valid candidates, ranked from 0 among themselves."""
+    return valid_candidates(candidates).select("id", F.col("place").alias("rank"), tokenize_code(F.col("predicted")).alias("tokens"))
+
+
+def candidate_stats(inputs: DataFrame, candidates: DataFrame, cuts: Sequence[int] = BLEU_CUTS) -> DataFrame:
+    """One row per input and valid candidate within the largest cut: n-gram matches and possible matches, lengths,
     sentence score.
 
-    A record without candidates gets one empty-word candidate of score 0. Token lists are placed by record
+    An input without valid candidates gets one empty-word candidate of score 0. Token lists are placed by input
     and rank once; n-grams are made, counted and clipped after that, so they are never shuffled.
     """
-    none = F.array(F.array(F.lit("")))
-    candidates = F.when(F.size(predicted) > 0, F.slice(predicted, 1, max(cuts))).otherwise(none)
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so small texts stay spread
-    rows = (df.select("id", F.col(expected).alias("ref"), (F.size(predicted) > 0).alias("real"),
-                      F.posexplode(candidates).alias("rank", "cand"))
+    firsts = tokenize_predictions(candidates).where(F.col("rank") < max(cuts))
+    none = F.array(F.lit(""))
+    tasks = int(inputs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so small texts stay spread
+    rows = (inputs.select("id", tokenize_code(F.col("expected")).alias("ref")).join(firsts, "id", "left")
+            .select("id", "ref", F.col("tokens").isNotNull().alias("real"), F.coalesce("rank", F.lit(0)).alias("rank"),
+                    F.coalesce("tokens", none).alias("cand"))
             .repartition(tasks, "id", "rank"))
     lengths = [F.size("ref").alias("ref_len"), F.size("cand").alias("cand_len")]
     entry = lambda n, side, gram: F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), gram.alias("gram"))
@@ -112,12 +137,7 @@ def corpus_bleu(best: DataFrame, cuts: Sequence[int] = BLEU_CUTS) -> DataFrame:
     return sums.select(*[F.coalesce(bleu_of(f"k{k}_"), F.lit(0.0)).alias(f"bleu_{k}") for k in cuts])
 
 
-def with_tokens(df: DataFrame) -> DataFrame:
-    return df.withColumn("expected_tokens", tokenize_code(F.col("expected"))).withColumn(
-        "predicted_tokens", tokenize_predictions(F.col("predicted")))
-
-
-def eval_report(df: DataFrame) -> DataFrame:
+def eval_report(inputs: DataFrame, candidates: DataFrame) -> DataFrame:
     """One row of exact match, BLEU and validity numbers."""
-    bleu = corpus_bleu(best_candidates(candidate_stats(with_tokens(df))))
-    return one_row(exact_match(df), bleu, validity_counts(df))
+    bleu = corpus_bleu(best_candidates(candidate_stats(inputs, candidates)))
+    return one_row(exact_match(inputs, candidates), bleu, validity_counts(candidates))

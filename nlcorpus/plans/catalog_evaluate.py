@@ -32,7 +32,7 @@ def rounded(df, *columns: str, places: int = 6):
 @query("I1_exact_match_at_k", f"SELECT {EM_SQL.replace('avg(', 'round(avg(').replace(') AS', '), 6) AS')} FROM {FIRST_HIT}",
        "cand")
 def exact_match_at_k(t: Tables):
-    return rounded(evaluate.exact_match(views.predictions(t)), *[f"em_{k}" for k in evaluate.EM_CUTS])
+    return rounded(evaluate.exact_match(*views.predictions(t)), *[f"em_{k}" for k in evaluate.EM_CUTS])
 
 
 @query("I1_exact_match_ast_seq", """SELECT round(avg(CASE WHEN id % 3 = 1 THEN 1.0 ELSE 0.0 END), 6) AS em_1,
@@ -44,7 +44,8 @@ def exact_match_ast_seq(t: Tables):
     third = F.col("id") % 3
     ranked = F.when(third == 1, F.array("expected", wrong, wrong)).when(
         third == 0, F.array(wrong, wrong, "expected")).otherwise(F.array(wrong, wrong, wrong))
-    return rounded(evaluate.exact_match(rows.withColumn("predicted", ranked), cuts=(1, 3)), "em_1", "em_3")
+    records = evaluate.split_records(rows.withColumn("predicted", ranked))
+    return rounded(evaluate.exact_match(*records, cuts=(1, 3)), "em_1", "em_3")
 
 
 @query("I2_tokenize_code", f"""SELECT 'conversation' AS kind, conv_id AS id, turn, md5(array_to_string(
@@ -59,18 +60,18 @@ def tokenize_code(t: Tables):
     return turns.unionByName(pages)
 
 
-@query("I3_sentence_bleu_best_of_k", f"""SELECT a.id, CAST(a.rank AS INTEGER) AS rank_1, round(a.bleu, 6) AS bleu_1,
- CAST(b.rank AS INTEGER) AS rank_20, round(b.bleu, 6) AS bleu_20 FROM {BEST.format(1)} a JOIN {BEST.format(20)} b
+@query("I3_sentence_bleu_best_of_k", f"""SELECT a.id, a.rank AS rank_1, round(a.bleu, 6) AS bleu_1,
+ b.rank AS rank_20, round(b.bleu, 6) AS bleu_20 FROM {BEST.format(1)} a JOIN {BEST.format(20)} b
  ON b.id = a.id""", "bleu_stats")
 def sentence_bleu_best_of_k(t: Tables):
-    best = evaluate.best_candidates(evaluate.candidate_stats(evaluate.with_tokens(views.predictions(t))), (1, 20))
+    best = evaluate.best_candidates(evaluate.candidate_stats(*views.predictions(t)), (1, 20))
     return best.select("id", *[c for k in (1, 20) for c in (
         F.col(f"best_{k}.rank").alias(f"rank_{k}"), F.round(f"best_{k}.bleu", 6).alias(f"bleu_{k}"))])
 
 
 @query("I4_corpus_bleu", f"SELECT {BLEU_SQL}", "bleu_stats")
 def corpus_bleu(t: Tables):
-    stats = evaluate.candidate_stats(evaluate.with_tokens(views.predictions(t)))
+    stats = evaluate.candidate_stats(*views.predictions(t))
     return rounded(evaluate.corpus_bleu(evaluate.best_candidates(stats)),
                    *[f"bleu_{k}" for k in evaluate.BLEU_CUTS])
 
@@ -81,15 +82,14 @@ VALIDITY = """count(*) FILTER (rank IS NOT NULL AND pred IS NULL) AS num_invalid
 
 @query("I5_prediction_validity_counts", f"SELECT {VALIDITY} FROM cand", "cand")
 def prediction_validity_counts(t: Tables):
-    return evaluate.validity_counts(views.predictions(t))
+    return evaluate.validity_counts(views.predictions(t)[1])
 
 
-@query("I6_tokenize_predictions", f"""SELECT id, CAST(rank AS INTEGER) AS rank, md5(array_to_string(
+@query("I6_tokenize_predictions", f"""SELECT id, rank, md5(array_to_string(
  {code_tokens_sql('pred')}, ' ')) AS tokens FROM valid_cand""", "valid_cand")
 def tokenize_predictions(t: Tables):
-    rows = views.predictions(t).select("id", F.posexplode(evaluate.tokenize_predictions(F.col("predicted")))
-                                       .alias("rank", "ws"))
-    return rows.select("id", "rank", F.md5(F.array_join("ws", " ")).alias("tokens"))
+    rows = evaluate.tokenize_predictions(views.predictions(t)[1])
+    return rows.select("id", "rank", F.md5(F.array_join("tokens", " ")).alias("tokens"))
 
 
 def scores(t: Tables):
@@ -303,14 +303,24 @@ def token_scores(t: Tables):
  md5(coalesce(string_agg(coalesce(pred, '<null>'), '|' ORDER BY rank) FILTER (rank IS NOT NULL), '')) AS predicted FROM cand GROUP BY id""",
        "cand")
 def prediction_table(t: Tables):
-    return views.predictions(t).select("id", F.md5("expected").alias("expected"),
-                                       F.size("predicted").cast("long").alias("n"),
-                                       F.md5(F.array_join("predicted", "|", "<null>")).alias("predicted"))
+    inputs, candidates = views.predictions(t)
+    table = inputs.join(decode.prediction_table(candidates, "id", {"predicted": "predicted"}), "id", "left")
+    return table.select("id", F.md5("expected").alias("expected"), F.coalesce(F.size("predicted"), F.lit(0)).cast("long").alias("n"),
+                        F.md5(F.coalesce(F.array_join("predicted", "|", "<null>"), F.lit(""))).alias("predicted"))
+
+
+@query("I24_ranked_candidates", """SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id)
+ AS rank FROM events WHERE event_type <> 'error'""")
+def ranked_candidates(t: Tables):
+    """All valid candidates of every input ranked by score, however many an input has."""
+    ranked = decode.rank_candidates(t.events.select("user_id", "event_id", "value", "event_type"), ["user_id"], "value",
+                                    "event_id", None, F.col("event_type") != "error")
+    return ranked.select("user_id", "event_id", "rank")
 
 
 @query("I25_eval_report", f"""SELECT em.*, {BLEU_SQL}, v.* FROM (SELECT
  {EM_SQL.replace('avg(', 'round(avg(').replace(') AS', '), 6) AS')} FROM {FIRST_HIT}) em, (SELECT {VALIDITY}
  FROM cand) v""", "cand bleu_stats")
 def eval_report(t: Tables):
-    return rounded(evaluate.eval_report(views.predictions(t)), *[f"em_{k}" for k in evaluate.EM_CUTS],
+    return rounded(evaluate.eval_report(*views.predictions(t)), *[f"em_{k}" for k in evaluate.EM_CUTS],
                    *[f"bleu_{k}" for k in evaluate.BLEU_CUTS])

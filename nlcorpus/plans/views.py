@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nlcorpus.functions import ordered
 from nlcorpus.operators import decode, segment, trees
 
 _VOID = ", ".join(f"'{t}'" for t in trees.VOID_TAGS)
@@ -231,19 +232,16 @@ def depths(t) -> DataFrame:
     return trees.page_depth(trees.tag_events(t.pages)).withColumnRenamed("page_id", "id")
 
 
-def predictions(t) -> DataFrame:
-    """``(id, expected, predicted)``: a conversation's last answer against its answers in turn order.
+def predictions(t) -> tuple[DataFrame, DataFrame]:
+    """``inputs`` and ``candidates``: a conversation's last answer against its answers in turn order.
 
     All answers are predictions, so the last one is among them unless it is made null or empty, as some are.
     """
     answers = t.conversations.where("role = 'assistant'").withColumnRenamed("conv_id", "id")
     n = F.length("text")
-    predicted = answers.withColumn("pred", F.when(n % 7 != 0, F.when(n % 11 == 0, "").otherwise(F.col("text"))))
-    ranked = decode.rank_candidates(predicted, ["id"], "turn", "turn", None, keep_invalid=True)
-    table = decode.prediction_table(ranked, "id", {"pred": "predicted"})
-    expected = answers.groupBy("id").agg(F.max_by("text", "turn").alias("expected"))
-    return expected.join(table, "id", "left").withColumn(
-        "predicted", F.coalesce("predicted", F.array().cast("array<string>")))
+    made = answers.select("id", "turn", F.when(n % 7 != 0, F.when(n % 11 == 0, "").otherwise(F.col("text"))).alias("predicted"))
+    ranked = ordered.number_rows(made, ["id"], "turn", "rank", ordered.chunk_of(F.col("turn")))
+    return answers.groupBy("id").agg(F.max_by("text", "turn").alias("expected")), ranked.select("id", "rank", "predicted")
 
 
 def token_ids(tokens: Column) -> Column:

@@ -50,7 +50,7 @@ def records(seed, n=40):
 def test_bleu_and_exact_match(spark):
     rows = records(5)
     df = spark.createDataFrame(rows, "id int, expected string, predicted array<string>")
-    report = evaluate.eval_report(df).first().asDict()
+    report = evaluate.eval_report(*evaluate.split_records(df)).first().asDict()
     for k in evaluate.BLEU_CUTS:
         chosen = []
         for _, expected, predicted in rows:
@@ -64,10 +64,48 @@ def test_bleu_and_exact_match(spark):
     assert report["num_valid_predictions"] == sum(p is not None for _, _, ps in rows for p in ps)
 
 
+def test_input_with_a_third_of_all_candidates(spark):
+    """One input has as many candidates as all others; its hits lie far beyond the first chunk."""
+    rnd = random.Random(12)
+    texts = ["a b", "f(x) y z", "fooBar + 1 2", None, ""]
+    inputs = [(i, f"f(x) y z w{i}") for i in range(300)]
+    rows = [(i, r, inputs[i][1] if r == 9 and i % 3 == 0 else rnd.choice(texts)) for i in range(1, 300) for r in range(1, 31)]
+    rows += [(0, r, inputs[0][1] if r == 4500 else "" if r <= 4200 else rnd.choice(texts)) for r in range(1, 5001)]
+    rnd.shuffle(rows)
+    tables = (spark.createDataFrame(inputs, "id int, expected string"),
+              spark.createDataFrame(rows, "id int, rank long, predicted string").repartition(5))
+    by_input = {i: [p for _, _, p in sorted((r for r in rows if r[0] == i), key=lambda r: r[1])] for i, _ in inputs}
+    assert {r.id: r.hit for r in evaluate.first_hits(*tables).collect()} == {
+        i: by_input[i].index(e) + 1 for i, e in inputs if e in by_input[i]}
+    em = evaluate.exact_match(*tables, cuts=(8, 9, 5000)).first()
+    assert [em.em_8, em.em_9, em.em_5000] == pytest.approx([0, 99 / 300, 100 / 300])
+    places = {(r.id, r["rank"]): r["place"] for r in evaluate.valid_candidates(tables[1]).collect()}
+    for i, texts in by_input.items():
+        assert [places[i, r + 1] for r, p in enumerate(texts) if p] == list(range(sum(bool(p) for p in texts)))
+    report = evaluate.eval_report(*tables).first()
+    chosen = []
+    for i, expected in inputs:
+        ref, cands = plain_tokens(expected), [plain_tokens(p) for p in by_input[i] if p][:20] or [[""]]
+        chosen.append((ref, max(cands, key=lambda c: round(plain_bleu([(ref, c)]), 12))))
+    assert report.bleu_20 == pytest.approx(plain_bleu(chosen), abs=1e-9)
+    assert report.num_invalid_predictions == sum(p is None for _, _, p in rows)
+
+
+def test_all_candidates_are_ranked_in_chunks(spark):
+    rnd = random.Random(3)
+    rows = [("hot" if t % 2 else f"k{t % 7}", t, rnd.choice([0.5, 0.25, None, 1.0])) for t in range(11_000)]
+    df = spark.createDataFrame(rows, "i string, t int, s double").repartition(6)
+    got = decode.rank_candidates(df, ["i"], "s", "t", None).collect()
+    for key in {r[0] for r in rows}:
+        order = sorted((r for r in rows if r[0] == key), key=lambda r: (r[2] is not None, r[2] or 0, r[1]))
+        assert [r.t for r in sorted((r for r in got if r.i == key), key=lambda r: r["rank"])] == [r[1] for r in order]
+    assert sorted(r["rank"] for r in got if r.i == "hot") == list(range(1, 5501))
+
+
 def test_no_predictions_at_all(spark):
     df = spark.createDataFrame([(1, "a b c d e", []), (2, "x", [None, None])],
                                "id int, expected string, predicted array<string>")
-    report = evaluate.eval_report(df).first()
+    report = evaluate.eval_report(*evaluate.split_records(df)).first()
     assert report.em_10 == 0 and report.bleu_20 == 0
     assert (report.num_valid_predictions, report.num_invalid_predictions) == (0, 2)
 

@@ -55,6 +55,44 @@ def test_number_rows(spark):
         assert [n for _, n in mine] == list(range(1, len(mine) + 1))
 
 
+def test_bounded_chunks(spark):
+    """Groups of any size and shape: chunks are small, rise with the order, and give the islands of a plain loop."""
+    rnd = random.Random(9)
+    rows = [(g, p) for g, n in [(1, 700), (2, 90), (3, 5), (None, 300)] for p in rnd.choices([*range(12), None], k=n)]
+    rows += [(4, p) for p in range(500)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame([(i, g, p, "o") for i, (g, p) in enumerate(rows)], "i int, g int, p long, other string").repartition(7)
+    placed = ordered.bounded_chunks(df, ["g"], ["p", "i"], "c", rows=64)
+    got = placed.collect()
+    assert len(got) == len(rows) and set(placed.columns) == {"i", "g", "p", "other", "c"}
+    sizes = {}
+    for r in got:
+        sizes[r.g, r.c] = sizes.get((r.g, r.c), 0) + 1
+    assert max(sizes.values()) <= 64
+    for g in {r.g for r in got}:
+        mine = sorted((r for r in got if r.g == g), key=lambda r: (r.p is not None, r.p or 0, r.i))
+        assert [r.c for r in mine] == sorted(r.c for r in mine)
+    numbered = ordered.number_rows(placed.withColumn("o", F.struct("p", "i")), ["g"], "o", "n", F.col("c")).collect()
+    for g in {r.g for r in got}:
+        mine = sorted((r for r in numbered if r.g == g), key=lambda r: (r.p is not None, r.p or 0, r.i))
+        assert [r.n for r in mine] == list(range(1, len(mine) + 1))
+    assert ordered.bounded_chunks(df.limit(0), ["g"], ["p"], "c").count() == 0
+
+
+def test_busy_user_in_one_hour(spark):
+    """Sessions of a user with a third of all events inside an hour, against a loop."""
+    from nlcorpus.operators import dialogue
+
+    rnd = random.Random(4)
+    events = [(u, rnd.randrange(0, 10 ** 6)) for u in range(30) for _ in range(600)] + [(99, rnd.randrange(3000)) for _ in range(9000)]
+    df = spark.createDataFrame(events, "u int, s long").select("u", F.timestamp_seconds("s").alias("at"))
+    got = dialogue.session_summary(dialogue.sessions(df, "u", "at"), "u", "at").groupBy("u").agg(
+        F.max("session").alias("n"), F.sum("n_events").alias("e")).collect()
+    for r in got:
+        times = sorted(s for u, s in events if u == r.u)
+        assert (r.n, r.e) == (1 + sum(b - a > 3600 for a, b in zip(times, times[1:])), len(times))
+
+
 def test_add_ordinal_over_many_partitions(spark):
     values = [f"k{i % 50}-{i:04}" for i in range(700)]
     random.Random(3).shuffle(values)
