@@ -403,11 +403,16 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, end))
 
 
+def _byte(digits: str) -> bool:
+    """Whether a run of digits, of any length, is a number up to 255."""
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or 0) <= 255
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """Base rules: ``(start, end, kind)`` by start, then kind as listed. Failing matches are dropped, not retried."""
     out = [(a, b, "email") for a, b in _emails(text)]
-    out += [(*m.span(), "ip") for m in QUAD.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255
-                                                                   for p in m.group().split("."))]
+    out += [(*m.span(), "ip") for m in QUAD.finditer(text) if all(map(_byte, m.group().split(".")))]
     for match in NUMBER.finditer(text):
         if match.end() - match.start() >= 14:
             digits = match.group().replace(" ", "").replace("-", "")

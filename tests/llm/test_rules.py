@@ -103,6 +103,12 @@ def test_base_spans(texts):
         assert crf.base_spans(text) == plain_base(text), text
 
 
+def test_base_spans_on_long_runs_of_digits():
+    zeros, nines = "0" * 5000, "9" * 5000
+    assert crf.base_spans(f"{zeros}7.{zeros}.255.{zeros}1") == [(0, 15_008, "ip")]
+    assert crf.base_spans(f"{zeros}256.1.1.1") == crf.base_spans(f"1.1.1.{nines}") == crf.base_spans(zeros + nines) == []
+
+
 def test_field_decoder_is_exact(texts):
     model = crf.train(crf.LABELLED.strip().split("\n"))
     decoder = crf.Decoder(model)
