@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nlcorpus.functions.ordered import bounded_chunks, number_rows
-from nlcorpus.operators.joins import present_in
+from nlcorpus.operators.grammar import ChildSets, allowed
 
 
 def rank_candidates(candidates: DataFrame, keys: list[str], score: str, tie: str, k: int | None, valid: Column | None = None,
@@ -30,10 +30,15 @@ def rank_candidates(candidates: DataFrame, keys: list[str], score: str, tie: str
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def mask_candidates(candidates: DataFrame, allowed: DataFrame, on: list[str], keys: list[str], score: str, tie: str,
-                    k: int) -> DataFrame:
-    """Only candidates the grammar allows, then the k best of each input."""
-    return rank_candidates(present_in(candidates, allowed, on, [tie]), keys, score, tie, k)
+def mask_candidates(candidates: DataFrame, sets: ChildSets, field: str, token: str, keys: list[str], score: str, tie: str,
+                    k: int, in_text: str | None = None) -> DataFrame:
+    """Only candidates whose ``token`` the grammar allows in the open ``field``, then the k best of each input.
+
+    The rule that any text literal may stand in any text field is part of ``sets``; ``in_text`` is as for
+    :func:`nlcorpus.operators.grammar.allowed`.
+    """
+    masked = allowed(candidates, sets, field, token, [tie], "__allowed", in_text).where("__allowed").drop("__allowed")
+    return rank_candidates(masked, keys, score, tie, k)
 
 
 def sequence_scores(steps: DataFrame, sequence: str, token: str, logp: str, pad: str | None = None) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nlcorpus.functions import syntax
 from nlcorpus.functions.keyed import lookup_join
-from nlcorpus.operators.joins import missing_from
+from nlcorpus.session import materialize
+
+NONE = "None" + syntax.LITERAL
 
 
 def extract_edges(links: DataFrame, order: list[str]) -> DataFrame:
@@ -51,26 +55,93 @@ def field_children(edges: DataFrame, value: str) -> DataFrame:
     return edges.select("field", F.explode(spots).alias("in_text"), F.col(value).alias("allowed")).distinct()
 
 
-def allowed_sets(edges: DataFrame) -> DataFrame:
-    """Sorted allowed children of each parent, with the list end; one row per parent type."""
-    children = F.sort_array(F.array_distinct(F.concat(F.collect_set("child"), F.array(F.lit(syntax.LIST_END)))))
-    return edges.groupBy("parent").agg(children.alias("allowed"), F.sum("cnt").alias("cnt"))
+@dataclass(frozen=True)
+class ChildSets:
+    """The children that every parent allows, with equal sets kept once.
+
+    ``parents (parent, set_id, n_children, any_text)`` names the set of each parent; a set is named by its least parent.
+    ``members (set_id, child)`` is the dictionary. Where ``any_text`` is set, the parent also allows every row of
+    ``literals (child)``, and its own set holds none of them, so that text fields that differ only in their texts share
+    a set.
+    """
+
+    parents: DataFrame
+    members: DataFrame
+    literals: DataFrame
 
 
-def allowed_children(steps: DataFrame, edges: DataFrame, spread: list[str]) -> DataFrame:
-    """Attach the allowed set of the field open after each step (its type in ``open_parent``).
+def intern_sets(edges: DataFrame, list_end: bool = False, text_fields: DataFrame | None = None,
+                is_text: Column | None = None) -> ChildSets:
+    """Child sets of the edges ``(parent, child, …)``; edges with a null end are left out.
 
-    After a text piece a ``None#literal`` is not allowed; ``steps`` marks such rows in ``in_text``.
+    ``list_end`` adds the list end to every set. With ``text_fields (parent)`` every text literal of the grammar
+    (``is_text`` of ``child``) is allowed in each of these fields. No set is collected: a set is told by its size and two
+    independent sums of hashes, which combine before the shuffle however many children a parent has.
+    """
+    pairs = edges.where("parent is not null and child is not null").select("parent", "child").distinct()
+    ruled = text_fields is not None
+    text = is_text if ruled and is_text is not None else F.lit(False)
+    literals = materialize(pairs.where(text).select("child").distinct(), "text-literals")
+    if list_end:
+        pairs = pairs.unionByName(pairs.select("parent", F.lit(syntax.LIST_END).alias("child")).distinct()).distinct()
+    pairs = materialize(pairs.withColumn("__text", text), "grammar-pairs")
+    # A text literal has no part in the fingerprint of a field that allows all of them.
+    sums = lambda keep: [F.count_if(keep).alias("n"), *[F.coalesce(F.bit_xor(F.when(keep, F.xxhash64(F.lit(seed), "child"))),
+                                                                   F.lit(0)).alias(f"h{seed}") for seed in (0, 1)]]
+    plain, whole = F.struct(*sums(~F.col("__text"))), F.struct(*sums(F.lit(True)))
+    prints = pairs.groupBy("parent").agg(F.count("*").alias("n_children"), plain.alias("plain"), whole.alias("whole"))
+    if ruled:
+        flagged = text_fields.select("parent").where("parent is not null").distinct().withColumn("any_text", F.lit(True))
+        prints = prints.join(flagged, "parent", "left").withColumn("any_text", F.coalesce("any_text", F.lit(False)))
+    else:
+        prints = prints.withColumn("any_text", F.lit(False))
+    prints = prints.withColumn("print", F.when(F.col("any_text"), F.col("plain")).otherwise(F.col("whole")))
+    prints = materialize(prints.select("parent", "n_children", "any_text", "print.*"), "set-prints")
+    same = ["n", "h0", "h1"]
+    names = prints.groupBy(*same).agg(F.min("parent").alias("set_id"))
+    parents = materialize(prints.join(names, same).select("parent", "set_id", "n_children", "any_text"), "child-sets")
+    # A set's name is one of its parents; should that parent allow all text, its own set is without it, as the set is.
+    owned = lookup_join(pairs, parents.where("parent = set_id"), "parent", "n_children", ["child"], "inner")
+    members = owned.where(~(F.col("any_text") & F.col("__text"))).select("set_id", "child")
+    return ChildSets(parents, materialize(members, "set-members"), literals)
+
+
+def allowed_children(steps: DataFrame, sets: ChildSets, spread: list[str], field: str = "open_parent") -> DataFrame:
+    """``steps`` with ``set_id`` and ``any_text`` of the field open after each, which say what may come next.
+
+    The set itself is not copied to the steps; it is in ``sets.members``. Fields outside the grammar get nulls. A step
+    inside a text run (see :func:`allowed`) has the same set without ``None#literal``. Frequent fields are salted.
     """
-    sets = allowed_sets(edges).withColumnRenamed("parent", "open_parent")
-    joined = lookup_join(steps, sets, "open_parent", "cnt", spread).drop("cnt")
-    return joined.withColumn("allowed", F.when(F.col("in_text"), F.filter(
-        "allowed", lambda t: t != "None" + syntax.LITERAL)).otherwise(F.col("allowed")))
+    counts = steps.groupBy(field).agg(F.count("*").alias("__n"))
+    table = counts.join(sets.parents.withColumnRenamed("parent", field), field, "left")
+    return lookup_join(steps, table.select(field, "__n", "set_id", "any_text"), field, "__n", spread).drop("__n")
 
 
-def nonconforming(links: DataFrame, edges: DataFrame, id_column: str) -> DataFrame:
-    """Observed links whose (parent, child) is not in the grammar, with their record ids."""
-    return missing_from(links, edges, ["parent", "child"], [id_column, "pos"])
+def allowed(rows: DataFrame, sets: ChildSets, field: str, child: str, spread: list[str], out: str = "allowed",
+            in_text: str | None = None) -> DataFrame:
+    """``rows`` with ``out``: whether the grammar allows ``child`` in ``field``.
+
+    It does when the child is a member of the field's set, or a text literal and the field allows any text. Where the
+    column ``in_text`` is true, ``None#literal`` is not allowed. Every distinct pair is decided once; rows with a null end
+    are not allowed.
+    """
+    key = F.struct(F.col(field).alias("parent"), F.col(child).alias("child"))
+    keyed = rows.withColumn("__key", key)
+    pairs = keyed.groupBy("__key").agg(F.count("*").alias("__cnt")).select("__key", "__cnt", "__key.parent", "__key.child")
+    named = lookup_join(pairs, sets.parents, "parent", "n_children", ["child"])
+    listed = sets.members.withColumn("__member", F.lit(True))
+    texts = sets.literals.withColumn("__literal", F.lit(True))
+    verdict = F.coalesce("__member", F.lit(False)) | F.coalesce(F.col("__literal") & F.col("any_text"), F.lit(False))
+    table = (named.join(listed, ["set_id", "child"], "left").join(texts, "child", "left")
+             .select("__key", "__cnt", verdict.alias(out)))
+    marked = lookup_join(keyed, table, "__key", "__cnt", spread).drop("__key", "__cnt")
+    ok = F.coalesce(F.col(out), F.lit(False))
+    return marked.withColumn(out, ok if in_text is None else ok & ~(F.col(in_text) & (F.col(child) == NONE)))
+
+
+def nonconforming(links: DataFrame, sets: ChildSets, id_column: str) -> DataFrame:
+    """Observed links ``(parent, child, pos, …)`` that the grammar does not allow, with their record ids."""
+    return allowed(links, sets, "parent", "child", [id_column, "pos"], "__allowed").where("not __allowed").drop("__allowed")
 
 
 def edge_stats(train: DataFrame, test: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from nlcorpus.functions import arrays
-from nlcorpus.operators import decode, errors, evaluate
+from nlcorpus.operators import decode, errors, evaluate, grammar
 from nlcorpus.plans import views
 from nlcorpus.plans.registry import Tables, query
 from nlcorpus.plans.views import bleu_sql, code_tokens_sql
@@ -279,10 +279,25 @@ def rank_candidates(t: Tables):
  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS rank FROM events
  WHERE (user_id, event_type) IN (SELECT (user_id, event_type) FROM events WHERE value > 150)) WHERE rank <= 5""")
 def mask_candidates(t: Tables):
-    """A user's event types with any value above 150 are the allowed ones."""
-    allowed = t.events.where("value > 150")
-    return decode.mask_candidates(t.events, allowed, ["user_id", "event_type"], ["user_id"], "value", "event_id", 5
-                                  ).select("user_id", "event_id", "event_type", "value", "rank")
+    """Users are the open fields; their event types with any value above 150 are the allowed tokens."""
+    seen = t.events.where("value > 150").select(F.col("user_id").alias("parent"), F.col("event_type").alias("child"))
+    return masked_events(t, grammar.intern_sets(seen))
+
+
+def masked_events(t: Tables, sets: grammar.ChildSets):
+    return decode.mask_candidates(t.events, sets, "user_id", "event_type", ["user_id"], "value", "event_id", 5).select(
+        "user_id", "event_id", "event_type", "value", "rank")
+
+
+@query("I22_mask_any_text", """SELECT user_id, event_id, event_type, value, CAST(rank AS INTEGER) AS rank FROM (
+ SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS rank FROM events
+ WHERE (user_id, event_type) IN (SELECT (user_id, event_type) FROM events WHERE value > 150)
+ OR user_id % 3 = 0 AND user_id IN (SELECT user_id FROM events WHERE value > 150) AND length(event_type) > 4
+ AND event_type IN (SELECT event_type FROM events WHERE value > 150)) WHERE rank <= 5""")
+def mask_any_text(t: Tables):
+    """The same with all event types of more than four letters allowed for every third user."""
+    seen = t.events.where("value > 150").select(F.col("user_id").alias("parent"), F.col("event_type").alias("child"))
+    return masked_events(t, grammar.intern_sets(seen, text_fields=seen.where("parent % 3 = 0"), is_text=F.length("child") > 4))
 
 
 @query("I23_token_scores", """SELECT e.user_id, e.event_id, event_type, value AS cost, CAST(rank AS INTEGER) AS rank

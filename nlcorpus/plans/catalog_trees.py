@@ -108,25 +108,59 @@ def max_depth(t: Tables):
     return trees.page_depth(trees.tag_events(t.pages))
 
 
-@query("E9_allowed_children", """SELECT page_id, pos, tag, allowed FROM elements LEFT JOIN (SELECT p,
- array_to_string(list_sort(list(DISTINCT c)), ' ') AS allowed FROM (SELECT parent AS p, child AS c FROM links UNION ALL
- SELECT parent, '</l>' FROM links) GROUP BY p) ON p = tag""", "elements links")
+SETS_SQL = """(SELECT p, c, min(p) OVER (PARTITION BY members) AS set_id FROM (SELECT p, array_to_string(list_sort(
+ list(DISTINCT c)), ' ') AS members, list(DISTINCT c) AS c FROM (SELECT parent AS p, child AS c FROM links UNION ALL
+ SELECT parent, '</l>' FROM links) GROUP BY p))"""
+
+
+def tag_sets(t: Tables):
+    return grammar.intern_sets(grammar.extract_edges(views.links(t), ["page_id", "pos"]), list_end=True)
+
+
+@query("E9_allowed_children", f"SELECT page_id, pos, tag, set_id FROM elements LEFT JOIN {SETS_SQL} ON p = tag",
+       "elements links")
 def allowed_children(t: Tables):
-    """Tags allowed inside each opened tag, as seen anywhere in the corpus."""
-    edges = grammar.extract_edges(views.links(t), ["page_id", "pos"])
-    steps = views.elements(t).select("page_id", "pos", "tag", F.col("tag").alias("open_parent"),
-                                     F.lit(False).alias("in_text"))
-    rows = grammar.allowed_children(steps, edges, ["page_id", "pos"])
-    return rows.select("page_id", "pos", "tag", F.array_join("allowed", " ").alias("allowed"))
+    """The set of tags allowed inside each opened tag, as seen anywhere in the corpus, by its name."""
+    steps = views.elements(t).select("page_id", "pos", "tag", F.col("tag").alias("open_parent"))
+    return grammar.allowed_children(steps, tag_sets(t), ["page_id", "pos"]).select("page_id", "pos", "tag", "set_id")
+
+
+@query("E9_set_members", f"SELECT set_id, unnest(c) AS child FROM {SETS_SQL} WHERE p = set_id", "links")
+def set_members(t: Tables):
+    """The dictionary of the sets that positions name, equal ones once."""
+    return tag_sets(t).members
+
+
+@query("E9_sets_of_words", """SELECT set_id, count(*) AS n_parents FROM (SELECT min(parent) OVER (PARTITION BY members)
+ AS set_id FROM (SELECT parent, list_sort(list(DISTINCT child)) AS members FROM turn_edges GROUP BY parent))
+ GROUP BY set_id""", "turn_edges")
+def sets_of_words(t: Tables):
+    """How many words of the conversations have the same set of next words."""
+    sets = grammar.intern_sets(turn_successions(t))
+    return sets.parents.groupBy("set_id").agg(F.count("*").alias("n_parents"))
+
+
+def turn_successions(t: Tables):
+    turns = t.conversations.select(F.struct("conv_id", "turn").alias("at"), "text")
+    return grammar.extract_edges(views.successions(turns, "at"), ["at", "pos"])
 
 
 @query("E10_grammar_conformance", """SELECT doc_id, pos, parent, child FROM doc_edges
  WHERE (parent, child) NOT IN (SELECT (parent, child) FROM turn_edges)""", "doc_edges turn_edges")
 def grammar_conformance(t: Tables):
     """Word successions of the documents that a grammar taken from the conversations does not allow."""
-    turns = t.conversations.select(F.struct("conv_id", "turn").alias("at"), "text")
-    known = grammar.extract_edges(views.successions(turns, "at"), ["at", "pos"])
-    return grammar.nonconforming(views.successions(t.documents, "doc_id"), known, "doc_id")
+    sets = grammar.intern_sets(turn_successions(t))
+    return grammar.nonconforming(views.successions(t.documents, "doc_id"), sets, "doc_id")
+
+
+@query("E10_conformance_any_text", """SELECT doc_id, pos, parent, child FROM doc_edges
+ WHERE (parent, child) NOT IN (SELECT (parent, child) FROM turn_edges) AND NOT (parent IN (SELECT parent FROM turn_edges
+ WHERE length(parent) < 6) AND child IN (SELECT child FROM turn_edges WHERE length(child) >= 6))""", "doc_edges turn_edges")
+def conformance_any_text(t: Tables):
+    """The same with every text literal (a word of six letters and more) allowed after every shorter word."""
+    edges = turn_successions(t)
+    sets = grammar.intern_sets(edges, text_fields=edges.where(F.length("parent") < 6), is_text=F.length("child") >= 6)
+    return grammar.nonconforming(views.successions(t.documents, "doc_id"), sets, "doc_id")
 
 
 @query("E11_canonical_order", """SELECT page_id, pos, tag, CAST(row_number() OVER (PARTITION BY page_id, parent_pos
