@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,14 +83,29 @@ class Segmenter:
         self.pieces_of = lru_cache(maxsize=50_000)(self._pieces_of)
 
     def _pieces_of(self, unit: str) -> tuple[str, ...]:
-        parts = list(unit)
-        while len(parts) > 1:
-            options = [(self.ids[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.ids]
-            if not options:
-                break
-            _, at = min(options)
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return tuple(parts)
+        """Merges from a heap of (id, place); neighbours are linked, so a unit of n characters takes n log n steps."""
+        size, ids = len(unit), self.ids
+        end = list(range(1, size + 1))  # of the symbol that starts here; 0 once it is part of another
+        before = list(range(-1, size - 1))
+        heap = [(ids[unit[i:i + 2]], i, i + 2) for i in range(size - 1) if unit[i:i + 2] in ids]
+        heapify(heap)
+        while heap:
+            _, at, stop = heappop(heap)
+            middle = end[at]
+            if not middle or middle >= size or end[middle] != stop:
+                continue  # one of the two has been merged since
+            end[at], end[middle] = stop, 0
+            if stop < size:
+                before[stop] = at
+                whole = unit[at:end[stop]]
+                if whole in ids:
+                    heappush(heap, (ids[whole], at, end[stop]))
+            left = before[at]
+            if left >= 0:
+                whole = unit[left:stop]
+                if whole in ids:
+                    heappush(heap, (ids[whole], left, stop))
+        return tuple(unit[i:e] for i, e in enumerate(end) if e)
 
     def __call__(self, text: str) -> list[str]:
         marked = text.replace(" ", SPACE)
@@ -101,6 +117,18 @@ class Segmenter:
         return [piece for u in units for piece in self.pieces_of(u)]
 
 
+_SEGMENTERS: list[tuple[dict, dict, Segmenter]] = []
+
+
+def worker_segmenter(ids: dict[str, int], **units) -> Segmenter:
+    """The segmenter of a vocabulary, kept with its memo by the Python worker for later batches and tasks."""
+    for known, options, segmenter in _SEGMENTERS:
+        if known is ids and options == units:
+            return segmenter
+    _SEGMENTERS[:] = [*_SEGMENTERS[-3:], (ids, units, Segmenter(ids, **units))]
+    return _SEGMENTERS[-1][2]
+
+
 def unknown_runs(pieces: list[str], known: dict[str, int]) -> list[str]:
     """Pieces with every run of unknown ones as one piece."""
     out: list[str] = []

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -117,23 +117,21 @@ def encode_nl(df: DataFrame, text: str, vocab: DataFrame, out: str = "nl_enc", o
               **units) -> DataFrame:
     """Subword ids of a text between start and end id; every run of unknown characters gets one unknown id.
 
-    Words are segmented in Arrow batches with a per-worker memo, so nothing is shuffled.
+    Words are segmented in Arrow batches; a worker keeps the words it has seen for all its tasks, so nothing is shuffled.
     """
     shared = vocab.sparkSession.sparkContext.broadcast(vocab_ids(vocab))
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def pieces(texts: pd.Series) -> pd.Series:
-        segment = subword.Segmenter(shared.value, **units)
-        return texts.map(lambda t: subword.unknown_runs(segment(t), shared.value), na_action="ignore")
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encoded(cut: pd.Series) -> pd.Series:
+    @F.pandas_udf("pieces array<string>, ids array<int>")
+    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         ids = shared.value
-        return cut.map(lambda ps: None if ps is None else [BOS, *(ids.get(p, UNK) for p in ps), EOS])
-
-    cut = out_pieces or "__pieces"
-    result = df.withColumn(cut, pieces(F.col(text))).withColumn(out, encoded(F.col(cut)))
-    return result if out_pieces else result.drop(cut)
+        segment = subword.worker_segmenter(ids, **units)
+        for texts in batches:
+            cut = texts.map(lambda t: subword.unknown_runs(segment(t), ids), na_action="ignore")
+            coded = cut.map(lambda ps: [BOS, *(ids.get(p, UNK) for p in ps), EOS], na_action="ignore")
+            yield pd.DataFrame({"pieces": cut, "ids": coded})
+
+    result = df.withColumn("__coded", encoded(F.col(text))).withColumn(out, F.col("__coded.ids"))
+    return (result.withColumn(out_pieces, F.col("__coded.pieces")) if out_pieces else result).drop("__coded")
 
 
 def decode_nl(ids: Column, vocab: DataFrame) -> Column:

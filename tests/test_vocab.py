@@ -76,6 +76,36 @@ def test_segmenter_merges_lowest_id_first():
     assert "".join(subword.Segmenter(ids)("a  bc x")) == "▁a▁▁bc▁x"
 
 
+def test_heap_merges_like_a_scan():
+    """Every round of the scan looks at all pairs; the heap must take the same ones, ties from the left."""
+    def scan(ids, unit):
+        parts = list(unit)
+        while True:
+            options = [(ids[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ids]
+            if not options:
+                return parts
+            at = min(options)[1]
+            parts[at:at + 2] = [parts[at] + parts[at + 1]]
+
+    rnd = random.Random(21)
+    for _ in range(300):
+        letters = "ab" if rnd.random() < 0.5 else "abcd"
+        pieces = {"".join(rnd.choices(letters, k=rnd.randint(2, 5))) for _ in range(rnd.randint(1, 25))}
+        ids = {p: i for i, p in enumerate(rnd.sample(sorted(pieces), len(pieces)))}
+        unit = "".join(rnd.choices(letters, k=rnd.randint(0, 60)))
+        assert list(subword.Segmenter(ids).pieces_of(unit)) == scan(ids, unit)
+    ids = {"ab": 0, "abab": 1}
+    long = subword.Segmenter(ids, split_words=False, add_dummy_prefix=False)("ab" * 100_000)  # a scan would take minutes
+    assert long == ["abab"] * 50_000
+
+
+def test_segmenter_is_kept_by_the_worker():
+    ids, other = {"ab": 1}, {"ab": 1}
+    first = subword.worker_segmenter(ids, split_digits=True)
+    assert subword.worker_segmenter(ids, split_digits=True) is first
+    assert subword.worker_segmenter(ids) is not first and subword.worker_segmenter(other, split_digits=True) is not first
+
+
 def test_encode_nl_and_chars(spark):
     table = spark.createDataFrame([("<pad>", 0), ("<unk>", 1), ("<s>", 2), ("</s>", 3), ("▁a", 4), ("▁", 5), ("a", 6),
                                    ("b", 7)], "piece string, id int")
