@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 from nlcorpus.functions import subword
 from nlcorpus.functions.ordered import add_ordinal
+from nlcorpus.functions.tiered import FREQUENT, code_arrays
 from nlcorpus.operators.clean import valid_text
-from nlcorpus.operators.joins import reverse_lookup, vocab_lookup
 from nlcorpus.operators.trees import literal_text
 from nlcorpus.session import materialize
 
@@ -162,39 +162,44 @@ def encode_chars(df: DataFrame, pieces: str, char_vocab: DataFrame, out: str = "
     return df.withColumn(out, spelled(F.col(pieces)))
 
 
-def encode_tree(tokens: DataFrame, target_vocab: DataFrame, source_vocab: DataFrame, target_size: int) -> DataFrame:
-    """``(id, ast_seq_enc)`` from ``(id, pos, token, is_string)`` rows.
+def tree_labels(target_vocab: DataFrame, source_vocab: DataFrame, target_size: int) -> DataFrame:
+    """``(label, id, cnt)`` of plain tokens and of string pieces, told apart by their first letter.
 
-    String pieces take their source id plus the target size, an empty string the target size itself. A
-    record with any unknown token is dropped. Both vocabularies may be of any size.
+    String pieces take their source id plus the target size, an empty string the target size itself.
     """
-    known = lambda rows, vocab: vocab_lookup(rows, vocab.where(F.col("id") != UNK), ["id_", "pos"])
-    rows = tokens.withColumnRenamed("id", "id_")
-    plain = known(rows.where(~F.col("is_string")), target_vocab)
-    text = known(rows.where("is_string"), source_vocab)
-    empty = F.lit(target_size).cast("long")
-    text = text.withColumn("id", F.when(F.col("token") == "", empty).otherwise(F.col("id") + target_size))
-    encoded = plain.unionByName(text).groupBy(F.col("id_").alias("id__")).agg(
-        F.count(F.when(F.col("id").isNull(), 1)).alias("unknown"),
-        F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("seq"))
-    ids = F.transform("seq", lambda s: s["id"].cast("int"))
-    return encoded.where("unknown = 0").select(
-        F.col("id__").alias("id"),
-        F.concat(F.array(F.lit(BOS)), ids, F.array(F.lit(EOS))).alias("ast_seq_enc"))
-
-
-def decode(ids: DataFrame, vocab: DataFrame) -> DataFrame:
-    """``(id_, text)`` from ``(id_, pos, id)`` rows: start and end dropped, pieces joined, marker to space.
+    plain = target_vocab.where(F.col("id") != UNK).select(F.concat(F.lit("n"), "piece").alias("label"), F.col("id").cast("long"), "cnt")
+    text = source_vocab.where((F.col("id") != UNK) & (F.col("piece") != "")).select(
+        F.concat(F.lit("s"), "piece").alias("label"), (F.col("id") + target_size).cast("long").alias("id"), "cnt")
+    empty = target_vocab.sparkSession.createDataFrame([("s", target_size, 1)], "label string, id long, cnt long")
+    return plain.unionByName(text).unionByName(empty)
+
+
+def encode_tree(records: DataFrame, tokens: str, is_string: str, target_vocab: DataFrame, source_vocab: DataFrame,
+                target_size: int, out: str = "ast_seq_enc", frequent: int = FREQUENT) -> DataFrame:
+    """``records`` with the ids of ``tokens`` between start and end id; ``is_string`` tells the string pieces among them.
+
+    A record with any unknown token is dropped. Both vocabularies may be of any size: frequent tokens are coded in the
+    record, only the others are looked up by a join (see :func:`nlcorpus.functions.tiered.code_arrays`).
+    """
+    labels = F.transform(F.arrays_zip(F.col(tokens).alias("t"), F.col(is_string).alias("s")),
+                         lambda x: F.concat(F.when(x["s"], "s").otherwise("n"), x["t"]))
+    coded = code_arrays(records.withColumn("__labels", labels), "__labels", tree_labels(target_vocab, source_vocab, target_size),
+                        "label", "id", "cnt", "__ids", frequent)
+    known = coded.where(~F.exists("__ids", lambda i: i.isNull()))
+    ids = F.transform("__ids", lambda i: i.cast("int"))
+    return known.withColumn(out, F.concat(F.array(F.lit(BOS)), ids, F.array(F.lit(EOS)))).drop("__labels", "__ids")
+
+
+def decode(records: DataFrame, ids: str, vocab: DataFrame, out: str = "text", frequent: int = FREQUENT) -> DataFrame:
+    """``records`` with the text of ``ids``: start and end dropped, pieces joined, marker to space.
 
     A record of start and end alone has an empty text; an id outside the vocabulary reads as the unknown piece.
     """
-    ends = F.col("id").isin(BOS, EOS)
-    named = reverse_lookup(ids.where(~ends), vocab, ["id_", "pos"]).select(
-        "id_", "pos", F.coalesce("piece", F.lit(SPECIALS[UNK][0])).alias("piece"))
-    pieces = named.unionByName(ids.where(ends).select("id_", "pos", F.lit("").alias("piece")))
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("pos", "piece"))), lambda p: p["piece"])
-    return pieces.groupBy("id_").agg(
-        F.replace(F.array_join(ordered, ""), F.lit(SPACE), F.lit(" ")).alias("text"))
+    inner = F.filter(F.col(ids), lambda i: ~i.isin(BOS, EOS)).cast("array<bigint>")
+    table = vocab.select(F.col("id").cast("long").alias("id"), "piece", "cnt")
+    coded = code_arrays(records.withColumn("__inner", inner), "__inner", table, "id", "piece", "cnt", "__pieces", frequent)
+    named = F.transform("__pieces", lambda p: F.coalesce(p, F.lit(SPECIALS[UNK][0])))
+    return coded.withColumn(out, F.replace(F.array_join(named, ""), F.lit(SPACE), F.lit(" "))).drop("__inner", "__pieces")
 
 
 def oov_report(tokens: DataFrame, vocab: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from nlcorpus.functions.tiered import code_arrays
 from nlcorpus.operators import clean, dataset, joins, segment, vocab
 from nlcorpus.plans import views
 from nlcorpus.plans.registry import Tables, query
@@ -179,12 +180,22 @@ VOCAB_SQL = "SELECT literal AS piece, 3 + row_number() OVER (ORDER BY freq DESC,
 def vocab_lookup(t: Tables):
     """Words to ids and back to words."""
     table = vocab.count_vocab(views.tokens(t), "token")
-    ids = joins.vocab_lookup(views.tokens(t), table, ["doc_id", "pos"]).drop("token")
-    back = joins.reverse_lookup(ids, table, ["doc_id", "pos"])
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "id", "piece")))
-    text = lambda field: F.md5(F.array_join(F.transform("seq", lambda s: s[field].cast("string")), " "))
-    return back.groupBy("doc_id").agg(ordered.alias("seq")).select("doc_id", text("id").alias("ids"),
-                                                                   text("piece").alias("back"))
+    records = t.documents.select("doc_id", views.words("text").alias("words"))
+    ids = code_arrays(records, "words", table, "piece", "id", "cnt", "ids").select("doc_id", "ids")
+    back = code_arrays(ids, "ids", table, "id", "piece", "cnt", "back")
+    text = lambda field: F.md5(F.array_join(F.col(field).cast("array<string>"), " "))
+    return back.select("doc_id", text("ids").alias("ids"), text("back").alias("back"))
+
+
+@query("C5_vocab_lookup_rows", f"""SELECT conv_id, turn, pos, token, coalesce(id, -1) AS id FROM (SELECT conv_id, turn,
+ unnest(range(len(ws))) AS pos, unnest(ws) AS token FROM (SELECT conv_id, turn, string_split(text, ' ') AS ws
+ FROM conversations)) LEFT JOIN ({VOCAB_SQL}) ON piece = token""", "tok lit_freq")
+def vocab_lookup_rows(t: Tables):
+    """Words of the conversations, as rows, to ids of the documents' vocabulary."""
+    table = vocab.count_vocab(views.tokens(t), "token")
+    words = t.conversations.select("conv_id", "turn", F.posexplode(views.words("text")).alias("pos", "token"))
+    rows = joins.vocab_lookup(words.withColumn("pos", F.col("pos").cast("long")), table, ["conv_id", "turn", "pos"])
+    return rows.select("conv_id", "turn", "pos", "token", F.coalesce("id", F.lit(-1)).cast("long").alias("id"))
 
 
 @query("C6_cross_expand", """SELECT parent, n_known, (SELECT count(DISTINCT child) FROM links WHERE child NOT IN (

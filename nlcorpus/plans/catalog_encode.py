@@ -95,12 +95,13 @@ TREE_VOCABS = """tv AS (SELECT token, 3 + row_number() OVER (ORDER BY count(*) D
     "FROM enc", f"FROM (WITH {TREE_VOCABS} SELECT * FROM enc)"), "tok")
 def encode_tree(t: Tables):
     """Words that end a sentence and empty words are strings; vocabularies come from four fifths of the documents."""
-    words = views.tokens(t).withColumnRenamed("doc_id", "id").withColumn(
-        "is_string", F.col("token").endswith(".") | (F.col("token") == ""))
-    train = words.where("id % 5 <> 0 AND token <> ''")
-    target = vocab.count_vocab(train.where(~F.col("is_string")), "token")
-    source = vocab.count_vocab(train.where("is_string"), "token")
-    rows = vocab.encode_tree(words, target, source, target.count())
+    string = lambda w: w.endswith(".") | (w == "")
+    train = views.tokens(t).where("doc_id % 5 <> 0 AND token <> ''")
+    target = vocab.count_vocab(train.where(~string(F.col("token"))), "token")
+    source = vocab.count_vocab(train.where(string(F.col("token"))), "token")
+    records = t.documents.select(F.col("doc_id").alias("id"), views.words("text").alias("tokens"))
+    records = records.withColumn("is_string", F.transform("tokens", string))
+    rows = vocab.encode_tree(records, "tokens", "is_string", target, source, target.count())
     text = F.array_join(F.transform("ast_seq_enc", lambda x: x.cast("string")), ",")
     return rows.select("id", F.size("ast_seq_enc").cast("long").alias("n"), F.md5(text).alias("digest"))
 
@@ -108,17 +109,15 @@ def encode_tree(t: Tables):
 @query("G8_decode", "SELECT doc_id, md5(text) AS digest FROM documents")
 def decode(t: Tables):
     """Documents as ids between start and end id, decoded back to text."""
-    from nlcorpus.operators.joins import vocab_lookup
-
-    marked = views.tokens(t).withColumn("token", F.concat(F.lit(vocab.SPACE), "token"))
-    table = vocab.count_vocab(marked, "token")
-    ids = vocab_lookup(marked, table, ["doc_id", "pos"]).select(F.col("doc_id").alias("id_"), "pos", "id")
-    ends = t.documents.select(F.col("doc_id").alias("id_"), F.explode(F.array(
-        F.struct(F.lit(-1).alias("pos"), F.lit(vocab.BOS).cast("long").alias("id")),
-        F.struct(F.lit(2 ** 31 - 1).alias("pos"), F.lit(vocab.EOS).cast("long").alias("id")))).alias("e")).select(
-        "id_", "e.pos", "e.id")
-    text = vocab.decode(ids.unionByName(ends), table)
-    return text.select(F.col("id_").alias("doc_id"), F.md5(F.regexp_replace("text", "^ ", "")).alias("digest"))
+    from nlcorpus.functions.tiered import code_arrays
+
+    marked = F.transform(views.words("text"), lambda w: F.concat(F.lit(vocab.SPACE), w))
+    records = t.documents.select("doc_id", marked.alias("words"))
+    table = vocab.count_vocab(records.select(F.explode("words").alias("token")), "token")
+    ids = code_arrays(records, "words", table, "piece", "id", "cnt", "inner")
+    ends = [F.array(F.lit(e).cast("long")) for e in (vocab.BOS, vocab.EOS)]
+    text = vocab.decode(ids.select("doc_id", F.concat(ends[0], "inner", ends[1]).alias("ids")), "ids", table)
+    return text.select("doc_id", F.md5(F.regexp_replace("text", "^ ", "")).alias("digest"))
 
 
 @query("G9_vocab_dump", f"""SELECT id, piece, count(*) OVER () AS size FROM ({vocab_sql('''SELECT word AS piece,

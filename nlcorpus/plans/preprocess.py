@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nlcorpus.functions import syntax
-from nlcorpus.functions.keyed import first_of_each, lookup_join
+from nlcorpus.functions.keyed import first_of_each
 from nlcorpus.functions.ordered import add_ordinal
+from nlcorpus.functions.tiered import code_arrays
 from nlcorpus.operators import clean, dataset, grammar, trees, vocab
 from nlcorpus.session import materialize
 
@@ -91,12 +92,10 @@ def prepare(pairs: DataFrame, vocabularies: Vocabularies | None = None, vocab_si
     tokens = trees.token_table(parsed, "rec")  # its id is the record number
     counts = tokens.groupBy("token").agg(F.count("*").alias("cnt"))
     known = materialize(counts.join(label_ids(v).withColumnRenamed("id", "label_id"), "token", "left"), "labels")
-    labelled = lookup_join(tokens.select("id", "pos", "token"), known, "token", "cnt", ["id", "pos"])
-    sequences = labelled.groupBy("id").agg(
-        F.count(F.when(F.col("label_id").isNull(), 1)).alias("unknown"),
-        F.sort_array(F.collect_list(F.struct("pos", "label_id"))).alias("seq"))
-    encoded = sequences.where("unknown = 0").select(
-        F.col("id").alias("rec"), F.transform("seq", lambda s: s["label_id"].cast("int")).alias("ast_seq_enc"))
+    named = code_arrays(parsed.select("rec", "tokens"), "tokens", known.where("label_id is not null"), "token", "label_id", "cnt",
+                        "labels")
+    encoded = named.where(~F.exists("labels", lambda i: i.isNull())).select(
+        "rec", F.transform("labels", lambda i: i.cast("int")).alias("ast_seq_enc"))
 
     edges = grammar.sentence_edges(tokens).join(known.select(F.col("token").alias("child"), F.col("label_id").alias(
         "child_id")), "child")

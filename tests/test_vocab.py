@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nlcorpus.functions import subword
+from nlcorpus.functions.tiered import code_arrays
 from nlcorpus.operators import vocab
 
 
@@ -117,12 +118,34 @@ def test_encode_nl_and_chars(spark):
 
 
 def test_encode_tree_drops_unknown(spark):
-    rows = [("r1", 0, "Name", False), ("r1", 1, "txt", True), ("r1", 2, "", True), ("r2", 0, "Other", False)]
-    tokens = spark.createDataFrame(rows, "id string, pos int, token string, is_string boolean")
+    rows = [("r1", ["Name", "txt", ""], [False, True, True]), ("r2", ["Other"], [False]), ("r3", ["<unk>"], [False]),
+            ("r4", [], []), ("r5", ["txt"], [False])]
+    records = spark.createDataFrame(rows, "id string, tokens array<string>, s array<boolean>")
     target = spark.createDataFrame([("<unk>", 1, 0), ("Name", 4, 9)], "piece string, id long, cnt long")
     source = spark.createDataFrame([("<unk>", 1, 0), ("txt", 4, 2)], "piece string, id long, cnt long")
-    got = vocab.encode_tree(tokens, target, source, 5).collect()
-    assert [(r.id, r.ast_seq_enc) for r in got] == [("r1", [2, 4, 9, 5, 3])]
+    for frequent in (0, 1, 10):
+        got = vocab.encode_tree(records, "tokens", "s", target, source, 5, frequent=frequent).collect()
+        assert sorted((r.id, r.ast_seq_enc) for r in got) == [("r1", [2, 4, 9, 5, 3]), ("r4", [2, 3])]
+
+
+@pytest.mark.parametrize("frequent", [0, 3, 1000])
+def test_two_tiers_code_like_one_dictionary(spark, frequent):
+    rnd = random.Random(31)
+    names = {f"w{i}": i * 10 for i in range(60)} | {"long" * 30: 7, "é": 8, "": 9}
+    pool = [*names, *(f"w{i}" for i in (0, 1, 2) for _ in range(40)), "new", "other", None]
+    rows = [(rnd.randrange(5), rnd.choices(pool, k=rnd.choice([0, 1, 7, 300])), "x") for _ in range(150)]
+    rows += [(1, None, "x"), (None, ["hot"] * 4000, "x"), (2, ["w1"], "x"), (2, ["w1"], "x")]
+    df = spark.createDataFrame(rows, "k int, v array<string>, __other string").repartition(4)
+    table = spark.createDataFrame([(n, c, 100 - i) for i, (n, c) in enumerate(names.items())], "n string, c long, w int")
+    got = code_arrays(df, "v", table, "n", "c", "w", "ids", frequent)
+    assert got.columns == [*df.columns, "ids"]
+    key = lambda r: (str(r[0]), str(r[1]))
+    want = [(k, v, v and [names.get(x) for x in v] if v is not None else None) for k, v, _ in rows]
+    assert sorted(((r.k, r.v, r.ids) for r in got.collect()), key=key) == sorted(want, key=key)
+    back = code_arrays(got.select("k", "ids"), "ids", table, "c", "n", "w", "again", frequent).collect()
+    texts = {c: n for n, c in names.items()}
+    assert all(r.again == (None if r.ids is None else [texts.get(i) for i in r.ids]) for r in back) and len(back) == len(rows)
+    assert code_arrays(df.limit(0), "v", table, "n", "c", "w", "ids", frequent).count() == 0
 
 
 def test_nfkc(spark):
@@ -141,9 +164,8 @@ def test_runs_of_unknown_characters(spark):
 
 def test_decode_keeps_records(spark):
     table = spark.createDataFrame([("<unk>", 1, 0), ("▁ab", 4, 3)], "piece string, id long, cnt long")
-    ids = [("empty", 0, 2), ("empty", 1, 3), ("odd", 0, 2), ("odd", 1, 4), ("odd", 2, 77), ("odd", 3, 3)]
-    got = vocab.decode(spark.createDataFrame(ids, "id_ string, pos int, id long"), table).collect()
-    assert {r.id_: r.text for r in got} == {"empty": "", "odd": " ab<unk>"}
+    rows = spark.createDataFrame([("empty", [2, 3]), ("odd", [2, 4, 77, 3])], "i string, ids array<long>")
+    assert {r.i: r.text for r in vocab.decode(rows, "ids", table).collect()} == {"empty": "", "odd": " ab<unk>"}
 
 
 def test_characters_of_valid_texts(spark):
