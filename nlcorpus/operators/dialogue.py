@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nlcorpus.functions.keyed import lookup_join
 from nlcorpus.functions.ordered import bounded_chunks, chunk_of, fill_forward, islands, number_rows
 
 # Thresholds, session length and texts of the assistant's configuration.
@@ -33,20 +34,50 @@ def story_transitions(steps: DataFrame, key: str, position: str, name: str) -> D
             .agg(F.count("*").alias("n")))
 
 
-def story_conformance(steps: DataFrame, stories: DataFrame, key: str, position: str, name: str) -> DataFrame:
-    """``(key, story)`` for conversations whose steps equal a story's steps, in order and in full.
+def _states(rows: DataFrame, key: str, step: str, name: str) -> DataFrame:
+    """``rows`` with ``state``: what stands for the names from step 1 to this one.
+
+    It is two sums of hashes of (step, name), so the states of two stretches add up to that of both, in any chunks.
+    """
+    upto = Window.partitionBy(key).orderBy(step).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    move = lambda seed: F.xxhash64(F.lit(seed), F.col(step).cast("long"), F.coalesce(name, F.lit("")), F.col(name).isNull())
+    part = lambda seed: F.sum(move(seed).cast("decimal(38,0)")).over(upto).alias(f"h{seed}")
+    return rows.withColumn("state", F.struct(F.col(step).cast("long").alias("length"), part(0), part(1)))
+
+
+def story_automaton(stories: DataFrame) -> DataFrame:
+    """``(state, length, stories)``: every prefix of a story ``(story, step, name)``, with the stories that end there."""
+    ends = stories.groupBy("story").agg(F.max("step").alias("story_len"))
+    states = _states(stories.join(ends, "story"), "story", "step", "name")
+    return states.groupBy("state").agg(F.collect_set(F.when(F.col("step") == F.col("story_len"), F.col("story"))).alias("stories"))
 
-    ``stories`` has ``(story, step, name)``. Steps are matched one by one and counted; no sequence is collected, and
-    conversations longer than every story are not matched at all.
+
+def story_prefixes(steps: DataFrame, stories: DataFrame, key: str, position: str, name: str) -> DataFrame:
+    """``(key, n_steps, followed, stories)``: how many first steps of each conversation some story has as well.
+
+    ``stories`` lists those that end just there. Story prefixes are the states of an automaton; a conversation's steps
+    are numbered in chunks and only those up to the longest story's length take part further. Whether a state is a
+    story's is decided once for every distinct state, and states that many conversations share are salted. A conversation with
+    a null key is one of its own; steps are numbered from 1 in ``stories``.
     """
-    lengths = stories.groupBy("story").agg(F.count("*").alias("story_len"))
-    numbered = number_rows(steps, [key], position, "step", chunk_of(F.col(position)))
-    totals = numbered.groupBy(key).agg(F.max("step").alias("n_steps"))
-    expected = stories.select("story", "step", F.col("name").alias(name))
-    hits = numbered.join(expected, ["step", name]).groupBy(key, "story").agg(F.count("*").alias("n_hits"))
-    return (hits.join(totals, key).join(lengths, "story")
-            .where((F.col("n_hits") == F.col("story_len")) & (F.col("n_steps") == F.col("story_len")))
-            .select(key, "story"))
+    longest = stories.agg(F.coalesce(F.max("step"), F.lit(0)).alias("n")).first()["n"]
+    steps = steps.select(F.struct(key).alias("__key"), F.col(position).alias("__at"), F.col(name).alias("__name"))
+    numbered = number_rows(steps, ["__key"], "__at", "__step", chunk_of(F.col("__at")))
+    totals = numbered.groupBy("__key").agg(F.max("__step").alias("n_steps"))
+    walked = _states(numbered.where(F.col("__step") <= longest), "__key", "__step", "__name").select("__key", "__step", "state")
+    seen = walked.groupBy("state").agg(F.count("*").alias("__n"))
+    known = seen.join(story_automaton(stories), "state")
+    reached = lookup_join(walked, known, "state", "__n", ["__key"], "inner")
+    far = reached.groupBy("__key").agg(F.max("__step").alias("followed"), F.max_by("stories", "__step").alias("stories"))
+    return totals.join(far, "__key", "left").select(
+        F.col(f"__key.{key}").alias(key), "n_steps", F.coalesce("followed", F.lit(0)).cast("long").alias("followed"),
+        F.coalesce("stories", F.array().cast("array<string>")).alias("stories"))
+
+
+def story_conformance(steps: DataFrame, stories: DataFrame, key: str, position: str, name: str) -> DataFrame:
+    """``(key, story)`` for conversations whose steps equal a story's steps, in order and in full."""
+    whole = story_prefixes(steps, stories, key, position, name).where(F.col("followed") == F.col("n_steps"))
+    return whole.select(key, F.explode("stories").alias("story"))
 
 
 def fallback_rule(candidates: DataFrame, keys: list[str], name: str, confidence: str) -> DataFrame:

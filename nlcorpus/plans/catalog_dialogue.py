@@ -37,9 +37,22 @@ STORY_SQL = ", ".join(f"('{name}', '{' '.join(steps)}')" for name, steps in STOR
 @query("J3_story_conformance", f"""SELECT conv_id, story FROM (SELECT conv_id, string_agg(role, ' ' ORDER BY turn)
  AS steps FROM conversations GROUP BY conv_id) JOIN (VALUES {STORY_SQL}) AS known(story, steps) USING (steps)""")
 def story_conformance(t: Tables):
+    return dialogue.story_conformance(t.conversations, known_stories(t), "conv_id", "turn", "role")
+
+
+def known_stories(t: Tables):
     steps = [(story, i, name) for story, names in STORIES.items() for i, name in enumerate(names, 1)]
-    stories = t.spark.createDataFrame(steps, "story string, step long, name string")
-    return dialogue.story_conformance(t.conversations, stories, "conv_id", "turn", "role")
+    return t.spark.createDataFrame(steps, "story string, step long, name string")
+
+
+@query("J3_story_prefixes", f"""SELECT conv_id, len(roles) AS n_steps, coalesce((SELECT max(n) FROM (SELECT string_split(steps,
+ ' ') AS names FROM (VALUES {STORY_SQL}) AS known(story, steps)), (SELECT unnest(range(1, 20)) AS n)
+ WHERE n <= len(names) AND n <= len(roles) AND names[1:n] = roles[1:n]), 0) AS followed
+ FROM (SELECT conv_id, list(role ORDER BY turn) AS roles FROM conversations GROUP BY conv_id)""")
+def story_prefixes(t: Tables):
+    """How far every conversation follows the story that it follows longest."""
+    rows = dialogue.story_prefixes(t.conversations, known_stories(t), "conv_id", "turn", "role")
+    return rows.select("conv_id", "n_steps", "followed")
 
 
 @query("J4_fallback_rule", """SELECT user_id, day, max(name) FILTER (rn = 1) AS intent, max(c) FILTER (rn = 1) AS top1,
