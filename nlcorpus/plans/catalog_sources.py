@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from nlcorpus.functions import syntax
 from nlcorpus.operators import dialogue, grammar, vocab
 from nlcorpus.plans import views
 from nlcorpus.plans.registry import Tables, query
@@ -123,6 +124,43 @@ def grammar_store(t: Tables):
     return edges.join(nodes, edges["parent"] == nodes["label"]).select("parent", "child", "cnt", "n_fields")
 
 
+GRAMMAR_SQL = """(WITH l AS (SELECT page_id % 2 AS batch, page_id, pos, parent, child FROM links),
+ seen AS (SELECT child AS label, NULL AS parent, 'node' AS node_type, batch, page_id, pos FROM l UNION ALL
+ SELECT parent, NULL, 'node', batch, page_id, pos FROM l UNION ALL
+ SELECT parent || '_children', parent, 'list', batch, page_id, pos FROM l UNION ALL
+ SELECT '</l>', NULL, 'special', batch, page_id, pos FROM l)
+ SELECT label, parent, node_type, 3 + row_number() OVER (ORDER BY first.b, first.p, first.q, label) AS id FROM (
+ SELECT label, parent, node_type, min({'b': batch, 'p': page_id, 'q': pos}) AS first FROM seen GROUP BY ALL))"""
+
+
+def grown_grammar(t: Tables):
+    """The grammar of page tags from two batches, even pages first; the first batch comes twice."""
+    store = stores.GrammarStore(t.spark, scratch_path(t.spark, "grammar"))
+    for batch in (0, 1, 0):
+        links = views.links(t).where(F.col("page_id") % 2 == batch)
+        edges = grammar.extract_edges(links, ["page_id", "pos"]).select(
+            F.concat("parent", F.lit("_children")).alias("field"), "child", F.lit("node").alias("kind"), "cnt", "first_seen")
+        ends = edges.groupBy("field").agg(F.sum("cnt").alias("cnt"), F.min("first_seen").alias("first_seen")).select(
+            "field", F.lit(syntax.LIST_END).alias("child"), F.lit("special").alias("kind"), "cnt", "first_seen")
+        store.extend(f"pages-{batch}", edges.unionByName(ends))
+    return store
+
+
+@query("A10_grammar_nodes", f"""SELECT label, parent, node_type, id, CASE WHEN parent IS NOT NULL THEN CAST(1 AS INTEGER) END
+ AS field_order FROM {GRAMMAR_SQL} UNION ALL SELECT label, NULL, 'special', id, NULL FROM (VALUES ('<pad>', 0), ('<unk>', 1),
+ ('<s>', 2), ('</s>', 3)) AS fixed(label, id)""", "links")
+def grammar_nodes(t: Tables):
+    return grown_grammar(t).nodes().select("label", "parent", "node_type", "id", "field_order")
+
+
+@query("A10_grammar_edges", f"""SELECT p.id AS parent_id, c.id AS child_id, CAST(sum(n) AS BIGINT) AS cnt FROM (
+ SELECT parent || '_children' AS field, child, count(*) AS n FROM links GROUP BY ALL UNION ALL
+ SELECT parent || '_children', '</l>', count(*) FROM links GROUP BY ALL) e JOIN {GRAMMAR_SQL} p ON p.label = e.field
+ AND p.parent IS NOT NULL JOIN {GRAMMAR_SQL} c ON c.label = e.child AND c.parent IS NULL GROUP BY p.id, c.id""", "links")
+def grammar_edges(t: Tables):
+    return grown_grammar(t).edges()
+
+
 @query("A11_vocab_store", """SELECT token AS piece, count(*) AS cnt,
  3 + row_number() OVER (ORDER BY count(*) DESC, token) AS id FROM tok GROUP BY token
  UNION ALL SELECT * FROM (VALUES ('<pad>', 0, 0), ('<unk>', 0, 1), ('<s>', 0, 2), ('</s>', 0, 3))""", "tok")

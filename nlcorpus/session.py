@@ -52,6 +52,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/nlcorpus-{uuid.uuid4().hex[:12]}-{name}"
 
 
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that fit a pattern, in any file system that Spark can reach."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return [status.getPath().toString() for status in found or []]
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
