@@ -41,14 +41,42 @@ def canonical(url: Column) -> Column:
         F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
 
 
-def declared_links(html: Column) -> Column:
+def _without_dots(where: Column) -> Column:
+    """A path without ``.`` and ``..`` segments; ``..`` at the top stays there."""
+    parts = F.split(F.regexp_replace(where, r"/(\.{1,2})$", "/$1/"), "/")
+    up = lambda done: F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))
+    step = lambda done, part: F.when(part == "..", up(done)).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
+    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """The address that a link on page ``base`` means; null for one that is none (empty, a fragment, ``mailto:``).
+
+    Ampersands may be written as entities. Targets without a host (``/a``, ``a``, ``../a``, ``?q``) and without a scheme
+    (``//host/a``) take what they lack from the page; on a page that is no address itself they are null.
+    """
+    target = F.trim(F.regexp_replace(target, "(?i)&(amp|#38|#x26);", "&"))
+    origin, scheme = (F.regexp_extract(base, p, 1) for p in (r"(?s)^(.*?://[^/?#]*)", r"(?s)^(.*?)://"))
+    here, local = path(base), F.regexp_extract(target, r"(?s)^([^?#]*)", 1)
+    folder = F.when(here == "", "/").otherwise(F.regexp_replace(here, r"[^/]*$", ""))
+    where = F.when(local == "", here).when(local.startswith("/"), _without_dots(local)).otherwise(
+        _without_dots(F.concat(folder, local)))
+    return (F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+            .when((target == "") | target.startswith("#") | target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")
+                  | (F.coalesce(origin, F.lit("")) == ""), F.lit(None).cast("string"))
+            .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+            .otherwise(F.concat(origin, where, F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1))))
+
+
+def declared_links(html: Column, base: Column) -> Column:
     """Addresses a page names as its own: ``rel=canonical`` links and ``refresh`` redirects. An array, maybe empty."""
     quoted = r"[\"']?([^\"'\s>]+)"
     patterns = [rf"(?i)<link\b[^>]*\brel=[\"']?canonical\b[^>]*\bhref={quoted}",
                 rf"(?i)<link\b[^>]*\bhref={quoted}[^>]*\brel=[\"']?canonical\b",
                 rf"(?i)<meta\b[^>]*\bhttp-equiv=[\"']?refresh\b[^>]*\burl={quoted}"]
-    found = [F.regexp_extract_all(html, F.lit(p), 1) for p in patterns]
-    return F.filter(F.coalesce(F.concat(*found), F.array().cast("array<string>")), lambda x: x.contains("://"))
+    found = F.concat(*[F.regexp_extract_all(html, F.lit(p), 1) for p in patterns])
+    whole = F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda x: resolved(x, base))
+    return F.filter(whole, lambda x: x.isNotNull())
 
 
 def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -56,7 +84,8 @@ def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
 
     Declared targets are tied to their own canonical form too. Rows with a null address give none.
     """
-    page = pages.where(F.col(url).isNotNull()).select(F.col(url).alias("a"), declared_links(F.col(html)).alias("to"))
+    page = pages.where(F.col(url).isNotNull()).select(F.col(url).alias("a"),
+                                                      declared_links(F.col(html), F.col(url)).alias("to"))
     declared = page.select("a", F.explode("to").alias("b"))
     known = page.select("a").unionByName(declared.select(F.col("b").alias("a"))).distinct()
     return known.select("a", canonical(F.col("a")).alias("b")).unionByName(declared)

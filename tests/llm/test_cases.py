@@ -3,6 +3,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from nlcorpus.llm import boosted, crf, fertility, jaccard, pieces, rollup, semantic, spans, suffixes, urls
@@ -151,6 +152,29 @@ def test_urls(spark):
     assert urls.judge(pages.limit(0), urls.RULES).count() == 0 and urls.judge(pages, []).count() == 11
 
 
+def test_link_targets(spark):
+    from urllib.parse import urljoin
+
+    base = "http://a.com/x/y.html?k=1#f"
+    targets = ["/de/q", "//b.net/p", "q", "../q", "./q/", "../../../q", "?z=2", "q?u=http://c.net/&amp;v=1", "http://d.net/&#38;", "..",
+               "/a/./b/../c", "HTTPS://E.com/", "/r?to=http://x.y/"]
+    rows = spark.createDataFrame([(t, base) for t in targets], "t string, b string")
+    for r in rows.select("t", urls.resolved(rows["t"], rows["b"]).alias("u")).collect():
+        want = urljoin(base, r["t"].replace("&amp;", "&").replace("&#38;", "&"))
+        assert r["u"] == (want.replace("https://E", "HTTPS://E")), r["t"]
+    none = spark.createDataFrame([("", base), ("#f", base), ("mailto:a@b.c", base), ("/a", "nonsense"), ("/a", None), (None, base)],
+                                 "t string, b string")
+    assert {r[0] for r in none.select(urls.resolved(none["t"], none["b"])).collect()} == {None}
+    assert spark.sql("select 'a' t, 'http://h' b").select(urls.resolved(F.col("t"), F.col("b"))).first()[0] == "http://h/a"
+    link = '<link rel="canonical" href="{}">'
+    rows = [(1, "http://a.com/x", link.format("/de/q")), (2, "http://a.com/de/q", None), (3, "https://b.net/y", link.format("//a.com/de/q")),
+            (4, "http://c.net/w/z", "<meta http-equiv=refresh content='0; url=../de/q?a=1&amp;b=2'>"), (5, "http://c.net/de/q?a=1&b=2", ""),
+            (6, "http://c.net/other", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r["page_id"]: r["verdict"] for r in urls.judge(pages, [*urls.RULES, ("block", "c.net", "/de/")]).collect()}
+    assert [found[i] for i in range(1, 7)] == ["block"] * 5 + ["allow"]
+
+
 def test_pipeline_on_cases(spark, docs, tmp_path):
     folder = str(tmp_path)
     docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{folder}/documents.parquet")
