@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from nlcorpus.session import materialize
+
 PAIR_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("intent", T.StringType()),
@@ -71,14 +73,11 @@ def name_order(file: Column) -> Column:
     return F.struct(F.regexp_replace(file, r"part-\d+([^/]*)$", "part-"), F.lpad(number, 20, "0"), file)
 
 
-def read_lines(spark: SparkSession, path: str, file: str | None = None) -> DataFrame:
-    """``(line_no, value)`` with 0-based numbers over all files below ``path`` in name order.
-
-    ``file`` names a column for the file a line is from. The broadcast holds one row per file split, some hundred
-    bytes each: a hundred thousand splits are ten megabytes.
+def _lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Lines with ``__file``, ``__from`` and ``__seq``, and the table of the file splits, written from one pass.
 
-    Rows of one file split are contiguous, so a line's number is its place in the split plus the lines of
-    all earlier splits. Only one row per split takes part in the running total.
+    Lines of a split are contiguous, so a line's number is its place in the split plus the lines of all earlier splits.
+    The table (``__head``, ``__n``, ``__offset`` by split) has one row per split, and tells the number of lines too.
     """
     require_path(spark, path)
     lines = (spark.read.text(path)
@@ -88,11 +87,23 @@ def read_lines(spark: SparkSession, path: str, file: str | None = None) -> DataF
     before = Window.orderBy(name_order(F.col("__file")), "__from").rowsBetween(Window.unboundedPreceding, -1)
     splits = (lines.groupBy("__file", "__from")
               .agg(F.min("__seq").alias("__head"), F.count("*").alias("__n"))
-              .withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-              .drop("__n"))
-    return (lines.join(F.broadcast(splits), ["__file", "__from"])  # one row per file split
-            .select((F.col("__offset") + F.col("__seq") - F.col("__head")).alias("line_no"), "value",
-                    *([F.col("__file").alias(file)] if file else [])))
+              .withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0))))
+    return lines, materialize(splits, "line-splits")
+
+
+def _numbered(lines: DataFrame, splits: DataFrame, *more: Column) -> DataFrame:
+    return (lines.join(F.broadcast(splits.drop("__n")), ["__file", "__from"])  # one row per file split
+            .select((F.col("__offset") + F.col("__seq") - F.col("__head")).alias("line_no"), "value", *more))
+
+
+def read_lines(spark: SparkSession, path: str, file: str | None = None) -> DataFrame:
+    """``(line_no, value)`` with 0-based numbers over all files below ``path`` in name order.
+
+    ``file`` names a column for the file a line is from. The input is read twice: once for the table of its splits, which
+    is written, and once for the lines. The broadcast holds one row per file split, some hundred bytes each: a hundred
+    thousand splits are ten megabytes.
+    """
+    return _numbered(*_lines(spark, path), *([F.col("__file").alias(file)] if file else []))
 
 
 def write_lines(df: DataFrame, value: str | Column, order: list[str | Column], path: str) -> None:
@@ -129,14 +140,14 @@ def read_file_pair(spark: SparkSession, source_path: str, target_path: str,
                    newline_marker: str | None = "\\n", id_prefix: str = "") -> DataFrame:
     """Pairs from two line-aligned files; raises when they differ in length.
 
-    The lengths are compared at once, by two counts that move no text, so a wrong pair of files is told before any
-    work is planned on it.
+    The lengths come from the tables of splits that number the lines, so each file is read once for its table and once
+    for its lines, and a wrong pair of files is told before any work is planned on it.
     """
-    n_source, n_target = spark.read.text(source_path).count(), spark.read.text(target_path).count()
+    sides = [_lines(spark, path) for path in (source_path, target_path)]
+    n_source, n_target = (splits.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0] for _, splits in sides)
     if n_source != n_target:
         raise ValueError(f"line counts differ: {n_source} and {n_target}")
-    source = read_lines(spark, source_path).withColumnRenamed("value", "intent")
-    target = read_lines(spark, target_path).withColumnRenamed("value", "snippet")
+    source, target = (_numbered(*side).withColumnRenamed("value", name) for side, name in zip(sides, ("intent", "snippet")))
     return (source.join(target, "line_no")
             .select(F.concat(F.lit(id_prefix), (F.col("line_no") + 1).cast("string")).alias("id"),
                     "intent", unescape_newlines(F.col("snippet"), newline_marker).alias("snippet")))
