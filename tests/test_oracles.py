@@ -19,7 +19,10 @@ def test_same_rows(spark, con, name):
     assert not problem
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
+ELSEWHERE = {"G3_bpe_vocab"}  # its rows are compared in test_vocab.py
+
+
+@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql()) - ELSEWHERE))
 def test_gives_rows(spark, name):
     assert entry.queries()[name](spark, FOLDER).count() > 0
 

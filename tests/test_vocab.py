@@ -1,6 +1,7 @@
 """Vocabularies and encodings against plain Python."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -52,6 +53,54 @@ def test_batched_merges_equal_single_merges(spark, seed, letters, longest):
     assert [r.piece for r in got] == ["<pad>", "<unk>", "<s>", "</s>"] + expected + letters_by_count
 
 
+def indexed_bpe(counts, size, longest):
+    """The same one at a time, with counts kept up for the words that hold a merged pair; for whole tables."""
+    words = {w: list(w) for w in counts}
+    totals, holders = Counter(), {}
+
+    def count(w, sign):
+        for pair in zip(words[w], words[w][1:]):
+            if len(pair[0]) + len(pair[1]) <= longest:
+                totals[pair] += sign * counts[w]
+                holders.setdefault(pair, set()).add(w)
+
+    for w in words:
+        count(w, 1)
+    alphabet = Counter()
+    for w, n in counts.items():
+        for c in w:
+            alphabet[c] += n
+    pieces, known = [], set(alphabet)
+    while len(pieces) < size - 4 - len(alphabet):
+        best = min(((-n, pair) for pair, n in totals.items() if n > 0), default=None)
+        if best is None:
+            break
+        left, right = best[1]
+        for w in list(holders[left, right]):
+            count(w, -1)
+            s, i = words[w], 0
+            while i < len(s) - 1:
+                if s[i] == left and s[i + 1] == right:
+                    s[i:i + 2] = [left + right]
+                i += 1
+            count(w, 1)
+        if left + right not in known:
+            pieces.append(left + right)
+            known.add(left + right)
+    return ["<pad>", "<unk>", "<s>", "</s>", *pieces, *sorted(alphabet, key=lambda c: (-alphabet[c], c))]
+
+
+def test_vocabulary_of_a_whole_table(spark):
+    """The registered query on all documents of the smallest tables, piece by piece."""
+    import __spark_entry__ as entry
+
+    folder = "/root/testdata/sf0.001"
+    texts = [r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").select("text").collect()]
+    counts = Counter(u for t in texts if t is not None for u in re.findall("▁?[^▁]+|▁", "▁" + t.replace(" ", "▁")))
+    got = entry.queries()["G3_bpe_vocab"](spark, folder).orderBy("id").collect()
+    assert [r["piece"] for r in got] == indexed_bpe(counts, 800, 16) and [r["id"] for r in got] == list(range(800))
+
+
 def test_vocab_size_and_symbols(spark):
     words = spark.createDataFrame([("▁aab", 5), ("▁b", 1)], "word string, cnt long")
     with pytest.raises(ValueError):
