@@ -216,6 +216,36 @@ def test_classes_of_large_groups(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found.collect()} == brute_classes(texts)
 
 
+def test_meetings_are_linear(spark):
+    """A group of many sets gives a row a member, with partners whose sizes allow a link; a small one all its pairs."""
+    sizes = sorted(random.Random(3).choices(range(20, 60), k=300))
+    rows = [(1, n, i, i, True) for i, n in enumerate(sizes)] + [(2, 30, i, i, False) for i in range(5)]
+    rows += [(2, 30, 4, 9, False)]  # an equal set with a greater key
+    frame = spark.createDataFrame(rows, "sig long, n int, fp long, k long, combined boolean")
+    found = jaccard.meetings(frame.coalesce(1).sortWithinPartitions("sig", "n", "fp", "k")).collect()
+    wide = [r for r in found if r["sig"] is not None]
+    assert sorted(r["a"] for r in wide) == list(range(300))
+    for r in wide:
+        for size in (r["nb"], r["nc"]):
+            assert size is None or 75 * max(size, r["na"]) <= 100 * min(size, r["na"])
+        assert r["a"] == 0 or r["b"] is not None or r["c"] is not None  # some size is near everywhere here
+    assert {(r["a"], r["b"]) for r in found if r["sig"] is None} == set(itertools.combinations(range(5), 2))
+
+
+def test_linked_pairs(monkeypatch):
+    """Matrix products over a few shingles at a time give what sets give."""
+    monkeypatch.setattr(jaccard, "COLUMNS", 16)
+    rng = random.Random(5)
+    base = list(range(1, 90))
+    sets = [set(rng.sample(base, rng.randrange(60, 89))) | {1000 + i for i in range(rng.choice((0, 3, 9)))} for _ in range(40)]
+    sets += [{5000 + i} for i in range(3)]
+    marks = np.array([i % 3 for i in range(len(sets))])
+    one, two = jaccard.linked_pairs([np.array(sorted(x), dtype=np.uint64) for x in sets], marks)
+    assert set(zip(one.tolist(), two.tolist())) == {
+        (a, b) for a, b in itertools.combinations(range(len(sets)), 2)
+        if marks[a] != marks[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+
+
 def test_links_between_main_components(spark):
     """Two families, each one component of its own: what links their members is still found, in blocks of any kind."""
     shared = [f"s{i}" for i in range(58)]
