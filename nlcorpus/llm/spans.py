@@ -150,15 +150,18 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     count as one document. Null texts stay null, texts without sentences stay as they are. Columns of ``docs`` other
     than the text are kept; columns named like the added ones are replaced.
 
-    Spans meet on their 128-bit hash: minimum and count are combined before the shuffle, and only hashes found twice
-    are joined back, a join of two shuffled tables whose hot keys adaptive execution splits.
+    Spans meet on their 128-bit hash, but only its first half is counted over all spans, combined before the shuffle.
+    Spans whose half occurs twice are joined back, a join of two shuffled tables whose hot keys adaptive execution
+    splits, and only these few are told apart by the whole hash and get their first place.
     """
     found = saved(spans(docs, key, text), "spans")
-    alone = found.where(~F.col("repeat"))
+    alone = found.where(~F.col("repeat")).drop("repeat")
+    twice = saved(alone.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1"), "twice")
+    met = saved(alone.join(twice, "h1"), "met")
     place = F.struct(F.col("k").isNull().alias("last"), "k", "start")
-    firsts = saved(alone.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("f")).where("n > 1")
+    firsts = saved(met.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("f")).where("n > 1")
                    .select("h1", "h2", F.col("f.k").alias("fk"), F.col("f.start").alias("fs")), "firsts")
-    later = alone.join(firsts, ["h1", "h2"]).where(
+    later = met.join(firsts, ["h1", "h2"]).where(
         ~(F.col("k").eqNullSafe(F.col("fk")) & (F.col("start") == F.col("fs"))))
     gone = (later.select("k", "start", "end").unionByName(found.where("repeat").select("k", "start", "end"))
             .groupBy(F.col("k").alias("__k")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__gone")))
