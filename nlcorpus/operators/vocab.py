@@ -69,35 +69,21 @@ def word_counts(df: DataFrame, text: str, whitespace_as_suffix: bool = False, sp
 
 
 def bpe_vocab(words: DataFrame, vocab_size: int = 800, max_piece_length: int = 16,
-              user_symbols: Sequence[str] = (), cut_every: int = 20) -> DataFrame:
+              user_symbols: Sequence[str] = (), cut_every: int = 100) -> DataFrame:
     """Subword vocabulary ``(piece, id, score)`` by repeated merging of the most frequent pair.
 
-    Only distinct units with their counts take part. Each round counts all pairs in Spark and takes the
-    leading pairs that share no symbol with one another, which gives the same merges as taking them one by
-    one (a merge changes only the counts of pairs that hold one of its symbols). Units are rewritten with
-    native string functions; the unit table is written out every ``cut_every`` merges to cut its lineage.
+    Only distinct units with their counts take part. A pass over them counts what many merges change, see
+    :func:`nlcorpus.functions.subword.learned_merges`; units are written out, without finished ones, every ``cut_every``
+    merges to cut their lineage.
     """
-    state = materialize(subword.spelled(words), "bpe")
-    chars = (state.select("cnt", F.explode(subword.symbols("state")).alias("ch")).groupBy("ch")
+    units = materialize(words.where("word <> ''"), "bpe")
+    chars = (units.select("cnt", F.explode(F.regexp_extract_all("word", F.lit("(?s)."), 0)).alias("ch")).groupBy("ch")
              .agg(F.sum("cnt").alias("cnt")))
     alphabet = [r["ch"] for r in chars.orderBy(F.desc("cnt"), "ch").collect()]  # Unicode bounds this
     room = vocab_size - len(SPECIALS) - len(user_symbols) - len(alphabet)
     if room < 0:
         raise ValueError(f"vocab_size {vocab_size} is smaller than the alphabet of {len(alphabet)}")
-    merged: list[str] = []
-    pending = 0
-    while len(merged) < room:
-        batch = subword.next_merges(state, max_piece_length, set(merged) | set(alphabet),
-                                    room - len(merged))
-        if not batch:
-            break
-        for left, right in batch:
-            state = state.withColumn("state", subword.merge("state", left, right))
-            if left + right not in merged:
-                merged.append(left + right)
-        pending += len(batch)
-        if pending >= cut_every:
-            state, pending = materialize(state.where(subword.unfinished("state")), "bpe"), 0
+    merged = subword.learned_merges(units, alphabet, room, max_piece_length, cut_every) if room else []
     pieces = [p for p, _ in SPECIALS] + list(user_symbols) + merged + alphabet
     first = len(SPECIALS) + len(user_symbols)
     rows = [(p, i, float(first - i) if i >= first else 0.0) for i, p in enumerate(pieces)]

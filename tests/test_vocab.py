@@ -220,3 +220,16 @@ def test_decode_keeps_records(spark):
 def test_characters_of_valid_texts(spark):
     df = spark.createDataFrame([("a b",), ("a\u20ac",), (None,)], "t string")
     assert sorted(r.ch for r in vocab.char_occurrences(df, "t").collect()) == ["a", "b", "▁"]
+
+
+def test_many_merges_a_pass(spark, monkeypatch):
+    """Guessed merges are checked against all units: few passes, and the same pieces however poor the guess."""
+    counts = {f"▁{a}{b}{c}{a}{a}{a}": 1 + (7 * i + 3 * j + k) % 11 for i, a in enumerate("abcde")
+              for j, b in enumerate("abcdef") for k, c in enumerate("acegh")}
+    words = spark.createDataFrame(list(counts.items()), "word string, cnt long")
+    expected, passes, once = plain_bpe(counts, 40, 16), [], subword.pair_changes
+    monkeypatch.setattr(subword, "pair_changes", lambda *a: passes.append(1) or once(*a))
+    got = lambda: [r.piece for r in vocab.bpe_vocab(words, 4 + 40 + 9, cut_every=15).orderBy("id").collect()][4:44]
+    assert got() == expected and len(passes) <= 5
+    monkeypatch.setattr(subword, "GUIDE_UNITS", 3)
+    assert got() == expected
