@@ -106,15 +106,22 @@ def intern_sets(edges: DataFrame, list_end: bool = False, text_fields: DataFrame
     return ChildSets(parents, materialize(members, "set-members"), literals)
 
 
-def allowed_children(steps: DataFrame, sets: ChildSets, spread: list[str], field: str = "open_parent") -> DataFrame:
+def allowed_children(steps: DataFrame, sets: ChildSets, spread: list[str], field: str = "open_parent",
+                     spelled: bool = False) -> DataFrame:
     """``steps`` with ``set_id`` and ``any_text`` of the field open after each, which say what may come next.
 
-    The set itself is not copied to the steps; it is in ``sets.members``. Fields outside the grammar get nulls. A step
-    inside a text run (see :func:`allowed`) has the same set without ``None#literal``. Frequent fields are salted.
+    The set itself is in ``sets.members``; with ``spelled`` every step also gets its members, sorted and joined by
+    spaces, as ``allowed``. Fields outside the grammar get nulls. A step inside a text run (see :func:`allowed`) has the
+    same set without ``None#literal``. Frequent fields are salted.
     """
     counts = steps.groupBy(field).agg(F.count("*").alias("__n"))
     table = counts.join(sets.parents.withColumnRenamed("parent", field), field, "left")
-    return lookup_join(steps, table.select(field, "__n", "set_id", "any_text"), field, "__n", spread).drop("__n")
+    names = [field, "__n", "set_id", "any_text"]
+    if spelled:
+        text = F.array_join(F.array_sort(F.collect_list("child")), " ")
+        table = table.join(sets.members.groupBy("set_id").agg(text.alias("allowed")), "set_id", "left")
+        names.append("allowed")
+    return lookup_join(steps, table.select(*names), field, "__n", spread).drop("__n")
 
 
 def allowed(rows: DataFrame, sets: ChildSets, field: str, child: str, spread: list[str], out: str = "allowed",

@@ -117,12 +117,14 @@ def tag_sets(t: Tables):
     return grammar.intern_sets(grammar.extract_edges(views.links(t), ["page_id", "pos"]), list_end=True)
 
 
-@query("E9_allowed_children", f"SELECT page_id, pos, tag, set_id FROM elements LEFT JOIN {SETS_SQL} ON p = tag",
-       "elements links")
+@query("E9_allowed_children", """SELECT page_id, pos, tag, allowed FROM elements LEFT JOIN (SELECT p,
+ array_to_string(list_sort(list(DISTINCT c)), ' ') AS allowed FROM (SELECT parent AS p, child AS c FROM links UNION ALL
+ SELECT parent, '</l>' FROM links) GROUP BY p) ON p = tag""", "elements links")
 def allowed_children(t: Tables):
-    """The set of tags allowed inside each opened tag, as seen anywhere in the corpus, by its name."""
+    """Tags allowed inside each opened tag, as seen anywhere in the corpus."""
     steps = views.elements(t).select("page_id", "pos", "tag", F.col("tag").alias("open_parent"))
-    return grammar.allowed_children(steps, tag_sets(t), ["page_id", "pos"]).select("page_id", "pos", "tag", "set_id")
+    rows = grammar.allowed_children(steps, tag_sets(t), ["page_id", "pos"], spelled=True)
+    return rows.select("page_id", "pos", "tag", "allowed")
 
 
 @query("E9_set_members", f"SELECT set_id, unnest(c) AS child FROM {SETS_SQL} WHERE p = set_id", "links")

@@ -72,6 +72,13 @@ def test_positions_carry_the_name_of_the_set(spark):
     assert {(r.open_parent, r.set_id) for r in out.collect()} == {("wide", "wide"), ("nowhere", None)} and out.count() == 3000
 
 
+def test_positions_carry_the_members_of_the_set(spark):
+    edges = spark.createDataFrame([("f", "b"), ("f", "a"), ("f", "b"), ("g", "a"), ("g", "b"), ("h", "c")], "parent string, child string")
+    steps = spark.createDataFrame([(1, "f"), (2, "g"), (3, "h"), (4, "nowhere"), (5, None)], "i int, open_parent string")
+    out = grammar.allowed_children(steps, grammar.intern_sets(edges, list_end=True), ["i"], spelled=True)
+    assert {r.i: r.allowed for r in out.collect()} == {1: "</l> a b", 2: "</l> a b", 3: "</l> c", 4: None, 5: None}
+
+
 def test_masking_with_and_without_the_rule(spark):
     edges = spark.createDataFrame([("f", "Name"), ("f", "a#strliteral"), ("g", "b#strliteral"), ("g", "None#literal")],
                                   "parent string, child string")
