@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages of the documents and the benchmark items are TF-IDF vectors over the benchmark's words. A randomised singular
-value decomposition, its products formed by Spark over a bounded sample of passages and all items, gives the latent
+value decomposition, its product formed by Spark over all passages and items, gives the latent
 space. Passages and items with a high cosine there are candidates. A candidate counts when the item's words come in
 order in the text around it: most of them, or about half together with the item's answer, its closing words.
 
@@ -18,15 +18,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nlcorpus.llm.common import MEMO_WORDS, mixed, saved, slices
+from nlcorpus.llm.common import MEMO_WORDS, saved, slices
 
 BLOCK = 24  # words of a block; a passage is two blocks, and passages overlap by one
 RANK, OVERSAMPLE = 96, 16
-SAMPLE_PASSAGES = 50_000  # passages the latent space is fitted on, about; all are searched
+FIT_PASSAGES = 64  # passages multiplied at once, so that their matrices stay in a core's cache
+FIT_CELLS = 50_000  # distinct words of passages laid out at once, about
 ITEM_WEIGHT = 4.0  # of an item in the fit, so that words only the benchmark has are in the space
 SEED = 20_240_101
 COSINE = 0.5
@@ -170,89 +170,81 @@ def weights(place: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarra
     return (1 + np.log(counts)) * idf[place]
 
 
-def sampled(table: DataFrame, passages: int) -> DataFrame:
-    """About ``SAMPLE_PASSAGES`` passages chosen by hash, each as its places and counts."""
-    limit = np.uint64(min(1.0, SAMPLE_PASSAGES / max(passages, 1)) * (2**64 - 2048))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            places, tallies = [], []
-            for raw in batch.column(0).to_pylist():
-                number = max(1, -(-len(raw) // 4 // BLOCK) - 1)
-                name = np.uint64(xxhash.xxh3_64_intdigest(raw))
-                chosen = np.flatnonzero(mixed(name + np.arange(number, dtype=np.uint64)) <= limit)
-                if not len(chosen):
-                    continue
-                passage, place, counts, _ = passage_cells(np.frombuffer(raw, "<i4").astype(np.int64))
-                starts, ends = np.searchsorted(passage, chosen), np.searchsorted(passage, chosen, side="right")
-                for a, b in zip(starts, ends):
-                    if b > a:
-                        places.append(place[a:b].tolist())
-                        tallies.append(counts[a:b].tolist())
-            numbers = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(places, numbers), pa.array(tallies, numbers)], ["w", "c"])
-
-    return table.select("words").mapInArrow(run, "w array<int>, c array<int>")
-
-
-def gram_product(sample: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """``A' A B`` for the unit TF-IDF rows A of the sample; each task adds up its part, Spark adds the tasks by word."""
-    context = sample.sparkSession.sparkContext
-    shared, width = context.broadcast((idf, basis)), basis.shape[1]
+def gram_product(table: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """``A' A B`` for the unit TF-IDF rows A of all passages; each task adds up its part, Spark adds the tasks by word."""
+    context = table.sparkSession.sparkContext
+    shared, width = context.broadcast((idf, basis.astype(np.float32))), basis.shape[1]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, right = shared.value
         total = np.zeros(right.shape)
-        for batch in batches:
-            if batch.num_rows:
-                lists = [np.asarray(x) for x in batch.column(0).to_pylist()]
-                tally = np.concatenate([np.asarray(x) for x in batch.column(1).to_pylist()])
-                total += product(lists, weights(np.concatenate(lists), tally, own), right)
+        for row, place, counts in cell_groups(batches):
+            add_product(total, row, place, weights(place, counts, own), right)
         held = np.flatnonzero(np.abs(total).sum(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(held), *(pa.array(total[held, i]) for i in range(width))],
                                          ["w", *(f"y{i}" for i in range(width))])
 
     names = [f"y{i}" for i in range(width)]
-    rows = sample.mapInArrow(run, ", ".join(["w long", *(f"{n} double" for n in names)])) \
+    rows = table.select("words").mapInArrow(run, ", ".join(["w long", *(f"{n} double" for n in names)])) \
         .groupBy("w").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
     out = np.zeros(basis.shape)
     out[rows.column(0).to_numpy()] = np.stack([rows.column(i + 1).to_numpy() for i in range(width)], axis=1)
     return out
 
 
-def product(lists: list[np.ndarray], values: np.ndarray, basis: np.ndarray, scale: float = 1.0) -> np.ndarray:
-    """``A' A B`` for rows given as word places and weights, scaled to unit length times ``scale``."""
-    lengths = np.array([len(x) for x in lists])
-    owner, place = np.repeat(np.arange(len(lists)), lengths), np.concatenate(lists)
-    norm = np.sqrt(np.bincount(owner, values ** 2, len(lists)))
-    values = scale * values / np.maximum(norm, 1e-12)[owner]
-    left = np.add.reduceat(values[:, None] * basis[place], np.cumsum(lengths) - lengths, axis=0)
-    order = np.argsort(place, kind="stable")
-    words, starts = np.unique(place[order], return_index=True)
-    out = np.zeros(basis.shape)
-    out[words] = np.add.reduceat((values[:, None] * left[owner])[order], starts, axis=0)
-    return out
+def cell_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row, place and count of the cells of all passages, those of some texts at a time; rows number the passages with cells."""
+    held: list[tuple] = []
+    size = offset = 0
+    for batch in batches:
+        for raw in batch.column(0).to_pylist():
+            passage, place, counts, passages = passage_cells(np.frombuffer(raw, "<i4").astype(np.int64))
+            held.append((passage + offset, place, counts))
+            size, offset = size + len(place), offset + passages
+            if size >= FIT_CELLS:
+                yield numbered_rows(held)
+                held, size = [], 0
+    if size:
+        yield numbered_rows(held)
+
+
+def numbered_rows(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    passage, place, counts = map(np.concatenate, zip(*held))
+    return np.cumsum(np.concatenate([[False], np.diff(passage) != 0])), place, counts
+
+
+def add_product(total: np.ndarray, row: np.ndarray, place: np.ndarray, values: np.ndarray, basis: np.ndarray,
+                scale: float = 1.0) -> None:
+    """Adds ``A' A B`` for the cells of A in order of ``row`` (from 0), its rows scaled to unit length times ``scale``."""
+    norm = np.sqrt(np.bincount(row, values ** 2))
+    values = scale * values / np.maximum(norm, 1e-12)[row]
+    cuts = np.searchsorted(row, np.arange(0, row[-1] + 1 + FIT_PASSAGES, FIT_PASSAGES))
+    for start, stop in zip(cuts, cuts[1:]):
+        words, column = np.unique(place[start:stop], return_inverse=True)
+        block = np.zeros((row[stop - 1] - row[start] + 1, len(words)), basis.dtype)
+        block[row[start:stop] - row[start], column] = values[start:stop]
+        total[words] += block.T @ (block @ basis[words])
 
 
 def latent_space(table: DataFrame, items: Items) -> tuple[np.ndarray, np.ndarray]:
     """Inverse document frequencies and the leading right singular vectors (words by ``RANK`` at most).
 
-    Randomised: a random basis is multiplied by A'A, made orthonormal, multiplied again, and the small projected
-    problem is solved here. What comes to the driver is words of the benchmark by columns of the basis.
+    Randomised, by Nyström's formula: one product of A'A with a random orthonormal basis tells its leading eigenvectors.
+    What comes to the driver is words of the benchmark by columns of the basis.
     """
     size = len(items.vocabulary)
     frequency, passages = document_frequency(table, size)
     idf = np.log((2.0 + passages + len(items.words)) / (1.0 + frequency))
-    sample = saved(sampled(table, passages), "sample")
     own = [np.unique(w, return_counts=True) for w in items.words]
-    places, values = [p for p, _ in own], weights(np.concatenate([p for p, _ in own]), np.concatenate([c for _, c in own]), idf)
-    times = lambda basis: gram_product(sample, idf, basis) + product(places, values, basis, ITEM_WEIGHT)
+    row, places = np.repeat(np.arange(len(own)), [len(p) for p, _ in own]), np.concatenate([p for p, _ in own])
     width = min(RANK + OVERSAMPLE, size)
-    basis = np.linalg.qr(times(np.random.default_rng(SEED).standard_normal((size, width))))[0]
-    image = times(basis)
+    basis = np.linalg.qr(np.random.default_rng(SEED).standard_normal((size, width)))[0]
+    image = gram_product(table, idf, basis)
+    add_product(image, row, places, weights(places, np.concatenate([c for _, c in own]), idf), basis, ITEM_WEIGHT)
     small = basis.T @ image
     strength, turn = np.linalg.eigh((small + small.T) / 2)
-    return idf, basis @ turn[:, np.argsort(-strength)[:RANK]]
+    root = image @ (turn / np.sqrt(np.maximum(strength, 1e-6 * strength[-1])))
+    return idf, np.linalg.svd(root, full_matrices=False)[0][:, :RANK]
 
 
 def in_order(pattern: np.ndarray, window: np.ndarray) -> int:

@@ -64,6 +64,26 @@ def test_cosines_of_some_passages():
         assert got[i] == pytest.approx(float(vector @ targets[i % 12]) / max(float(np.linalg.norm(vector)), 1e-9), abs=1e-4)
 
 
+def test_products_take_in_every_passage(spark, monkeypatch):
+    """A' A B of the tasks against plain matrices, with passages cut into many groups."""
+    monkeypatch.setattr(semantic, "FIT_CELLS", 50)
+    monkeypatch.setattr(semantic, "FIT_PASSAGES", 3)
+    items, rows = invented(5)
+    rng = np.random.default_rng(5)
+    idf, basis = rng.random(60) + 0.5, rng.standard_normal((60, 7))
+    table = spark.createDataFrame([(r.astype("<i4").tobytes(),) for r in rows], "words binary").repartition(3)
+    want = np.zeros((60, 7))
+    for row in rows:
+        for p in range(max(1, -(-len(row) // 24) - 1)):
+            inside = row[p * 24:(p + 2) * 24]
+            vector = np.zeros(60)
+            place, counts = np.unique(inside[inside >= 0], return_counts=True)
+            vector[place] = (1 + np.log(counts)) * idf[place]
+            vector /= max(np.linalg.norm(vector), 1e-12)
+            want += np.outer(vector, vector @ basis)
+    assert np.allclose(semantic.gram_product(table, idf, basis), want, atol=1e-3)
+
+
 def test_benchmark_in_parts(spark):
     """Several passes over parts of the benchmark find what one pass finds, whole items in any case."""
     docs, bench = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "benchmark"))
