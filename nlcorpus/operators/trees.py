@@ -29,7 +29,8 @@ PARSED = {
     "max_depth": ("int", pa.int32()),
     "roundtrip_ok": ("boolean", pa.bool_()),
 }
-MEMO_TEXTS = 4096  # parsed texts remembered per worker
+MEMO_TEXTS = 16_384  # parsed texts a task remembers, as Arrow columns, before it starts anew
+MEMO_BYTES = 32_000_000  # and bytes of these columns, about
 TOKEN_KINDS = ("node", "special", "literal", "strliteral")
 
 # Elements without content, from the HTML standard.
@@ -64,8 +65,8 @@ def parse_corpus(df: DataFrame, want: Sequence[str] = tuple(PARSED)[1:], snippet
     """Add ``parse_ok`` and the wanted columns of ``PARSED`` to every row, in one parse per text.
 
     Tokens, kinds, paths and fields cover the whole sentence with its start and end marker; rows that do not
-    parse keep nulls. Other columns pass through as Arrow data; copies of a text inside a batch are parsed
-    and converted once, and workers remember recent texts. With a subword vocabulary, string literals are
+    parse keep nulls. Other columns pass through as Arrow data; copies of a text are parsed and converted
+    once, as tasks remember recent texts. With a subword vocabulary, string literals are
     cut into its pieces, by the unit options it was made with.
     """
     want = list(want)
@@ -74,14 +75,23 @@ def parse_corpus(df: DataFrame, want: Sequence[str] = tuple(PARSED)[1:], snippet
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walk = syntax.Walk(Segmenter(piece_ids, **(units or {})) if piece_ids else None)
-        profile = lru_cache(maxsize=MEMO_TEXTS)(lambda text: _profile(text, walk, want))
+        names = ("parse_ok", *want)
+        places: dict[str | None, int] = {}
+        held = [pa.array([], PARSED[name][1]) for name in names]
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(snippet)).dictionary_encode()
-            parsed = [profile(t) for t in texts.dictionary.to_pylist()] + [profile(None)]
-            rows = texts.indices.fill_null(len(parsed) - 1)
-            columns = [pa.array(values, PARSED[name][1]).take(rows)
-                       for name, values in zip(("parse_ok", *want), zip(*parsed))]
-            yield pa.RecordBatch.from_arrays(batch.columns + columns, batch.schema.names + ["parse_ok", *want])
+            distinct = [*texts.dictionary.to_pylist(), None]
+            if len(places) > MEMO_TEXTS or sum(column.nbytes for column in held) > MEMO_BYTES:
+                places.clear()
+                held = [column[:0] for column in held]
+            new = [t for t in distinct if t not in places]
+            if new:
+                parsed = zip(*[_profile(t, walk, want) for t in new])
+                held = [pa.concat_arrays([old, pa.array(values, old.type)]) for old, values in zip(held, parsed)]
+                places.update(zip(new, range(len(places), len(places) + len(new))))
+            rows = pa.array([places[t] for t in distinct]).take(texts.indices.fill_null(len(distinct) - 1))
+            columns = [column.take(rows) for column in held]
+            yield pa.RecordBatch.from_arrays(batch.columns + columns, batch.schema.names + list(names))
 
     return df.mapInArrow(run, schema)
 
@@ -106,6 +116,7 @@ def string_values(quoted: pd.Series) -> pd.Series:
     """Values of quoted literals; byte strings as Latin-1 text. Only literals are read, nothing is run."""
     import ast
 
+    @lru_cache(maxsize=MEMO_TEXTS)
     def value(text: str) -> str:
         v = ast.literal_eval(text)
         return v.decode("latin-1") if isinstance(v, bytes) else v

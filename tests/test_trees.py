@@ -136,3 +136,23 @@ def test_deep_code_is_a_failure_not_an_error(spark):
     rows = trees.parse_corpus(frame(spark, [deep, chain, "ok"]), ("tokens",)).collect()
     assert [r.parse_ok for r in sorted(rows, key=lambda r: r.id)][2]
     assert syntax.parse("x = = 1") is None
+
+
+def test_copies_are_parsed_once_a_task(spark, monkeypatch):
+    """Texts that come again in later batches are neither parsed nor converted again; forgetting changes no row."""
+    seen = spark.sparkContext.accumulator(0)
+    once = trees._profile
+
+    def counted(text, walk, want):
+        seen.add(1)
+        return once(text, walk, want)
+
+    monkeypatch.setattr(trees, "_profile", counted)
+    texts = [*SNIPPETS, *BROKEN, *[f"q{i} = {i}" for i in range(6_000)]]
+    rows = spark.createDataFrame(list(enumerate(texts * 3)), "id int, snippet string").coalesce(1)
+    parsed = trees.parse_corpus(rows, ("tokens", "paths"))
+    got = {r.id: (r.parse_ok, r.tokens, r.paths) for r in parsed.collect()}
+    assert len(texts) <= seen.value <= len(texts) + 1
+    assert all(got[i] == got[i + len(texts)] == got[i + 2 * len(texts)] for i in range(len(texts)))
+    monkeypatch.setattr(trees, "MEMO_TEXTS", 5)
+    assert got == {r.id: (r.parse_ok, r.tokens, r.paths) for r in trees.parse_corpus(rows, ("tokens", "paths")).collect()}
