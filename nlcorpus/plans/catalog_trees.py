@@ -77,10 +77,13 @@ PATHS = """1|1,1,1|A|1,1,A|1,1,1,1,A|2,1,1,1,A|2,1,A|1,2,A|1,1,1,2,A|1,1,1,1,1,2
  SELECT unnest(range(len(ps))) AS pos, unnest(ps) AS path FROM (SELECT string_split(replace('{PATHS}', chr(10), ''), '|')
  AS ps)), (SELECT l_linenumber, count(*) AS n FROM snip WHERE closed GROUP BY ALL)""", "snip")
 def tree_positions(t: Tables):
-    tokens = trees.token_table(parsed(t, "paths"), "l_linenumber")
-    return tokens.groupBy(F.col("id").alias("l_linenumber"), F.col("pos").cast("long").alias("pos"),
+    """Copies of a text within a line number are counted before it is parsed."""
+    texts = views.snippets(t).groupBy("l_linenumber", "snippet").agg(F.count("*").alias("times"))
+    copies = texts.select(F.struct("l_linenumber", "times").alias("copies"), "snippet")
+    tokens = trees.token_table(trees.parse_corpus(copies, ("paths",)), "copies")
+    return tokens.groupBy(F.col("id.l_linenumber").alias("l_linenumber"), F.col("pos").cast("long").alias("pos"),
                           F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path")).agg(
-        F.count("*").alias("n"))
+        F.sum("id.times").alias("n"))
 
 
 COUNTS_SQL = """SELECT label, type, cnt, CAST(times * n AS BIGINT) AS n FROM (VALUES ('<s>', 'special', 2, 1),
@@ -100,7 +103,10 @@ COUNTS_SQL = """SELECT label, type, cnt, CAST(times * n AS BIGINT) AS n FROM (VA
 
 @query("E7_edge_counts", COUNTS_SQL, "snip")
 def edge_counts(t: Tables):
-    return trees.edge_table(parsed(t, "edge_counts"), "l_orderkey").groupBy("label", "type", "cnt").agg(F.count("*").alias("n"))
+    """Copies of a text are counted before it is parsed."""
+    texts = views.snippets(t).groupBy("snippet").agg(F.count("*").alias("times"))
+    edges = trees.edge_table(trees.parse_corpus(texts, ("edge_counts",)), "times")
+    return edges.groupBy("label", "type", "cnt").agg(F.sum("id").alias("n"))
 
 
 @query("E8_max_depth", "SELECT id AS page_id, max_depth FROM depths", "depths")
