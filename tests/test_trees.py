@@ -156,3 +156,20 @@ def test_copies_are_parsed_once_a_task(spark, monkeypatch):
     assert all(got[i] == got[i + len(texts)] == got[i + 2 * len(texts)] for i in range(len(texts)))
     monkeypatch.setattr(trees, "MEMO_TEXTS", 5)
     assert got == {r.id: (r.parse_ok, r.tokens, r.paths) for r in trees.parse_corpus(rows, ("tokens", "paths")).collect()}
+
+
+def test_copies_are_counted_before_parsing(spark, monkeypatch):
+    """E6 and E7 hand every distinct text on once, with how often it is there."""
+    from types import SimpleNamespace
+
+    from nlcorpus.plans import catalog_trees
+
+    items = [(o, n, 1.5, 0.25) for o in range(1, 41) for n in (1, 2)] + [(50, 1, 1.5, 0.25)]
+    t = SimpleNamespace(lineitem=spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_quantity double, l_tax double"))
+    given, once = [], trees.parse_corpus
+    monkeypatch.setattr(trees, "parse_corpus", lambda df, *a: given.append(df.count()) or once(df, *a))
+    edges = {(r.label, r.cnt): r.n for r in catalog_trees.edge_counts(t).collect()}
+    assert edges["Name", 1] == 160 and edges["'q2'#strliteral", 0] == 40 and edges["1.5#literal", 0] == 80
+    places = catalog_trees.tree_positions(t).collect()
+    assert {r.l_linenumber for r in places} == {1, 2} and {r.n for r in places} == {40}
+    assert given == [3, 3]
