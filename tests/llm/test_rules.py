@@ -283,6 +283,19 @@ def test_suffix_tree(spark, documents, texts):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_texts_are_split_once_for_symbols_and_rare_words(spark):
+    docs = spark.createDataFrame([(1, "a b B zz zz q", False), (1, "zz", False), (None, None, True)], "k long, t string, held boolean")
+    codes = suffixes.WordCodes()([b"a", b"b"])
+    order = np.argsort(codes)
+    words = suffixes.Words(codes[order], np.array([5, 9])[order], np.array([2, 3])[order], 3, 20, 4)
+    table = suffixes.coded(docs, words)
+    rare = [[tuple(x) for x in r.rare] for r in table.collect()]
+    assert rare == [[("zz", 2), ("q", 1)], [("zz", 1)], []]
+    rows = suffixes.rare_words(table).collect()
+    assert sorted((r.word, r.tf) for r in rows if r.word[0] != "\n") == [("q", 1), ("zz", 1), ("zz", 2)]
+    assert len({r.word for r in rows if r.word[0] == "\n"}) == 2
+
+
 def test_suffix_tree_sums_to_one():
     words = suffixes.Words(np.arange(3, dtype=np.uint64), np.array([50, 30, 20]), np.array([2, 3, 4]), 10, 150, 9)
     root = words.roots()
