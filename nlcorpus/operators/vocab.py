@@ -161,31 +161,37 @@ def tree_labels(target_vocab: DataFrame, source_vocab: DataFrame, target_size: i
 
 
 def encode_tree(records: DataFrame, tokens: str, is_string: str, target_vocab: DataFrame, source_vocab: DataFrame,
-                target_size: int, out: str = "ast_seq_enc", frequent: int = FREQUENT) -> DataFrame:
+                target_size: int, out: str = "ast_seq_enc", frequent: int = FREQUENT, keep: bool = True) -> DataFrame:
     """``records`` with the ids of ``tokens`` between start and end id; ``is_string`` tells the string pieces among them.
 
     A record with any unknown token is dropped. Both vocabularies may be of any size: frequent tokens are coded in the
-    record, only the others are looked up by a join (see :func:`nlcorpus.functions.tiered.code_arrays`).
+    record, only the others are looked up by a join (see :func:`nlcorpus.functions.tiered.code_arrays`). Without ``keep``
+    the columns ``tokens`` and ``is_string`` are left out, and are not written on the way.
     """
     labels = F.transform(F.arrays_zip(F.col(tokens).alias("t"), F.col(is_string).alias("s")),
                          lambda x: F.concat(F.when(x["s"], "s").otherwise("n"), x["t"]))
-    coded = code_arrays(records.withColumn("__labels", labels), "__labels", tree_labels(target_vocab, source_vocab, target_size),
-                        "label", "id", "cnt", "__ids", frequent)
+    labelled = records.withColumn("__labels", labels)
+    labelled = labelled if keep else labelled.drop(tokens, is_string)
+    coded = code_arrays(labelled, "__labels", tree_labels(target_vocab, source_vocab, target_size),
+                        "label", "id", "cnt", "__ids", frequent, keep=False)
     known = coded.where(~F.exists("__ids", lambda i: i.isNull()))
     ids = F.transform("__ids", lambda i: i.cast("int"))
-    return known.withColumn(out, F.concat(F.array(F.lit(BOS)), ids, F.array(F.lit(EOS)))).drop("__labels", "__ids")
+    return known.withColumn(out, F.concat(F.array(F.lit(BOS)), ids, F.array(F.lit(EOS)))).drop("__ids")
 
 
-def decode(records: DataFrame, ids: str, vocab: DataFrame, out: str = "text", frequent: int = FREQUENT) -> DataFrame:
+def decode(records: DataFrame, ids: str, vocab: DataFrame, out: str = "text", frequent: int = FREQUENT,
+           keep: bool = True) -> DataFrame:
     """``records`` with the text of ``ids``: start and end dropped, pieces joined, marker to space.
 
     A record of start and end alone has an empty text; an id outside the vocabulary reads as the unknown piece.
+    Without ``keep`` the column ``ids`` is left out, and is not written on the way.
     """
     inner = F.filter(F.col(ids), lambda i: ~i.isin(BOS, EOS)).cast("array<bigint>")
     table = vocab.select(F.col("id").cast("long").alias("id"), "piece", "cnt")
-    coded = code_arrays(records.withColumn("__inner", inner), "__inner", table, "id", "piece", "cnt", "__pieces", frequent)
+    inside = records.withColumn("__inner", inner)
+    coded = code_arrays(inside if keep else inside.drop(ids), "__inner", table, "id", "piece", "cnt", "__pieces", frequent, keep=False)
     named = F.transform("__pieces", lambda p: F.coalesce(p, F.lit(SPECIALS[UNK][0])))
-    return coded.withColumn(out, F.replace(F.array_join(named, ""), F.lit(SPACE), F.lit(" "))).drop("__inner", "__pieces")
+    return coded.withColumn(out, F.replace(F.array_join(named, ""), F.lit(SPACE), F.lit(" "))).drop("__pieces")
 
 
 def oov_report(tokens: DataFrame, vocab: DataFrame) -> DataFrame:

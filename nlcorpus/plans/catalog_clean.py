@@ -181,10 +181,11 @@ def vocab_lookup(t: Tables):
     """Words to ids and back to words."""
     table = vocab.count_vocab(views.tokens(t), "token")
     records = t.documents.select("doc_id", views.words("text").alias("words"))
-    ids = code_arrays(records, "words", table, "piece", "id", "cnt", "ids").select("doc_id", "ids")
-    back = code_arrays(ids, "ids", table, "id", "piece", "cnt", "back")
+    ids = code_arrays(records, "words", table, "piece", "id", "cnt", "ids", keep=False)
     text = lambda field: F.md5(F.array_join(F.col(field).cast("array<string>"), " "))
-    return back.select("doc_id", text("ids").alias("ids"), text("back").alias("back"))
+    told = ids.select("doc_id", text("ids").alias("digest"), "ids")
+    back = code_arrays(told, "ids", table, "id", "piece", "cnt", "back", keep=False)
+    return back.select("doc_id", F.col("digest").alias("ids"), text("back").alias("back"))
 
 
 @query("C5_vocab_lookup_rows", f"""SELECT conv_id, turn, pos, token, coalesce(id, -1) AS id FROM (SELECT conv_id, turn,

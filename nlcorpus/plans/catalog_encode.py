@@ -101,7 +101,7 @@ def encode_tree(t: Tables):
     source = vocab.count_vocab(train.where(string(F.col("token"))), "token")
     records = t.documents.select(F.col("doc_id").alias("id"), views.words("text").alias("tokens"))
     records = records.withColumn("is_string", F.transform("tokens", string))
-    rows = vocab.encode_tree(records, "tokens", "is_string", target, source, target.count())
+    rows = vocab.encode_tree(records, "tokens", "is_string", target, source, target.count(), keep=False)
     text = F.array_join(F.transform("ast_seq_enc", lambda x: x.cast("string")), ",")
     return rows.select("id", F.size("ast_seq_enc").cast("long").alias("n"), F.md5(text).alias("digest"))
 
@@ -114,9 +114,9 @@ def decode(t: Tables):
     marked = F.transform(views.words("text"), lambda w: F.concat(F.lit(vocab.SPACE), w))
     records = t.documents.select("doc_id", marked.alias("words"))
     table = vocab.count_vocab(records.select(F.explode("words").alias("token")), "token")
-    ids = code_arrays(records, "words", table, "piece", "id", "cnt", "inner")
+    ids = code_arrays(records, "words", table, "piece", "id", "cnt", "inner", keep=False)
     ends = [F.array(F.lit(e).cast("long")) for e in (vocab.BOS, vocab.EOS)]
-    text = vocab.decode(ids.select("doc_id", F.concat(ends[0], "inner", ends[1]).alias("ids")), "ids", table)
+    text = vocab.decode(ids.select("doc_id", F.concat(ends[0], "inner", ends[1]).alias("ids")), "ids", table, keep=False)
     return text.select("doc_id", F.md5(F.regexp_replace("text", "^ ", "")).alias("digest"))
 
 

@@ -9,6 +9,7 @@ from nlcorpus.operators import decode, errors, evaluate, grammar
 from nlcorpus.plans import views
 from nlcorpus.plans.registry import Tables, query
 from nlcorpus.plans.views import bleu_sql, code_tokens_sql
+from nlcorpus.session import materialize
 
 BEST = """(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(bleu, 12) DESC, rank) AS rn
  FROM bleu_stats WHERE rank < {0}) WHERE rn = 1)"""
@@ -116,9 +117,17 @@ def collapse_literals(t: Tables):
  ORDER BY pos) AS before FROM (SELECT *, CASE WHEN length(token) >= 6 THEN 'strliteral' ELSE 'node' END AS kind
  FROM tok))) GROUP BY doc_id, run""", "tok")
 def merge_literal_runs(t: Tables):
-    kind = F.when(F.length("token") >= 6, "strliteral").otherwise("node")
-    rows = views.tokens(t).withColumnRenamed("doc_id", "id").withColumn("kind", kind)
-    return errors.merge_literal_runs(rows).select("id", "run", F.md5("token").alias("digest"), "kind")
+    """Runs are told inside the row; rows that share an id are one record, and only those meet."""
+    kind = lambda w: F.when(F.length(w) >= 6, "strliteral").otherwise("node")
+    shared = materialize(t.documents.groupBy(F.struct("doc_id").alias("key")).agg(F.count("*").alias("n"))
+                         .where("n > 1").select("key"), "shared-ids")
+    docs = t.documents.select(F.struct("doc_id").alias("key"), F.col("doc_id").alias("id"), "text")
+    single = docs.join(shared, "key", "left_anti").where("text is not null")
+    runs = errors.merged_runs(views.words("text"), F.transform(views.words("text"), kind))
+    rows = single.select("id", F.inline(runs)).select("id", "run", "token", "kind")
+    tokens = docs.join(shared, "key", "left_semi").select("id", F.posexplode(views.words("text")).alias("pos", "token"))
+    met = errors.merge_literal_runs(tokens.withColumn("kind", kind(F.col("token"))))
+    return rows.unionByName(met).select("id", "run", F.md5("token").alias("digest"), "kind")
 
 
 @query("I10_strip_type_suffix", """SELECT regexp_replace(label, '#strliteral|#literal', '', 'g') AS token,
