@@ -5,15 +5,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nlcorpus.functions import arrays
 from nlcorpus.functions.ordered import add_ordinal, islands
+from nlcorpus.functions.tiered import sliced, stretches
 
 OPCODES = """tag string, pos_exp_i1 int, pos_exp_i2 int, pos_pred_j1 int, pos_pred_j2 int,
  val_exp array<string>, val_pred array<string>, type_exp array<string>, type_pred array<string>"""
+DIFF_VALUES = 200_000  # tokens of a slice that a task compares at once
 
 
 def prefix_scores(df: DataFrame, expected: str, predicted: str, literal_limit: int) -> DataFrame:
@@ -83,6 +87,24 @@ def merge_literal_runs(tokens: DataFrame) -> DataFrame:
                                          F.min("kind").alias("kind"))
 
 
+def merged_runs(tokens: Column, kinds: Column) -> Column:
+    """As :func:`merge_literal_runs` for the arrays of one record: an array of ``struct(run, token, kind)``."""
+    def runs(parts: Column) -> Column:
+        words, own = parts["t"], parts["k"]
+        inner = lambda i: (F.get(own, i) == "strliteral") & (F.get(own, i - 1) == "strliteral")
+        places = F.transform(words, lambda _, i: i)
+        starts = F.filter(places, lambda i: (i == 0) | ~F.coalesce(inner(i), F.lit(False)))
+        end = lambda at, n: F.coalesce(F.get(at, n + 1), F.size(words))
+        listed = lambda at: F.transform(at, lambda s, n: F.struct(
+            (n + 1).cast("long").alias("run"),
+            F.array_join(F.transform(F.sequence(s, end(at, n) - 1), lambda i: F.get(words, i)), "").alias("token"),
+            F.get(own, s).alias("kind")))
+        return F.get(F.transform(F.array(starts), listed), F.lit(0))
+
+    # Bound to a lambda's argument, the arrays are made once, not once per element; a slice would copy all of them.
+    return F.get(F.transform(F.array(F.struct(tokens.alias("t"), kinds.alias("k"))), runs), F.lit(0))
+
+
 def strip_suffix(token: Column) -> Column:
     return F.regexp_replace(token, "#strliteral|#literal", "")
 
@@ -95,20 +117,38 @@ def kind_of(token: Column) -> Column:
 
 def sequence_diff(df: DataFrame, expected: str = "expected", predicted: str = "predicted",
                   expected_kinds: str = "expected_kinds", predicted_kinds: str = "predicted_kinds") -> DataFrame:
-    """One row per edit opcode (equal, insert, delete, replace) with positions, values and kinds."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for key, exp, pred, exp_kinds, pred_kinds in frame.itertuples(index=False, name=None):
-                codes = SequenceMatcher(None, list(exp), list(pred)).get_opcodes()
-                rows += [(key, tag, i1, i2, j1, j2, exp[i1:i2], pred[j1:j2], exp_kinds[i1:i2], pred_kinds[j1:j2])
-                         for tag, i1, i2, j1, j2 in codes]
-            yield pd.DataFrame(rows, columns=["id", "tag", "pos_exp_i1", "pos_exp_i2", "pos_pred_j1", "pos_pred_j2",
-                                              "val_exp", "val_pred", "type_exp", "type_pred"])
+    """One row per edit opcode (equal, insert, delete, replace) with positions, values and kinds.
+
+    Texts stay Arrow columns: tokens are compared by their number within a slice of a batch, and values are taken by place.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in sliced(whole, (1, 2), DIFF_VALUES):
+                flat = [column.flatten() for column in batch.columns[1:]]
+                bounds = [np.concatenate([[0], np.cumsum(pc.list_value_length(c).fill_null(0).to_numpy(zero_copy_only=False))])
+                          for c in batch.columns[1:]]
+                numbers = pa.concat_arrays(flat[:2]).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                numbers = numbers[:len(flat[0])], numbers[len(flat[0]):]
+                rows, tags, spans = [], [], []
+                for row in range(batch.num_rows):
+                    exp, pred = (numbers[k][bounds[k][row]:bounds[k][row + 1]].tolist() for k in (0, 1))
+                    for tag, *span in SequenceMatcher(None, exp, pred).get_opcodes():
+                        rows.append(row)
+                        tags.append(tag)
+                        spans.append(span)
+                ends = np.array(spans, np.int64).reshape(-1, 4)
+                at = np.array(rows, np.int64)
+                lists = [stretches(flat[k], bounds[k][at] + ends[:, 2 * side], bounds[k][at] + ends[:, 2 * side + 1])
+                         for k, side in ((0, 0), (1, 1), (2, 0), (3, 1))]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(at)), pa.array(tags, pa.string()),
+                     *(pa.array(ends[:, k].astype(np.int32)) for k in range(4)), *lists],
+                    ["id", "tag", "pos_exp_i1", "pos_exp_i2", "pos_pred_j1", "pos_pred_j2", "val_exp", "val_pred",
+                     "type_exp", "type_pred"])
 
     kind = df.schema["id"].dataType.simpleString()
     return (df.select("id", expected, predicted, expected_kinds, predicted_kinds)
-            .mapInPandas(run, f"id {kind}, {OPCODES}"))
+            .mapInArrow(run, f"id {kind}, {OPCODES}"))
 
 
 def diff_type_counts(df: DataFrame, opcodes: DataFrame) -> DataFrame:

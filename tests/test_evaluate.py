@@ -7,11 +7,13 @@ from collections import Counter
 from difflib import SequenceMatcher
 from os.path import commonprefix
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from nlcorpus.functions import arrays
+from nlcorpus.functions.tiered import sliced, stretches
 from nlcorpus.operators import decode, errors, evaluate
 
 
@@ -217,3 +219,25 @@ def test_rank_candidates_validity(spark):
     assert ids(decode.rank_candidates(df, ["i"], "s", "t", 2, F.col("code").isNotNull())) == [
         (1, 1, 1), (1, 2, 2), (2, 1, 5)]
     assert ids(decode.rank_candidates(df, ["i"], "s", "t", 1, text="code", keep_invalid=True)) == [(1, 1, 3), (2, 1, 5)]
+
+
+def test_runs_inside_a_row_equal_runs_of_rows(spark):
+    words = ["a", "longer", "literal", "b", "", "letters", "xxxxxx", "letters", "c"]
+    records = [(1, words), (2, words[1:3]), (3, [""]), (4, [])]
+    df = spark.createDataFrame([(i, w, [kind(x) for x in w]) for i, w in records], "id int, w array<string>, k array<string>")
+    inside = df.select("id", F.inline(errors.merged_runs(F.col("w"), F.col("k"))))
+    tokens = df.select("id", F.posexplode(F.arrays_zip("w", "k")).alias("pos", "x")).select(
+        "id", "pos", F.col("x.w").alias("token"), F.col("x.k").alias("kind"))
+    rows = errors.merge_literal_runs(tokens).select("id", "run", "token", "kind")
+    assert sorted(map(tuple, inside.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_diff_takes_bounded_slices():
+    import pyarrow as pa
+
+    lists = pa.array([["a"] * n for n in (3, 0, 5, 1, 1)] + [None])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), lists, lists], ["id", "e", "p"])
+    pieces = [p.column(0).to_pylist() for p in sliced(batch, (1, 2), 6)]
+    assert pieces == [[0, 1], [2], [3, 4, 5]]
+    flat = pa.array(list("abcdef"))
+    assert stretches(flat, np.array([0, 2, 6]), np.array([2, 2, 6])).to_pylist() == [["a", "b"], [], []]
