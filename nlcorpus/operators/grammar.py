@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from nlcorpus.functions.keyed import lookup_join
 from nlcorpus.session import materialize
 
 NONE = "None" + syntax.LITERAL
+SIEVE_BITS = 29  # a sieve has at most 2 to that power of bits, 64 MB, however large the grammar
 
 
 def extract_edges(links: DataFrame, order: list[str]) -> DataFrame:
@@ -62,12 +65,13 @@ class ChildSets:
     ``parents (parent, set_id, n_children, any_text)`` names the set of each parent; a set is named by its least parent.
     ``members (set_id, child)`` is the dictionary. Where ``any_text`` is set, the parent also allows every row of
     ``literals (child)``, and its own set holds none of them, so that text fields that differ only in their texts share
-    a set.
+    a set. ``pairs (parent, child)``, where given, are all pairs that the sets were made of.
     """
 
     parents: DataFrame
     members: DataFrame
     literals: DataFrame
+    pairs: DataFrame | None = None
 
 
 def intern_sets(edges: DataFrame, list_end: bool = False, text_fields: DataFrame | None = None,
@@ -103,7 +107,7 @@ def intern_sets(edges: DataFrame, list_end: bool = False, text_fields: DataFrame
     # A set's name is one of its parents; should that parent allow all text, its own set is without it, as the set is.
     owned = lookup_join(pairs, parents.where("parent = set_id"), "parent", "n_children", ["child"], "inner")
     members = owned.where(~(F.col("any_text") & F.col("__text"))).select("set_id", "child")
-    return ChildSets(parents, materialize(members, "set-members"), literals)
+    return ChildSets(parents, materialize(members, "set-members"), literals, pairs.select("parent", "child"))
 
 
 def allowed_children(steps: DataFrame, sets: ChildSets, spread: list[str], field: str = "open_parent",
@@ -133,7 +137,7 @@ def allowed(rows: DataFrame, sets: ChildSets, field: str, child: str, spread: li
     are not allowed.
     """
     key = F.struct(F.col(field).alias("parent"), F.col(child).alias("child"))
-    keyed = rows.withColumn("__key", key)
+    keyed = rows.withColumn("__key", key).drop(field, child)  # the key brings them back
     pairs = keyed.groupBy("__key").agg(F.count("*").alias("__cnt")).select("__key", "__cnt", "__key.parent", "__key.child")
     named = lookup_join(pairs, sets.parents, "parent", "n_children", ["child"])
     listed = sets.members.withColumn("__member", F.lit(True))
@@ -141,14 +145,59 @@ def allowed(rows: DataFrame, sets: ChildSets, field: str, child: str, spread: li
     verdict = F.coalesce("__member", F.lit(False)) | F.coalesce(F.col("__literal") & F.col("any_text"), F.lit(False))
     table = (named.join(listed, ["set_id", "child"], "left").join(texts, "child", "left")
              .select("__key", "__cnt", verdict.alias(out)))
-    marked = lookup_join(keyed, table, "__key", "__cnt", spread).drop("__key", "__cnt")
+    marked = lookup_join(keyed, table, "__key", "__cnt", spread).withColumns(
+        {field: F.col("__key.parent"), child: F.col("__key.child")}).select(*rows.columns, out)
     ok = F.coalesce(F.col(out), F.lit(False))
     return marked.withColumn(out, ok if in_text is None else ok & ~(F.col(in_text) & (F.col(child) == NONE)))
 
 
 def nonconforming(links: DataFrame, sets: ChildSets, id_column: str) -> DataFrame:
-    """Observed links ``(parent, child, pos, …)`` that the grammar does not allow, with their record ids."""
-    return allowed(links, sets, "parent", "child", [id_column, "pos"], "__allowed").where("not __allowed").drop("__allowed")
+    """Observed links ``(parent, child, pos, …)`` that the grammar does not allow, with their record ids.
+
+    A sieve of the grammar, which passes all that is allowed, tells most other links where they are; only links that pass
+    are shuffled, and looked up exactly.
+    """
+    verdicts = lambda rows: allowed(rows, sets, "parent", "child", [id_column, "pos"], "__allowed").where("not __allowed")
+    if sets.pairs is None:
+        return verdicts(links).drop("__allowed")
+    passes = F.coalesce(_sieve(sets)(F.col("parent"), F.col("child")), F.lit(False))
+    sifted = links.withColumn("__passes", passes)
+    rest = verdicts(sifted.where("__passes").drop("__passes")).drop("__allowed")
+    return sifted.where("not __passes").drop("__passes").unionByName(rest)
+
+
+def _sieve(sets: ChildSets):
+    """A function of parent and child that is true for all pairs that may be allowed, and for few others.
+
+    A Bloom filter of two bits for each pair, each text literal and each field that allows all of these, sized by their
+    number. Its words are formed by a grouping; null ends never pass.
+    """
+    code = lambda kind, *columns: F.xxhash64(F.lit(kind), *columns)
+    kinds = [sets.pairs.select(code(0, "parent", "child").alias("h")), sets.literals.select(code(1, "child").alias("h")),
+             sets.parents.where("any_text").select(code(2, "parent").alias("h"))]
+    codes = kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
+    size = min(max(codes.count() * 8, 64).bit_length(), SIEVE_BITS)
+    places = F.array(*[F.shiftrightunsigned("h", 64 - size) if n == 0 else F.col("h").bitwiseAND((1 << size) - 1) for n in (0, 1)])
+    bit = F.shiftright(F.lit(0).cast("long") + F.col("at"), 6)
+    words = (codes.select(F.explode(places).alias("at"))
+             .groupBy(bit.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))).toArrow()
+    table = np.zeros(1 << (size - 6), np.uint64)
+    table[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
+    shared = sets.pairs.sparkSession.sparkContext.broadcast(table)
+
+    def held(codes: pd.Series) -> np.ndarray:
+        code, bits = codes.to_numpy(np.int64).view(np.uint64), shared.value
+        found = np.ones(len(code), bool)
+        for at in (code >> np.uint64(64 - size), code & np.uint64((1 << size) - 1)):
+            found &= (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        return found
+
+    @F.pandas_udf("boolean")
+    def passes(pair: pd.Series, text: pd.Series, field: pd.Series) -> pd.Series:
+        return pd.Series(held(pair) | (held(text) & held(field)))
+
+    return lambda parent, child: F.when(parent.isNotNull() & child.isNotNull(),
+                                        passes(code(0, parent, child), code(1, child), code(2, parent)))
 
 
 def edge_stats(train: DataFrame, test: DataFrame) -> DataFrame:
