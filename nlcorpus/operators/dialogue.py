@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from nlcorpus.functions.keyed import lookup_join
 from nlcorpus.functions.ordered import bounded_chunks, chunk_of, fill_forward, islands, number_rows
+from nlcorpus.session import materialize
 
 # Thresholds, session length and texts of the assistant's configuration.
 CONFIDENCE_THRESHOLD = 0.25
 AMBIGUITY_THRESHOLD = 0.05
 SESSION_MINUTES = 60
 MAX_CHAR_NGRAM = 4
+GRAMS_A_TASK = 500_000  # character n-grams that a task counts, on average
 NO_TRANSLATION = "Could not translate to code. Please try reformulating your question."
 
 
@@ -101,15 +103,22 @@ def word_counts(df: DataFrame, key: str, text: str) -> DataFrame:
 def char_ngrams(words: DataFrame, key: str, longest: int = MAX_CHAR_NGRAM) -> DataFrame:
     """``(key, gram, n)``: character 1..n-grams inside each space-padded lower-case word.
 
-    ``words`` are counted words, so a repeated word is cut only once.
+    ``words`` are counted words, so a repeated word is cut only once. They are written and their grams counted first: grams
+    are dealt out by key and gram, ``GRAMS_A_TASK`` to a task on average, and combined only there, so that no task holds
+    more than that in its table, however large the input or its parts.
     """
+    words = materialize(words, "words")
     padded = F.concat(F.lit(" "), F.lower("word"), F.lit(" "))
     grams = F.flatten(F.transform(
         F.sequence(F.lit(1), F.least(F.lit(longest), F.length(padded))),
         lambda n: F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1),
                               lambda i: F.substr(padded, i, n))))
+    long = F.length(padded)
+    total = words.agg(F.sum(F.aggregate(F.sequence(F.lit(1), F.least(F.lit(longest), long)), F.lit(0).cast("long"),
+                                        lambda a, n: a + long - n + 1)).alias("n")).first()["n"] or 0
+    parts = max(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // GRAMS_A_TASK))
     return (words.select(key, F.col("n").alias("c"), F.explode(grams).alias("gram"))
-            .groupBy(key, "gram").agg(F.sum("c").alias("n")))
+            .repartition(parts, key, "gram").groupBy(key, "gram").agg(F.sum("c").alias("n")))
 
 
 def answer_rate(turns: DataFrame, is_code: Column, failed: Column) -> DataFrame:
