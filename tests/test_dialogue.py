@@ -1,6 +1,7 @@
 """Stories as prefix states, against plain comparison of lists."""
 
 import random
+from collections import Counter
 
 from nlcorpus.operators import dialogue
 
@@ -28,3 +29,14 @@ def test_story_prefixes(spark):
     assert full == {(k, s) for k, names in talks.items() for s, steps in stories.items() if steps == names}
     assert dialogue.story_conformance(frame, known.limit(0), "k", "at", "n").count() == 0
     assert dialogue.story_prefixes(frame.limit(0), known, "k", "at", "n").count() == 0
+
+
+def test_grams_are_dealt_out_by_their_number(spark, monkeypatch):
+    words = spark.createDataFrame([(k, w, 2) for k in (1, 2, None) for w in ("Ab", "b", "")], "k int, word string, n long")
+    monkeypatch.setattr(dialogue, "GRAMS_A_TASK", 2)
+    got = dialogue.char_ngrams(words, "k")
+    want = Counter(((k, f" {w} "[i:i + n]), 2) for k in (1, 2, None) for w in ("ab", "b", "")
+                   for n in range(1, min(4, len(w) + 2) + 1) for i in range(len(w) + 3 - n))
+    assert {((r.k, r.gram), r.n) for r in got.collect()} == {(key, 2 * sum(c for (other, _), c in want.items() if other == key))
+                                                            for (key, _), _ in want.items()}
+    assert got.rdd.getNumPartitions() == -(-sum(want.values()) // 2)

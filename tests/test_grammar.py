@@ -92,3 +92,13 @@ def test_masking_with_and_without_the_rule(spark):
     assert picked(rule) == ["None#literal", "a#strliteral"] and picked(rule, in_text="run") == ["a#strliteral", "b#strliteral"]
     none = grammar.intern_sets(edges.limit(0))
     assert none.parents.count() == 0 and picked(none) == []
+
+
+def test_sieve_passes_all_that_is_allowed(spark):
+    edges = spark.createDataFrame([(f"p{i % 40}", f"c{i}") for i in range(400)] + [(None, "c")], "parent string, child string")
+    sets = grammar.intern_sets(edges)
+    links = [("p%d" % (i % 40), "c%d" % i, i) for i in range(4000)] + [(None, "c1", -1), ("p1", None, -2)]
+    df = spark.createDataFrame(links, "parent string, child string, pos int").withColumn("id", F.lit(1))
+    passed = {r.pos for r in df.where(grammar._sieve(sets)(F.col("parent"), F.col("child"))).collect()}
+    assert set(range(400)) <= passed and len(passed) < 1500 and not passed & {-1, -2}
+    assert {r.pos for r in grammar.nonconforming(df, sets, "id").collect()} == set(range(400, 4000)) | {-1, -2}

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nlcorpus.functions import subword
-from nlcorpus.functions.tiered import code_arrays
+from nlcorpus.functions.tiered import _heavy, code_arrays
 from nlcorpus.operators import vocab
 
 
@@ -233,3 +233,12 @@ def test_many_merges_a_pass(spark, monkeypatch):
     assert got() == expected and len(passes) <= 5
     monkeypatch.setattr(subword, "GUIDE_UNITS", 3)
     assert got() == expected
+
+
+def test_values_that_are_not_asked_for_are_not_written(spark):
+    df = spark.createDataFrame([(1, ["a", "b", "c", "d"]), (2, [])], "k int, v array<string>")
+    table = spark.createDataFrame([("a", 1, 9), ("b", 2, 5), ("c", 3, 5)], "n string, c long, w int")
+    for frequent in (0, 2, 3):  # equal weights stay out together where they do not fit
+        got = code_arrays(df, "v", table, "n", "c", "w", "ids", frequent, keep=False)
+        assert got.columns == ["k", "ids"] and {r.k: r.ids for r in got.collect()} == {1: [1, 2, 3, None], 2: []}
+    assert [_heavy(table, "n", "c", "w", f).num_rows for f in (0, 2, 3)] == [0, 1, 3]
