@@ -9,23 +9,34 @@ from pyspark.sql import functions as F
 
 from nlcorpus.session import materialize
 
+
+def hot_keys(table: DataFrame, weight: str) -> DataFrame:
+    """The rows of ``table`` (unique keys) that weigh more than an even share, with their ``__shares``.
+
+    An even share is the total over the number of shuffle partitions, so fewer rows than partitions are hot and a
+    broadcast of them is bounded. ``table`` is read twice.
+    """
+    parts = _partitions(table)
+    total = table.agg((F.sum(weight) / F.lit(parts)).alias("__share"))
+    return (table.join(F.broadcast(total), F.col(weight) > F.col("__share"))  # one row
+            .withColumn("__shares", F.col(weight) / F.col("__share")).drop("__share"))
+
+
+def _partitions(df: DataFrame) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+
+
 def lookup_join(df: DataFrame, table: DataFrame, key: str, weight: str, spread: Sequence[str],
                 how: str = "left") -> DataFrame:
     """Join every row of ``df`` to its row of ``table`` (unique ``key``) without a hot reducer.
 
-    A key is hot when its ``weight`` is more than an even share, the total over the number of shuffle partitions,
-    so fewer keys than partitions can be hot and the broadcast is bounded. Its row of ``table`` is copied once per
-    even share it holds, and its rows in ``df`` are spread over the copies by a hash of ``spread``. ``table`` should
-    cover the frequent keys of ``df``: filter its values after the join, not before. It is read three times, so it
-    is written once.
+    The row of ``table`` of a hot key (:func:`hot_keys`) is copied once per even share it holds, and its rows in
+    ``df`` are spread over the copies by a hash of ``spread``. ``table`` should cover the frequent keys of ``df``:
+    filter its values after the join, not before. It is read three times, so it is written once.
     """
-    spark = df.sparkSession
     table = materialize(table, "lookup")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    total = table.agg((F.sum(weight) / F.lit(parts)).alias("__share"))
-    shares = F.col(weight) / F.col("__share")
-    hot = (table.join(F.broadcast(total), F.col(weight) > F.col("__share"))  # one row
-           .select(key, F.least(F.ceil(shares), F.lit(parts)).cast("int").alias("__copies")))
+    copied_to = F.least(F.ceil("__shares"), F.lit(_partitions(df))).cast("int")
+    hot = hot_keys(table, weight).select(key, copied_to.alias("__copies"))
     salt = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("__copies")), F.lit(0))
     copies = F.sequence(F.lit(0), F.coalesce("__copies", F.lit(1)) - 1)
     rows = (df.join(F.broadcast(hot), key, "left")

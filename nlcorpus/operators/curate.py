@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nlcorpus.functions.keyed import later_duplicates
+from nlcorpus.functions.keyed import hot_keys, later_duplicates
 from nlcorpus.operators import clean, joins, profile
+from nlcorpus.session import materialize
 
 
 def low_probability(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -34,12 +35,17 @@ def rare_literal(owned: DataFrame, frequency: DataFrame, threshold: int) -> Data
     """Records that own a literal with corpus frequency up to the threshold.
 
     ``owned`` holds ``(id, literal)`` rows, repeats allowed, and ``frequency`` all corpus counts
-    ``(literal, freq)``. A literal in the wanted set has at most ``threshold`` rows, so no key that matches is hot and
-    nothing is copied; frequent literals only have to find no partner, which a small set tells as a broadcast, a
-    large one through Spark's runtime filter, and splitting a skewed side of the semi join does no harm.
+    ``(literal, freq)``, which are written once, since they are read three times. Rows of frequent literals only have
+    to find no partner: those above an even share, fewer than there are partitions, are dropped where they are, so no
+    task has to sort all rows of a literal that every record holds. What is left meets the wanted literals, each with
+    at most ``threshold`` rows, and nothing is copied.
     """
-    rare = frequency.where(F.col("freq").between(0, threshold)).select("literal")
-    return owned.select("id", "literal").join(rare, "literal", "left_semi").select("id").distinct()
+    wanted = F.col("freq").between(0, threshold)
+    counts = materialize(frequency.groupBy("literal").agg(F.max("freq").alias("freq"), F.bool_or(wanted).alias("rare")),
+                         "literal-counts")
+    frequent = hot_keys(counts, "freq").where(~F.col("rare")).select("literal")
+    rest = owned.select("id", "literal").join(F.broadcast(frequent), "literal", "left_anti")
+    return rest.join(counts.where("rare").select("literal"), "literal", "left_semi").select("id").distinct()
 
 
 def drop_ids(pairs: DataFrame | None = None, elements: DataFrame | None = None,

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 from nlcorpus.functions import keyed
 
@@ -49,3 +50,40 @@ def test_every_key_above_an_even_share_is_salted(spark):
     assert joined.count() == 2200 and joined.where("v is null").count() == 0
     plan = joined._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan
+
+
+def shuffled_rows(plan):
+    """Rows that each exchange of an executed plan wrote."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return shuffled_rows(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return shuffled_rows(plan.plan())
+    written, below = plan.metrics().get("shuffleRecordsWritten"), plan.children()
+    own = [written.get().value()] if written.isDefined() else []
+    return own + [n for i in range(below.size()) for n in shuffled_rows(below.apply(i))]
+
+
+def test_rows_of_frequent_literals_are_not_shuffled(spark):
+    """Every record holds one literal three times; one is listed as rare and as frequent, some are null."""
+    from nlcorpus.operators import curate
+
+    rows = [(i, "None") for i in range(800) for _ in range(3)] + [(i, f"x{i // 2 if i % 8 else i}") for i in range(800)]
+    rows += [(i, None) for i in range(50)] + [(900 + i, "twice") for i in range(600)] + [(2000, "unlisted")]
+    listed = [(k, rows_of) for k, rows_of in Counter(k for _, k in rows).items() if k != "unlisted"]
+    listed += [("twice", 1), ("x1", None)]
+    owned = spark.createDataFrame(rows, "id int, literal string")
+    frequency = spark.createDataFrame(listed, "literal string, freq long")
+    default = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for threshold in (0, 1, 2, 5000):
+            rare = {k for k, n in listed if k is not None and n is not None and n <= threshold}
+            got = curate.rare_literal(owned, frequency, threshold)
+            assert sorted(r.id for r in got.collect()) == sorted({i for i, k in rows if k in rare})
+            if threshold == 1:  # rows of "None" stay where they are, 2400 of 3851
+                assert max(shuffled_rows(got._jdf.queryExecution().executedPlan())) <= 1500
+        assert curate.rare_literal(owned, frequency.limit(0), 1).count() == 0
+        assert curate.rare_literal(owned.limit(0), frequency, 1).count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", default)
