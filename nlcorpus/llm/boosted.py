@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nlcorpus.llm.common import WordCodes, bucket, saved, slices
+from nlcorpus.llm.common import WORDS_CHARS, WordCodes, bucket, saved, slices
 from nlcorpus.llm.fertility import repeated_lines, repeated_words
 
 MAX_TRAIN_ROWS = 20_000  # labelled rows that fit the trees; chosen by a hash of the id when there are more
@@ -71,7 +71,7 @@ def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """``(key, x array<double>)`` of every whole text, in one pass without a shuffle; a null text is an empty one."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = WordCodes()
-        for batch in slices(batches):
+        for batch in slices(batches, size=WORDS_CHARS):
             x = statistics([t or "" for t in batch.column(1).to_pylist()], codes)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["k", "x"])
 
@@ -203,7 +203,7 @@ def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = WordCodes()
-        for batch in slices(batches, place):
+        for batch in slices(batches, place, WORDS_CHARS):
             x = statistics([t or "" for t in batch.column(place).to_pylist()], codes)
             yield batch.filter(pa.array(trees.scores(x) >= ACCEPT))
 

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from nlcorpus.llm.common import MEMO_WORDS, slices
+from nlcorpus.llm.common import MEMO_WORDS, WORDS_CHARS, slices
 
 BASE_KINDS = ["email", "ip", "card", "phone"]
 KINDS = [*BASE_KINDS, "secret"]
@@ -476,7 +476,7 @@ def find(docs: DataFrame, rows: list[str] | None = None, key: str = "doc_id", te
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(model)
         form = lambda spans: [{"kind": k, "start": a, "end": b} for a, b, k in spans]
-        for batch in slices(batches):
+        for batch in slices(batches, size=WORDS_CHARS):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             base = [base_spans(t) for t in texts]
             every = [merged(b, m) for b, m in zip(base, field_spans(texts, decoder))]
@@ -509,7 +509,7 @@ def mask(docs: DataFrame, rows: list[str] | None = None, text: str = "text") ->
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(model)
-        for batch in slices(batches, place):
+        for batch in slices(batches, place, WORDS_CHARS):
             values = batch.column(place).to_pylist()
             texts = [t or "" for t in values]
             every = (merged(base_spans(t), m) for t, m in zip(texts, field_spans(texts, decoder)))

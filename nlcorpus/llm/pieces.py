@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from nlcorpus.llm.common import slices
 
 MARK = "\u2581"
+CHUNK_CHARS = 2_000_000  # of texts whose distinct chunks and ids are held as Python objects at a time
 
 
 @lru_cache(maxsize=2)
@@ -98,7 +99,7 @@ def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "t
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin, end = load(model).bos_id(), load(model).eos_id()
-        for batch in slices(batches):
+        for batch in slices(batches, size=CHUNK_CHARS):
             ids, bounds = encode_slice(model, batch.column(1))
             rows = [np.concatenate([[begin], ids[a:b], [end]]) for a, b in zip(bounds, bounds[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], ["k", "ids"])
@@ -129,7 +130,7 @@ def digests(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         processor = load(model)
         begin, end = processor.bos_id(), processor.eos_id()
-        for batch in slices(batches):
+        for batch in slices(batches, size=CHUNK_CHARS):
             ids, bounds = encode_slice(model, batch.column(1))
             counts, hashes, decoded = [], [], []
             for a, b in zip(bounds, bounds[1:]):

@@ -451,7 +451,8 @@ def part_leaks(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item:
                  pa.array([f[1] for f in found], pa.bool_())], ["k", "i", "cosine", "words_in_order", "answer_found"])
 
     found = table.mapInArrow(run, f"k {kinds[0]}, i long, cosine double, words_in_order double, answer_found boolean")
-    names = spark.createDataFrame([(i, k) for i, k in enumerate(items.keys)], f"i long, name {kinds[1]}")
+    # From an Arrow table: rows of Python objects would be read by further workers, which stay beside those at work.
+    names = spark.createDataFrame(pa.table({"i": range(len(items.keys)), "name": items.keys}), f"i long, name {kinds[1]}")
     best = found.groupBy("k", "i").agg(F.max(F.struct("words_in_order", "answer_found", "cosine")).alias("f"))
     return best.join(F.broadcast(names), "i").select(
         F.col("k").alias(key), F.col("name").alias(item), "f.cosine", "f.words_in_order", "f.answer_found")
