@@ -31,6 +31,7 @@ PARSED = {
 }
 MEMO_TEXTS = 16_384  # parsed texts a task remembers, as Arrow columns, before it starts anew
 MEMO_BYTES = 32_000_000  # and bytes of these columns, about
+PARSED_AT_ONCE = 256  # texts whose trees are Python objects at a time, before they are Arrow columns
 TOKEN_KINDS = ("node", "special", "literal", "strliteral")
 
 # Elements without content, from the HTML standard.
@@ -44,9 +45,10 @@ def _profile(text: str | None, walk: syntax.Walk, want: Sequence[str]) -> tuple:
     if tree is None:
         return (False, *[None] * len(want))
     found: dict = {}
+    events = None
     if set(want) - {"roundtrip_ok"}:
         try:
-            events = list(walk.sentence(tree))
+            events = walk.sentence(tree)
         except RecursionError:
             return (False, *[None] * len(want))
         tokens = [e for e in events if e[1] in TOKEN_KINDS]
@@ -56,7 +58,7 @@ def _profile(text: str | None, walk: syntax.Walk, want: Sequence[str]) -> tuple:
             found["edge_counts"] = [(label, kind, n) for label, kind, _, n, _ in events]
         found["max_depth"] = max(len(e[2]) for e in events) - 1
     if "roundtrip_ok" in want:
-        found["roundtrip_ok"] = walk.same_after_reprint(tree)
+        found["roundtrip_ok"] = walk.same_after_reprint(tree, events)
     return (True, *[found[name] for name in want])
 
 
@@ -86,8 +88,11 @@ def parse_corpus(df: DataFrame, want: Sequence[str] = tuple(PARSED)[1:], snippet
                 held = [column[:0] for column in held]
             new = [t for t in distinct if t not in places]
             if new:
-                parsed = zip(*[_profile(t, walk, want) for t in new])
-                held = [pa.concat_arrays([old, pa.array(values, old.type)]) for old, values in zip(held, parsed)]
+                parts = [held]
+                for start in range(0, len(new), PARSED_AT_ONCE):
+                    parsed = zip(*[_profile(t, walk, want) for t in new[start:start + PARSED_AT_ONCE]])
+                    parts.append([pa.array(values, column.type) for column, values in zip(held, parsed)])
+                held = [pa.concat_arrays(columns) for columns in zip(*parts)]
                 places.update(zip(new, range(len(places), len(places) + len(new))))
             rows = pa.array([places[t] for t in distinct]).take(texts.indices.fill_null(len(distinct) - 1))
             columns = [column.take(rows) for column in held]

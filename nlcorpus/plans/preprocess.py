@@ -14,6 +14,8 @@ from nlcorpus.functions.tiered import code_arrays
 from nlcorpus.operators import clean, dataset, grammar, trees, vocab
 from nlcorpus.session import materialize
 
+PARSED_ROWS = 8_192  # pairs that a task parses, about
+
 
 @dataclass
 class Vocabularies:
@@ -43,12 +45,14 @@ def numbered(pairs: DataFrame) -> DataFrame:
     """Pairs written once with ``rec``, a number of their own that follows ingest order.
 
     Ids may repeat; records are told apart, joined and compared by ``rec``. Where there is no id, it is the 0-based
-    row number.
+    row number. Parsing takes most of the time and a file of a few MB holds very many pairs, so they are dealt out by
+    their number at ``PARSED_ROWS`` a task, however they were read.
     """
     if "id" not in pairs.columns:
         rows = pairs.withColumn("__at", F.monotonically_increasing_id())
         pairs = add_ordinal(rows, ["__at"], "id", start=0).drop("__at")
-    return materialize(pairs.withColumn("rec", F.monotonically_increasing_id()), "pairs")
+    rows = materialize(pairs.withColumn("rec", F.monotonically_increasing_id()), "pairs")
+    return rows.repartition(max(1, -(-rows.count() // PARSED_ROWS)), "rec")
 
 
 def build_vocabularies(pairs: DataFrame, vocab_size: int = 800, units: dict | None = None, **bpe) -> Vocabularies:

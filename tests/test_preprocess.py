@@ -60,3 +60,12 @@ def test_unit_options(spark):
     source = {r.id: r.piece for r in ready.vocabularies.source.collect()}
     texts = {r.id: [source[i] for i in r.nl_enc[1:-1]] for r in ready.train.collect()}
     assert "".join(texts[1]) == "call▁f▁12▁times" and "12" not in texts[1] and "1" in texts[1]
+
+
+def test_pairs_are_dealt_out_for_parsing(spark, monkeypatch):
+    monkeypatch.setattr(preprocess, "PARSED_ROWS", 10)
+    pairs = spark.createDataFrame([(i, f"set {i}", f"x = {i}") for i in range(95)], "id int, nl string, snippet string").coalesce(1)
+    dealt = preprocess.numbered(pairs)
+    sizes = [len(p) for p in dealt.select("rec").rdd.glom().collect()]
+    assert len(sizes) == 10 and max(sizes) < 30 and sum(sizes) == 95
+    assert [r.id for r in dealt.orderBy("rec").collect()] == list(range(95))
