@@ -5,22 +5,26 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nlcorpus.functions import subword
 from nlcorpus.functions.ordered import add_ordinal
-from nlcorpus.functions.tiered import FREQUENT, code_arrays
+from nlcorpus.functions.tiered import FREQUENT, code_arrays, stretches
 from nlcorpus.operators.clean import valid_text
 from nlcorpus.operators.trees import literal_text
-from nlcorpus.session import materialize
+from nlcorpus.session import bound_batches, materialize
 
 # The special pieces and their ids.
 SPECIALS = (("<pad>", 0), ("<unk>", 1), ("<s>", 2), ("</s>", 3))
 UNK, BOS, EOS = 1, 2, 3
 SPACE = "▁"
+SLICE_CHARS = 1_000_000  # bytes of text whose pieces are held as Python objects at a time; a longer text makes a slice of its own
 
 
 @F.pandas_udf(T.StringType())
@@ -104,35 +108,62 @@ def encode_nl(df: DataFrame, text: str, vocab: DataFrame, out: str = "nl_enc", o
     """Subword ids of a text between start and end id; every run of unknown characters gets one unknown id.
 
     Words are segmented in Arrow batches; a worker keeps the words it has seen for all its tasks, so nothing is shuffled.
+    Pieces are Python objects for about ``SLICE_CHARS`` of text at a time, and are returned only where they are asked for.
     """
+    bound_batches(df.sparkSession)
     shared = vocab.sparkSession.sparkContext.broadcast(vocab_ids(vocab))
+    kinds = {"ids": pa.list_(pa.int32()), **({"pieces": pa.list_(pa.string())} if out_pieces else {})}
 
-    @F.pandas_udf("pieces array<string>, ids array<int>")
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("ids array<int>" + ", pieces array<string>" * bool(out_pieces))
+    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ids = shared.value
         segment = subword.worker_segmenter(ids, **units)
         for texts in batches:
-            cut = texts.map(lambda t: subword.unknown_runs(segment(t), ids), na_action="ignore")
-            coded = cut.map(lambda ps: [BOS, *(ids.get(p, UNK) for p in ps), EOS], na_action="ignore")
-            yield pd.DataFrame({"pieces": cut, "ids": coded})
+            parts = [pa.array([], pa.struct(kinds))]
+            for some in text_slices(texts):
+                cut = [None if t is None else subword.unknown_runs(segment(t), ids) for t in some.to_pylist()]
+                coded = [None if ps is None else [BOS, *(ids.get(p, UNK) for p in ps), EOS] for ps in cut]
+                columns = {"ids": coded, "pieces": cut}
+                parts.append(pa.StructArray.from_arrays([pa.array(columns[c], kinds[c]) for c in kinds], list(kinds)))
+            yield pa.concat_arrays(parts)
 
     result = df.withColumn("__coded", encoded(F.col(text))).withColumn(out, F.col("__coded.ids"))
     return (result.withColumn(out_pieces, F.col("__coded.pieces")) if out_pieces else result).drop("__coded")
 
 
+def text_slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Texts cut so that those of a piece hold about ``SLICE_CHARS`` bytes."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + SLICE_CHARS, side="right")))
+        yield texts.slice(start, end - start)
+        start = end
+
+
 def decode_nl(ids: Column, vocab: DataFrame) -> Column:
     """Text of an id array: start and end dropped, pieces joined, markers to spaces. For subword vocabularies.
 
     An id outside the vocabulary reads as the unknown piece.
     """
-    shared = vocab.sparkSession.sparkContext.broadcast({i: p for p, i in vocab_ids(vocab).items()})
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def spelled(lists: pd.Series) -> pd.Series:
-        pieces, unknown = shared.value, SPECIALS[UNK][0]
-        return lists.map(lambda x: None if x is None else [pieces.get(i, unknown) for i in x[1:-1]])
-
-    return literal_text(spelled(ids))
+    numbers = {i: p for p, i in vocab_ids(vocab).items()}
+    shared = vocab.sparkSession.sparkContext.broadcast((list(numbers), list(numbers.values())))
+
+    @F.arrow_udf("array<string>")
+    def spelled(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = pieces = None
+        for lists in batches:
+            if known is None:
+                known, pieces = pa.array(shared.value[0], pa.int64()), pa.array(shared.value[1], pa.string())
+            sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.cumsum(sizes)
+            first = np.minimum(ends - sizes + 1, ends)
+            inner = stretches(lists.flatten(), first, np.maximum(ends - 1, first))
+            text = pieces.take(pc.index_in(inner.flatten(), known)).fill_null(SPECIALS[UNK][0])
+            yield pa.ListArray.from_arrays(inner.offsets, text, mask=lists.is_null())
+
+    return literal_text(spelled(ids.cast("array<long>")))
 
 
 def encode_chars(df: DataFrame, pieces: str, char_vocab: DataFrame, out: str = "nl_char_enc") -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -242,3 +243,22 @@ def test_values_that_are_not_asked_for_are_not_written(spark):
         got = code_arrays(df, "v", table, "n", "c", "w", "ids", frequent, keep=False)
         assert got.columns == ["k", "ids"] and {r.k: r.ids for r in got.collect()} == {1: [1, 2, 3, None], 2: []}
     assert [_heavy(table, "n", "c", "w", f).num_rows for f in (0, 2, 3)] == [0, 1, 3]
+
+
+def test_texts_are_cut_in_slices(spark, monkeypatch):
+    sizes = [len(s) for s in vocab.text_slices(pa.array(["a" * 600_000, "b" * 600_000, None, "", "c" * 3_000_000, "d"]))]
+    assert sizes == [1, 3, 1, 1] and not list(vocab.text_slices(pa.array([], pa.string())))
+    table = spark.createDataFrame([("<unk>", 1), ("a", 4), ("▁", 5), ("▁b", 6)], "piece string, id int")
+    rows = [("b a",), ("x" * 400_000 + " b",), (None,), ("",), ("a" * 1_200_000,), ("b",)]
+    df = spark.createDataFrame(rows, "t string").coalesce(1)
+    got = vocab.encode_nl(df, "t", table).select("t", "nl_enc", vocab.decode_nl(F.col("nl_enc"), table).alias("back")).collect()
+    assert [r.nl_enc and len(r.nl_enc) for r in got] == [5, 5, None, 2, 1_200_003, 3]
+    assert [r.back for r in got] == ["b a", "<unk> b", None, "", "a" * 1_200_000, "b"]
+    ids = spark.createDataFrame([([2],), ([],), ([2, None, 9, 3],), (None,)], "i array<int>")
+    assert [r[0] for r in ids.select(vocab.decode_nl(F.col("i"), table)).collect()] == ["", "", "<unk><unk>", None]
+
+
+def test_pieces_are_returned_only_where_asked_for(spark):
+    table = spark.createDataFrame([("<unk>", 1), ("a", 4)], "piece string, id int")
+    plan = lambda **k: vocab.encode_nl(spark.range(1).select(F.lit("a").alias("t")), "t", table, **k)._jdf.queryExecution().toString()
+    assert "pieces" not in plan() and "pieces" in plan(out_pieces="p")
