@@ -411,3 +411,37 @@ def test_personal_data_query(spark, texts):
         listed = ",".join(f"{k}:{a}:{b}" for a, b, k in base)
         assert row["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest()
         assert set(filter(None, listed.split(","))) <= set(row["spans"].split(","))
+
+
+def test_sketches_rule_out_only_pairs_that_are_not_linked(spark):
+    rnd = np.random.default_rng(5)
+    ruled = {True: 0, False: 0}
+    for size in (1, 3, 40, 64, 65, 300, 2000):
+        for share in (0.0, 0.3, 0.6, 0.74, 0.75, 0.76, 0.8, 0.99):
+            for other in (size, max(1, int(size * 0.8)), size * 2):
+                common = min(int(share * (size + other) / (1 + share)), size, other)
+                pool = rnd.integers(0, 2 ** 64, size + other, dtype=np.uint64)
+                one, two = np.sort(pool[:size]), np.sort(pool[size - common:size - common + other])
+                linked = 100 * common >= 75 * (size + other - common)
+                out = jaccard.ruled_out(jaccard.sketch(one), jaccard.sketch(two), size + other)
+                assert not (linked and out) and jaccard.ruled_out(jaccard.sketch(two), jaccard.sketch(one), size + other) == out
+                ruled[linked] += out
+                assert out or share or size < 40  # sets without a common shingle are told apart
+    assert ruled[False] > 60
+    sets = {1: rnd.integers(0, 2 ** 64, 300, dtype=np.uint64)}
+    sets[2] = np.append(sets[1][:290], rnd.integers(0, 2 ** 64, 9, dtype=np.uint64))
+    sets[3] = rnd.integers(0, 2 ** 64, 310, dtype=np.uint64)
+    rows = [(k, len(c), bytearray(jaccard.sketch(c))) for k, c in sets.items()] + [(3, 300, bytearray(jaccard.sketch(sets[1])))]
+    sketches = spark.createDataFrame(rows, "k long, n long, bits binary")
+    pairs = spark.createDataFrame([(1, 2, 5), (2, 3, 6), (1, 4, 7)], "a long, b long, m long")
+    assert sorted(tuple(r) for r in jaccard.plausible(pairs, sketches).collect()) == [(1, 2, 5), (2, 3, 6)]
+    assert [tuple(r) for r in jaccard.plausible(pairs, sketches.where("n <> 300 or k <> 3")).collect()] == [(1, 2, 5)]
+
+
+def test_only_wanted_texts_leave_their_place(spark):
+    texts = spark.createDataFrame([(k, f"text {k}") for k in range(5000)] + [(7, "text 7"), (7, "other"), (None, "none")],
+                                  "k long, t string").coalesce(2)
+    keys = spark.createDataFrame([(7,), (7,), (4000,), (9999,)], "k long")
+    found = jaccard.texts_of(texts, keys)
+    assert sorted(tuple(r) for r in found.collect()) == [(7, "other"), (7, "text 7"), (4000, "text 4000")]
+    assert jaccard.texts_of(texts, keys.limit(0)).count() == 0
